@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from firegrid.operators import grid as G
+from firegrid.operators.neighborhood import settle
 from firegrid.schema import state_grid
 from firegrid.sources.pixels import long_pixels
 
@@ -91,4 +92,4 @@ def cube(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def day(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.by_scene(G.day_cells(cube(spark, sf_dir)))
+    return settle(G.day_cells(cube(spark, sf_dir)), GRID)

@@ -609,12 +609,13 @@ def n11(spark, sf):
 
 @register(
     "t1_scene_percentile",
-    "SELECT scene_id, round(quantile_cont(bt13, 0.55e0) FILTER (valid), 6) AS p55, round(quantile_cont(bt13, 0.992e0) FILTER (valid), 6) AS p99 "
+    "SELECT scene_id, round(quantile_cont(bt13, 0.55e0) FILTER (valid), 4) AS p55, round(quantile_cont(bt13, 0.992e0) FILTER (valid), 4) AS p99 "
     "FROM day GROUP BY ALL",
 )
 def t1(spark, sf):
     x = F.when(F.col("valid"), F.col("bt13"))
-    return rounded(stats.quantiles(X.day(spark, sf), SCENE, {"p55": (x, 0.55), "p99": (x, 0.992)}), "p55", "p99")
+    found = stats.quantiles(X.day(spark, sf), SCENE, {"p55": (x, 0.55), "p99": (x, 0.992)})
+    return found.withColumns({c: F.round(c, 4) for c in ("p55", "p99")})
 
 
 @register(
@@ -794,6 +795,11 @@ def d5(spark, sf):
     return rounded(rows.select("scene_id", "hour", "r", "c", "score", "score_valid"), "score")
 
 
+S.risk_ctes("prob_or")
+S.risk_ctes("max_persist")
+S.field_ctes()
+
+
 @register(
     "d6_assimilation_step",
     "SELECT scene_id, r, c, round(CASE WHEN v1 THEN 1e0 - (1e0 - s0 * 0.5e0) * (1e0 - s1) ELSE s0 END, 6) AS prob_or, "
@@ -809,11 +815,6 @@ def d6(spark, sf):
     return pair.select(*KEY, step("prob_or").alias("prob_or"), step("max_persist").alias("max_persist"))
 
 
-S.risk_ctes("prob_or")
-S.risk_ctes("max_persist")
-S.field_ctes()
-
-
 @register("d7_assimilated_series", "SELECT scene_id, r, c, round(risk, 6) AS risk FROM risk_prob_or")
 def d7(spark, sf):
     return rounded(T.assimilate(T.hourly_anomaly_score(X.cube(spark, sf), GRID)), "risk")
@@ -877,6 +878,11 @@ def d12b(spark, sf):
     return D.combined_persistence(X.cube(spark, sf), 0.3, GRID, X.HOURS)
 
 
+@register("d12c_persistence_cleanup", mask_sql(S.persistence_mask_cte("persist_mask2", stats.clamped_pct(0.3), 2)))
+def d12c(spark, sf):
+    return D.combined_persistence(X.cube(spark, sf), 0.3, GRID, X.HOURS, min_component=2)
+
+
 @register("d13_precision_preset")
 def d13(spark, sf):
     return D.combined_persistence(X.cube(spark, sf), 0.3, GRID, X.HOURS, D.precision_preset(), min_component=1)

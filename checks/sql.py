@@ -588,7 +588,7 @@ def persistence_ctes() -> str:
     )
 
 
-def persistence_mask_cte(name: str, q: float) -> str:
+def persistence_mask_cte(name: str, q: float, least: int = 3) -> str:
     field = persistence_ctes()
     define(
         f"{name}_thr",
@@ -607,7 +607,7 @@ def persistence_mask_cte(name: str, q: float) -> str:
         f"{name}_all",
         f"SELECT scene_id, r, c FROM {name}_n WHERE n < 260 UNION ALL SELECT scene_id, r, c FROM {name}_open",
     )
-    return sized_cte(name, f"{name}_all", 3, 0, 1)
+    return sized_cte(name, f"{name}_all", least, 0, 1)
 
 
 def event_layer_ctes(sizes: tuple[int, ...] = (3, 5, 7)) -> str:

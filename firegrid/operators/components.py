@@ -4,27 +4,56 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from firegrid.functions import geo
+from firegrid.operators.neighborhood import tile_side
 from firegrid.schema import SCENE, GridSpec
 from firegrid.session import cut
 
 
-def _row_runs(mask: DataFrame, grid: GridSpec, keys: Sequence[str]) -> DataFrame:
-    """Each cell with its ``node``: the cell number where its horizontal run starts."""
-    w = Window.partitionBy(*keys, "r").orderBy("c")
-    starts = F.coalesce(F.col("c") - F.lag("c").over(w) > 1, F.lit(True))
-    begun = F.last(F.when(F.col("_start"), F.col("c")), ignorenulls=True).over(
-        w.rowsBetween(Window.unboundedPreceding, 0)
-    )
-    return (
-        mask.select(*keys, "r", "c")
-        .withColumn("_start", starts)
-        .withColumn("node", (F.col("r") * grid.w + begun).cast("bigint"))
-        .drop("_start")
-    )
+def _spread_minimum(mask: np.ndarray, connectivity: int) -> np.ndarray:
+    """Smallest flat position of each cell's component inside one tile."""
+    far = mask.size
+    flat = np.arange(far).reshape(mask.shape)
+    label = np.where(mask, flat, far)
+    shifts = [(0, 1), (1, 0)] + ([(1, 1), (1, -1)] if connectivity == 2 else [])
+    while True:
+        new = np.pad(label, 1, constant_values=far)
+        mid = new[1:-1, 1:-1]
+        old = np.pad(label, 1, constant_values=far)
+        for i, j in shifts:
+            for a, b in ((i, j), (-i, -j)):
+                np.minimum(mid, old[1 + a : old.shape[0] - 1 + a, 1 + b : old.shape[1] - 1 + b], out=mid)
+        new = np.where(mask, mid, far)
+        new[mask] = new.ravel()[new[mask]]
+        if np.array_equal(new, label):
+            return label
+        label = new
+
+
+def _tile_labels(mask: DataFrame, grid: GridSpec, connectivity: int, keys: Sequence[str]) -> DataFrame:
+    """Each cell with ``node``: the smallest cell number of its component within its tile."""
+    th, tw = tile_side(grid.h), tile_side(grid.w)
+    width = grid.w
+    rows = mask.select(*keys, "r", "c")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    names = rows.columns
+
+    def one_tile(pdf: pd.DataFrame) -> pd.DataFrame:
+        r, c = pdf["r"].to_numpy(), pdf["c"].to_numpy()
+        top, left = r.min(), c.min()
+        block = np.zeros((r.max() - top + 1, c.max() - left + 1), dtype=bool)
+        block[r - top, c - left] = True
+        at = _spread_minimum(block, connectivity)[r - top, c - left]
+        lead_r, lead_c = at // block.shape[1] + top, at % block.shape[1] + left
+        return pdf[names].assign(node=lead_r.astype("int64") * width + lead_c)
+
+    tile = [F.floor(F.col("r") / th).alias("_tr"), F.floor(F.col("c") / tw).alias("_tc")]
+    return rows.groupBy(*keys, *tile).applyInPandas(one_tile, f"{schema}, node bigint")
 
 
 def label_components(
@@ -32,19 +61,32 @@ def label_components(
 ) -> DataFrame:
     """Adds ``label``: the smallest cell number of the component (4 neighbours, 8 for 2).
 
-    Works on row runs.  Each round a run takes the smallest label among its neighbours, then
-    the label of that label; rounds stop when nothing moves.  Only runs touching another run
-    take part, and only the count of moved labels reaches the driver.
+    Tiles of at most 96 x 96 cells are labelled on their own.  A grid of one tile is done then;
+    otherwise the pieces that touch across tile borders form a small graph: each round a piece
+    takes the smallest label among its neighbours, then the label of that label, until nothing
+    moves.  Only the fact that something moved reaches the driver.
     """
     keys = list(keys)
-    cells = cut(_row_runs(mask, grid, keys))
-    steps = (-1, 0, 1) if connectivity == 2 else (0,)
-    above = cells.select(
-        *keys, (F.col("r") + 1).alias("r"), F.explode(F.array(*[F.col("c") + d for d in steps])).alias("c"),
-        F.col("node").alias("other"),
+    local = _tile_labels(mask, grid, connectivity, keys)
+    th, tw = tile_side(grid.h), tile_side(grid.w)
+    if th >= grid.h and tw >= grid.w:
+        return local.withColumnRenamed("node", "label")
+    cells = cut(local)
+    steps = ((1, 0), (0, 1), (1, 1), (1, -1)) if connectivity == 2 else ((1, 0), (0, 1))
+    moves = F.array(*[F.struct(F.lit(i).alias("dr"), F.lit(j).alias("dc")) for i, j in steps])
+    edge = lambda r, c: (F.floor(r / th), F.floor(c / tw))
+    shifted = cells.withColumn("_o", F.explode(moves)).select(
+        *keys, (F.col("r") + F.col("_o.dr")).alias("r"), (F.col("c") + F.col("_o.dc")).alias("c"),
+        F.col("r").alias("_r"), F.col("c").alias("_c"), F.col("node").alias("other"),
+    )
+    here, there = edge(F.col("r"), F.col("c")), edge(F.col("_r"), F.col("_c"))
+    across = shifted.where((here[0] != there[0]) | (here[1] != there[1])).drop("_r", "_c")
+    down = cells.join(across, [*keys, "r", "c"]).select(*keys, "node", "other").distinct()
+    links = cut(
+        down.unionByName(
+            down.select(*keys, F.col("other").alias("node"), F.col("node").alias("other"))
+        )
     )
-    down = cells.join(above, [*keys, "r", "c"]).select(*keys, "node", "other").distinct()
-    links = cut(down.unionByName(down.select(*keys, F.col("other").alias("node"), F.col("node").alias("other"))))
     labels = links.select(*keys, "node").distinct().withColumn("label", F.col("node"))
     moving = True
     while moving:

@@ -30,7 +30,7 @@ def residual_field(day: DataFrame, grid: GridSpec, median_size: int = 9) -> Data
             "seen13": F.col("bt13").isNotNull() & (F.col("bt13") > 0),
         }
     )
-    filled = G.fill_with_median(filled, ["filled"], SCENE)
+    filled = G.fill_with_median(filled, ["filled"], SCENE, grid.cells)
     k = N.odd_size(median_size)
     return (
         N.median_backgrounds(filled, "filled", [k], grid, SCENE, "_m")

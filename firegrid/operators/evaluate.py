@@ -50,7 +50,9 @@ def prediction_units(
 def _reference(units: DataFrame, points: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Reference latitude: the mean of both mean latitudes; only where both sides have rows."""
     u = units.groupBy(*keys).agg(F.avg("lat").alias("_u"))
-    p = points.groupBy("scene_id").agg(F.avg("lat").alias("_p"))
+    n = F.sum("copies") if "copies" in points.columns else F.count("*")
+    lat = F.sum(F.col("lat") * F.col("copies")) if "copies" in points.columns else F.sum("lat")
+    p = points.groupBy("scene_id").agg((lat / n).alias("_p"))
     return u.join(p, "scene_id").select(*keys, (0.5 * (F.col("_u") + F.col("_p"))).alias("lat_ref"))
 
 
@@ -89,10 +91,8 @@ def _hits(
 ) -> DataFrame:
     """Per key: points and units matched at each radius (arrays in the order of ``radii``)."""
     top = float(max(radii))
-    # Copies of a point collapse before anything is joined.
-    unique = points.groupBy("scene_id", "r", "c", "lat", "lon").agg(F.count("*").alias("copies"))
     reach = _reach_table(units, _reference(units, points, keys), grid, top, keys)
-    met = unique.join(reach, ["scene_id", "r", "c"]).withColumn("_hit", _distances(top)).where(F.size("_hit") > 0)
+    met = points.join(reach, ["scene_id", "r", "c"]).withColumn("_hit", _distances(top)).where(F.size("_hit") > 0)
     point_row = F.struct(
         F.lit(None).cast("bigint").alias("unit"), F.array_min(F.transform("_hit", lambda s: s["km"])).alias("km")
     )
@@ -129,8 +129,10 @@ def event_curve(
     if valid is not None:
         ok = valid.where("valid").select(*KEY)
         mask = mask.join(ok, list(KEY), "left_semi")
-    points = place_points(hotspots, grid).select("scene_id", "r", "c", "lat", "lon")
-    units = prediction_units(mask, grid, matching, connectivity, keys)
+    # Copies of a point collapse before anything is joined.
+    points = place_points(hotspots, grid).groupBy("scene_id", "r", "c", "lat", "lon").agg(F.count("*").alias("copies"))
+    # The units are read four times below: compute the prediction once.
+    units = cut(prediction_units(mask, grid, matching, connectivity, keys))
     base = scenes.select(*keys).distinct() if scenes is not None else (
         units.select(*keys).distinct() if len(keys) > 1
         else units.select(*keys).unionByName(points.select(*keys)).distinct()
@@ -140,7 +142,7 @@ def event_curve(
         F.percentile("size", F.lit(0.5)).alias("component_size_median"),
         F.max("size").alias("component_size_max"),
     )
-    per_scene = points.groupBy("scene_id").agg(F.count("*").alias("n_focos"))
+    per_scene = points.groupBy("scene_id").agg(F.sum("copies").alias("n_focos"))
     zero = F.lit(0).cast("bigint")
     full = (
         base.join(per_key, keys, "left")
@@ -178,7 +180,7 @@ def hotspot_distance(
 ) -> DataFrame:
     """Every in-box hotspot row with ``km`` to its nearest unit, NULL beyond the radius."""
     points = place_points(hotspots, grid)
-    units = prediction_units(mask, grid, matching)
+    units = cut(prediction_units(mask, grid, matching))
     reach = _reach_table(units, _reference(units, points, SCENE), grid, radius_km, SCENE)
     met = points.join(reach, list(KEY), "left").withColumn("_hit", _distances(radius_km))
     return met.withColumn("km", F.array_min(F.transform("_hit", lambda s: s["km"]))).drop("near", "_hit", "lat_ref")
@@ -189,7 +191,7 @@ def unit_distance(
 ) -> DataFrame:
     """Every unit with ``km`` to its nearest hotspot, NULL beyond the radius."""
     points = place_points(hotspots, grid)
-    units = prediction_units(mask, grid, matching)
+    units = cut(prediction_units(mask, grid, matching))
     reach = _reach_table(units, _reference(units, points, SCENE), grid, radius_km, SCENE)
     unique = points.select("scene_id", "r", "c", "lat", "lon").distinct()
     hits = unique.join(reach, list(KEY)).select("scene_id", F.explode(_distances(radius_km)).alias("s"))

@@ -36,7 +36,7 @@ def build_features(cube: DataFrame, grid: GridSpec, cfg: TwinConfig = TwinConfig
             "valid": F.bool_and("valid"),
         },
     )
-    cells = G.fill_with_median(cells, ["bt13_max", "bt7_max", "btd_median"], SCENE)
+    cells = G.fill_with_median(cells, ["bt13_max", "bt7_max", "btd_median"], SCENE, grid.cells)
     cells = N.gaussian_smooth(cells, "risk", "twin_risk", cfg.sigma)
     cells = N.median_backgrounds(cells, "bt13_max", [21], grid, SCENE, "_m")
     return cells.withColumn("bt13_anom_21", F.col("bt13_max") - F.col("_m21")).select(*KEY, *FEATURES, "valid")
@@ -46,7 +46,7 @@ def diagnostic_features(cube: DataFrame, grid: GridSpec) -> DataFrame:
     """Feature set of the separability report: residuals at 5, 11 and 21, spectral residual at 11,
     and hours whose 5 x 5 residual exceeds 0.5 K."""
     hourly = cube.withColumn("_f", F.col("bt13"))
-    hourly = G.fill_with_median(hourly, ["_f"], LAYER)
+    hourly = G.fill_with_median(hourly, ["_f"], LAYER, grid.cells)
     hourly = N.median_backgrounds(hourly, "_f", [5], grid, LAYER, "_h")
     cells = hourly.groupBy(*KEY).agg(
         F.max("bt13").alias("bt13"),
@@ -55,7 +55,7 @@ def diagnostic_features(cube: DataFrame, grid: GridSpec) -> DataFrame:
         F.count_if(F.col("_f") - F.col("_h5") > 0.5).cast("double").alias("n_active_h"),
         F.bool_and(G.all_present()).alias("valid"),
     )
-    cells = G.fill_with_median(cells, ["bt13", "bt7", "bt14"], SCENE)
+    cells = G.fill_with_median(cells, ["bt13", "bt7", "bt14"], SCENE, grid.cells)
     cells = cells.withColumn("btd", F.col("bt7") - F.col("bt14"))
     cells = N.median_backgrounds(cells, "bt13", [5, 11, 21], grid, SCENE, "_m")
     cells = N.median_backgrounds(cells, "btd", [11], grid, SCENE, "_b")

@@ -40,7 +40,7 @@ def multiband_field(day: DataFrame, grid: GridSpec, median_size: int = 9) -> Dat
         & (F.count(F.when(F.col("seen13"), 1)).over(scene) >= 80)
     )
     field = field.withColumns({"multi": multi, "filled7": F.col("bt7"), "filled14": F.col("bt14")})
-    field = G.fill_with_median(field, ["filled7", "filled14"], SCENE)
+    field = G.fill_with_median(field, ["filled7", "filled14"], SCENE, grid.cells)
     field = N.median_backgrounds(field, "filled14", [k], grid, SCENE, "_m")
     return field.withColumns(
         {

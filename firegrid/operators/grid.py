@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from firegrid.functions import geo
-from firegrid.functions.stats import quantiles
+from firegrid.functions.stats import with_quantiles
+from firegrid.operators.neighborhood import settle
 from firegrid.schema import CHANNELS, SCENE, GridSpec
 
 
@@ -114,11 +115,10 @@ def hourly_cube(
     empty = layer_skeleton(layers.select("scene_id", "hour", "hour_seq"), grid).select(
         *key, F.lit(None).cast("int").alias("channel"), F.lit(None).cast("double").alias("bt")
     )
-    return by_scene(
-        values.unionByName(empty).groupBy(*key).agg(
-            *[F.avg(F.when(F.col("channel") == ch, F.col("bt"))).alias(f"bt{ch}") for ch in channels]
-        )
+    dense = values.unionByName(empty).groupBy(*key).agg(
+        *[F.avg(F.when(F.col("channel") == ch, F.col("bt"))).alias(f"bt{ch}") for ch in channels]
     )
+    return settle(dense, grid)
 
 
 def complete_grid(cells: DataFrame, grid: GridSpec, layers: DataFrame | None = None) -> DataFrame:
@@ -128,11 +128,6 @@ def complete_grid(cells: DataFrame, grid: GridSpec, layers: DataFrame | None = N
     return layer_skeleton(base.select(*key), grid).join(cells, [*key, "r", "c"], "left")
 
 
-def by_scene(df: DataFrame) -> DataFrame:
-    """Place each scene in one partition: later windows, tiles and folds reuse this shuffle."""
-    return df.repartition("scene_id")
-
-
 def presence_mask(points: DataFrame, grid: GridSpec, closed_top: bool = True) -> DataFrame:
     """Cells holding at least one point."""
     return assign_cells(points, grid, closed_top).select("scene_id", "r", "c").distinct()
@@ -175,13 +170,10 @@ def day_cells(cube: DataFrame, channels: Sequence[int] = CHANNELS) -> DataFrame:
     )
 
 
-def fill_with_median(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = SCENE) -> DataFrame:
+def fill_with_median(
+    df: DataFrame, columns: Sequence[str], keys: Sequence[str] = SCENE, group_rows: int | None = None
+) -> DataFrame:
     """Replace NULL by the group median of the column."""
-    w = Window.partitionBy(*keys)
-    return df.withColumns(
-        {c: F.coalesce(F.col(c), F.percentile(F.col(c), F.lit(0.5)).over(w)) for c in columns}
-    )
-
-
-def layer_medians(cube: DataFrame, column: str, keys: Sequence[str]) -> DataFrame:
-    return quantiles(cube, keys, {"med": (F.col(column), 0.5)})
+    medians = {f"_med_{c}": (F.col(c), 0.5) for c in columns}
+    ranked = with_quantiles(df, keys, medians, group_rows)
+    return ranked.withColumns({c: F.coalesce(c, f"_med_{c}") for c in columns}).drop(*medians)

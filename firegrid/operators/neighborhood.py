@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from firegrid.functions.geo import gate_iterations
+from firegrid.functions.stats import WINDOW_ROWS
 from firegrid.schema import LAYER, SCENE, GridSpec
 
 CROSS = ((0, 0), (-1, 0), (1, 0), (0, -1), (0, 1))
@@ -29,10 +30,20 @@ def odd_size(k: int) -> int:
     return max(3, k if k % 2 == 1 else k + 1)
 
 
-def _tile_side(n: int) -> int:
+def tile_side(n: int) -> int:
+    """Even tile length of at most 96 cells."""
     return math.ceil(n / math.ceil(n / MAX_TILE))
 
 
+def settle(df: DataFrame, grid: GridSpec, scene: str = "scene_id") -> DataFrame:
+    """Place each scene in one partition: later windows, tiles and folds reuse this shuffle.
+
+    A scene holds at most ``grid.cells`` rows per hour.  Grids too large for one task stay
+    spread; their operators shuffle by their own, finer keys.
+    """
+    return df.repartition(scene) if grid.cells <= WINDOW_ROWS else df
+
+
 def _sliding_median(block: np.ndarray, k: int) -> np.ndarray:
     views = np.lib.stride_tricks.sliding_window_view(block, (k, k))
     flat = views.reshape(*views.shape[:2], k * k)
@@ -55,7 +66,7 @@ def median_backgrounds(
     """
     sizes = sorted({odd_size(k) for k in sizes})
     halo = sizes[-1] // 2
-    th, tw = _tile_side(grid.h), _tile_side(grid.w)
+    th, tw = tile_side(grid.h), tile_side(grid.w)
     nth, ntw = math.ceil(grid.h / th), math.ceil(grid.w / tw)
     names = {k: f"{prefix}{k}" for k in sizes}
     schema = T.StructType(df.schema.fields + [T.StructField(n, T.DoubleType()) for n in names.values()])
@@ -92,8 +103,8 @@ def median_backgrounds(
         "_tc", tiles_of(F.col("c"), tw, ntw)
     )
     out = tiled.groupBy(*keys, "_tr", "_tc").applyInPandas(one_tile, schema)
-    # The grouped map forgets how its rows are placed: settle each scene again, once.
-    return out.repartition(keys[0])
+    # The grouped map forgets how its rows are placed.
+    return settle(out, grid, keys[0])
 
 
 def _line(keys: Sequence[str], across: str, along: str):

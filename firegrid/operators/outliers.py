@@ -1,7 +1,7 @@
 """Outlier detectors over per-cell features, every scene in the same job.
 
-Isolation forest: samples and trees are built per (scene, tree); scoring runs per chunk of
-cells.  Local outlier factor: exact neighbours through a block-pruned nearest-neighbour join.
+Isolation forest: samples are drawn per (scene, tree), trees grow in blocks of 25; scoring runs
+per chunk of cells.  Local outlier factor: exact neighbours through a block-pruned nearest-neighbour join.
 Robust envelope: concentration steps as grouped moments.
 """
 
@@ -29,6 +29,7 @@ MIN_ROWS = 50
 BLOCK_ROWS = 1024
 CHUNK_ROWS = 16384
 TREE_SAMPLE = 256
+TREE_BLOCK = 25
 
 
 @dataclass(frozen=True)
@@ -84,27 +85,60 @@ def _sample_rows(df: DataFrame, trees: int, seed: int) -> DataFrame:
     return draws.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= TREE_SAMPLE).drop("_k", "_u", "_n")
 
 
-def _grow_tree(x: np.ndarray, rng: np.random.Generator) -> list[tuple[int, int, float, int, int, float]]:
-    """Random axis-parallel splits down to depth ceil(log2 n): rows of
-    (node, feature or -1, cut, left, right, path length at a leaf)."""
-    limit = math.ceil(math.log2(max(len(x), 2)))
-    nodes: list[tuple[int, int, float, int, int, float]] = []
-    pending = [(0, np.arange(len(x)), 0)]
-    fresh = 1
-    while pending:
-        node, rows, depth = pending.pop()
-        part = x[rows]
-        spread = np.flatnonzero(part.max(axis=0) > part.min(axis=0)) if len(rows) > 1 else []
-        if depth >= limit or len(spread) == 0:
-            nodes.append((node, -1, 0.0, -1, -1, depth + float(average_path(len(rows)))))
-            continue
-        f = int(rng.choice(spread))
-        split = float(rng.uniform(part[:, f].min(), part[:, f].max()))
-        low = part[:, f] <= split
-        nodes.append((node, f, split, fresh, fresh + 1, 0.0))
-        pending += [(fresh, rows[low], depth + 1), (fresh + 1, rows[~low], depth + 1)]
-        fresh += 2
-    return nodes
+def _grow_trees(x: np.ndarray, tree: np.ndarray, limit: int, rng: np.random.Generator) -> pd.DataFrame:
+    """Random axis-parallel splits of several trees at once, level by level.
+
+    ``x`` holds the sampled rows and ``tree`` the tree of each, ascending.  Every level finds the
+    feature ranges of all open nodes together, draws a feature that varies and a cut inside its
+    range, and passes the rows on.  Returns one row per node; a leaf has feature -1 and its path
+    length, corrected for the rows it still holds.
+    """
+    roots, node = np.unique(tree, return_inverse=True)
+    owner = roots.copy()
+    fresh = len(roots)
+    grown = []
+    for depth in range(limit + 1):
+        order = np.argsort(node, kind="stable")
+        x, node = x[order], node[order]
+        open_, start, count = np.unique(node, return_index=True, return_counts=True)
+        low, high = np.minimum.reduceat(x, start), np.maximum.reduceat(x, start)
+        varies = high > low
+        split = (count > 1) & varies.any(axis=1) & (depth < limit)
+        leaf = ~split
+        grown.append(
+            pd.DataFrame(
+                {
+                    "tree": owner[open_[leaf]], "node": open_[leaf], "feature": -1, "cut": 0.0, "lo": -1, "hi": -1,
+                    "path": depth + average_path(count[leaf]),
+                }
+            )
+        )
+        if not split.any():
+            break
+        parents, varies, low, high = open_[split], varies[split], low[split], high[split]
+        pick = np.floor(rng.random(len(parents)) * varies.sum(axis=1)).astype(int)
+        feature = np.argmax(np.cumsum(varies, axis=1) > pick[:, None], axis=1)
+        at = np.arange(len(parents))
+        lo, hi = low[at, feature], high[at, feature]
+        cut_at = lo + rng.random(len(parents)) * (hi - lo)
+        cut_at = np.where(cut_at < hi, cut_at, lo)
+        left = fresh + 2 * at
+        grown.append(
+            pd.DataFrame(
+                {
+                    "tree": owner[parents], "node": parents, "feature": feature, "cut": cut_at,
+                    "lo": left, "hi": left + 1, "path": 0.0,
+                }
+            )
+        )
+        keep = np.repeat(split, count)
+        slot = np.repeat(np.cumsum(split) - 1, count)[keep]
+        x = x[keep]
+        right = x[np.arange(len(x)), feature[slot]] > cut_at[slot]
+        node = left[slot] + right
+        owner = np.concatenate([owner, np.repeat(owner[parents], 2)])
+        fresh += 2 * len(parents)
+    return pd.concat(grown)
 
 
 def isolation_scores(
@@ -114,21 +148,24 @@ def isolation_scores(
     columns = list(columns)
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
-        scene, tree = pdf["scene_id"].iloc[0], int(pdf["tree"].iloc[0])
-        pdf = pdf.sort_values(["r", "c"])
-        rng = np.random.default_rng([seed, abs(int(scene)), tree])
-        nodes = _grow_tree(pdf[columns].to_numpy(dtype=np.float64), rng)
-        out = pd.DataFrame(nodes, columns=["node", "feature", "cut", "lo", "hi", "path"])
-        out.insert(0, "tree", tree)
-        out.insert(0, "scene_id", scene)
-        out["sample"] = len(pdf)
-        return out
+        scene, block = pdf["scene_id"].iloc[0], int(pdf["block"].iloc[0])
+        pdf = pdf.sort_values(["tree", "r", "c"])
+        sample = int(pdf.groupby("tree").size().max())
+        rng = np.random.default_rng([seed, abs(int(scene)), block])
+        limit = math.ceil(math.log2(max(sample, 2)))
+        nodes = _grow_trees(pdf[columns].to_numpy(dtype=np.float64), pdf["tree"].to_numpy(), limit, rng)
+        return nodes.assign(scene_id=scene, block=block, sample=sample)[
+            ["scene_id", "block", "tree", "node", "feature", "cut", "lo", "hi", "path", "sample"]
+        ]
 
     scene_type = df.schema["scene_id"].dataType.simpleString()
-    sampled = _sample_rows(df.select(*KEY, *columns), trees, seed)
-    forest = sampled.groupBy("scene_id", "tree").applyInPandas(
+    sampled = _sample_rows(df.select(*KEY, *columns), trees, seed).withColumn(
+        "block", F.floor(F.col("tree") / TREE_BLOCK).cast("int")
+    )
+    forest = sampled.groupBy("scene_id", "block").applyInPandas(
         grow,
-        f"scene_id {scene_type}, tree int, node int, feature int, cut double, lo int, hi int, path double, sample int",
+        f"scene_id {scene_type}, block int, tree int, node int, feature int, cut double, lo int, hi int, "
+        "path double, sample int",
     )
     chunks = max(1, math.ceil((group_rows or CHUNK_ROWS) / CHUNK_ROWS))
     chunked = df.withColumn("_chunk", F.pmod(F.xxhash64("r", "c"), F.lit(chunks)).cast("int"))
@@ -137,23 +174,24 @@ def isolation_scores(
 
     def score(cells: pd.DataFrame, nodes: pd.DataFrame) -> pd.DataFrame:
         x = cells[columns].to_numpy(dtype=np.float64)
-        total = np.zeros(len(x))
         every = np.arange(len(x))
+        total = np.zeros(len(x))
         grown = 0
-        for _tree, t in nodes.groupby("tree"):
-            t = t.sort_values("node")
-            feature, split = t["feature"].to_numpy(), t["cut"].to_numpy()
-            lo, hi, path = t["lo"].to_numpy(), t["hi"].to_numpy(), t["path"].to_numpy()
-            at = np.zeros(len(x), dtype=np.int64)
-            while True:
-                f = feature[at]
-                inner = f >= 0
-                if not inner.any():
-                    break
-                down = np.where(x[every, np.maximum(f, 0)] <= split[at], lo[at], hi[at])
-                at = np.where(inner, down, at)
-            total += path[at]
-            grown += 1
+        for _block, b in nodes.groupby("block"):
+            b = b.sort_values("node")
+            feature, split = b["feature"].to_numpy(), b["cut"].to_numpy()
+            lo, hi, path = b["lo"].to_numpy(), b["hi"].to_numpy(), b["path"].to_numpy()
+            for root in range(b["tree"].nunique()):
+                at = np.full(len(x), root)
+                while True:
+                    f = feature[at]
+                    inner = f >= 0
+                    if not inner.any():
+                        break
+                    down = np.where(x[every, np.maximum(f, 0)] <= split[at], lo[at], hi[at])
+                    at = np.where(inner, down, at)
+                total += path[at]
+                grown += 1
         sample = float(nodes["sample"].max()) if len(nodes) else 1.0
         norm = max(grown, 1) * max(float(average_path(sample)), 1e-12)
         return cells[names].assign(iso_score=np.power(2.0, -total / norm))

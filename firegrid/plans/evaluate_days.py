@@ -96,7 +96,7 @@ def truth_cells(hotspots: DataFrame, day: DataFrame, grid: GridSpec, dilation: i
 def evaluate_days(cube: DataFrame, hotspots: DataFrame, grid: GridSpec, cfg: RunConfig = RunConfig()) -> DataFrame:
     """One metric row per (scene, method) for every scene of the cube."""
     cube = cut(cube)
-    day = cut(G.by_scene(G.day_cells(cube)))
+    day = cut(N.settle(G.day_cells(cube), grid))
     truth = truth_cells(hotspots, day, grid, cfg.truth_dilation)
     names = cfg.methods()
     masks = reduce(
@@ -123,18 +123,29 @@ def contamination_steps(n: int = 32, lo: float = 0.004, hi: float = 0.18) -> lis
     return [lo + i * step for i in range(n - 1)] + [hi]
 
 
-def _masks_at(scored: DataFrame, score: Column, pool: Column, steps: Sequence[float], clamp: bool, extra: Column | None = None) -> DataFrame:
-    """Masks of every step from one scoring pass: (scene_id, r, c, step).
+def _step_levels(scored: DataFrame, value: Column, q: Sequence[float], rows: int) -> DataFrame:
+    """Adds ``_t``: the scene's quantiles at every step."""
+    if rows <= stats.WINDOW_ROWS:
+        levels = F.percentile(value, F.array(*[F.lit(x) for x in q])).over(Window.partitionBy(*SCENE))
+        return scored.withColumn("_t", levels)
+    names = {f"_q{i}": (value, x) for i, x in enumerate(q)}
+    return stats.with_quantiles(scored, SCENE, names, rows).withColumn("_t", F.array(*names)).drop(*names)
 
-    ``score >= percentile`` at each step, the percentiles taken together in one aggregate.
-    """
+
+def _steps_where(test) -> Column:
+    """Steps whose level passes ``test``, one row each."""
+    indexed = F.transform("_t", lambda t, i: F.struct(i.alias("step"), t.alias("t")))
+    return F.explode(F.transform(F.filter(indexed, lambda s: test(s["t"])), lambda s: s["step"]))
+
+
+def _masks_at(
+    scored: DataFrame, score: Column, pool: Column, steps: Sequence[float], clamp: bool, rows: int,
+    extra: Column | None = None,
+) -> DataFrame:
+    """Masks of every step from one scoring pass: (scene_id, r, c, step), ``score >= percentile``."""
     q = [stats.clamped_pct(c) if clamp else stats.pct(c) for c in steps]
-    levels = F.percentile(F.when(pool, score), F.array(*[F.lit(x) for x in q])).over(Window.partitionBy(*SCENE))
-    reached = F.filter(
-        F.transform("_t", lambda t, i: F.struct(i.alias("step"), t.alias("t"))), lambda s: score >= s["t"]
-    )
-    hot = scored.withColumn("_t", levels).where(pool if extra is None else pool & extra)
-    return hot.select(*KEY, F.explode(F.transform(reached, lambda s: s["step"])).alias("step"))
+    hot = _step_levels(scored, F.when(pool, score), q, rows).where(pool if extra is None else pool & extra)
+    return hot.select(*KEY, _steps_where(lambda t: score >= t).alias("step"))
 
 
 def step_masks(
@@ -143,19 +154,13 @@ def step_masks(
     """Masks of one method at every contamination step, scored once."""
     if name == "spatial_residual":
         field_ = D.with_spectral_cut(D.residual_field(day, grid), grid)
-        return _masks_at(field_, F.col("residual"), F.col("seen13"), steps, False, F.col("spectral_ok"))
+        return _masks_at(field_, F.col("residual"), F.col("seen13"), steps, False, grid.cells, F.col("spectral_ok"))
     if name == "isolation_forest":
         # Strictly beyond the percentile of the negated score, as in the single-step detector.
         rated = R.forest_scores(day, grid)
         q = [min(max(c, 0.001), 0.5) for c in steps]
-        levels = F.percentile(-F.col("iso_score"), F.array(*[F.lit(x) for x in q])).over(Window.partitionBy(*SCENE))
-        beyond = F.filter(
-            F.transform("_t", lambda t, i: F.struct(i.alias("step"), t.alias("t"))),
-            lambda s: -F.col("iso_score") < s["t"],
-        )
-        return rated.withColumn("_t", levels).select(
-            *KEY, F.explode(F.transform(beyond, lambda s: s["step"])).alias("step")
-        )
+        leveled = _step_levels(rated, -F.col("iso_score"), q, grid.cells)
+        return leveled.select(*KEY, _steps_where(lambda t: -F.col("iso_score") < t).alias("step"))
     if name == "digital_twin":
         field_ = cut(T.risk_field(cube, grid, cfg.twin))
         if cfg.twin.threshold_mode == "gmm2":
@@ -164,14 +169,14 @@ def step_masks(
             ]
             masks = reduce(DataFrame.unionByName, parts)
         else:
-            masks = _masks_at(field_, F.col("smoothed"), F.col("valid"), steps, True)
+            masks = _masks_at(field_, F.col("smoothed"), F.col("valid"), steps, True, grid.cells)
         weak = field_.where("valid").select(*KEY)
         kept = T.drop_weak_inliers(field_, weak, grid, cfg.twin.lof_neighbors)
         return masks.join(kept, list(KEY), "left_semi")
     if name == "combined_persistence":
         hours = len(cfg.hours)
         field_ = cut(D.persistence_field(cube, grid, hours, cfg.persistence))
-        scored = _masks_at(field_, F.col("combined"), F.col("eligible"), steps, True)
+        scored = _masks_at(field_, F.col("combined"), F.col("eligible"), steps, True, grid.cells)
         # Both gates ignore the threshold, and a looser threshold only adds cells: the loosest
         # candidates tell which cells pass the gates at every step.
         passing = D.persistence_candidates(field_, 0.5, grid, hours, cfg.persistence)
@@ -187,7 +192,7 @@ def calibrate(
     a sparser mask, then the first step."""
     steps = contamination_steps(n_steps)
     cube = cut(cube)
-    day = cut(G.by_scene(G.day_cells(cube)))
+    day = cut(N.settle(G.day_cells(cube), grid))
     truth = truth_cells(hotspots, day, grid, cfg.truth_dilation)
     masks = cut(step_masks(name, cube, day, grid, steps, cfg))
     every = day.select("scene_id").distinct().withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(n_steps - 1))))
@@ -219,7 +224,7 @@ def comparison_matrix(
 ) -> DataFrame:
     """Detector x contamination x radius: event metrics next to cell metrics."""
     cube = cut(cube)
-    day = cut(G.by_scene(G.day_cells(cube)))
+    day = cut(N.settle(G.day_cells(cube), grid))
     truth = truth_cells(hotspots, day, grid, cfg.truth_dilation)
     masks = cut(
         reduce(

@@ -14,7 +14,6 @@ from firegrid.operators import components as C
 from firegrid.operators import detectors as D
 from firegrid.operators import evaluate as E
 from firegrid.operators import fusion as X
-from firegrid.operators import grid as G
 from firegrid.operators import learning as L
 from firegrid.operators import neighborhood as N
 from firegrid.operators import outliers as O
@@ -244,7 +243,7 @@ def outlier_weighted_peaks(
     flagged = E.with_flag(smooth, outliers, "_out").withColumn(
         "_score", F.when(F.col("_out"), F.col("_ps")).otherwise(F.lit(0.0))
     )
-    top = N.local_maximum(G.by_scene(flagged), "_score", "_top", radius)
+    top = N.local_maximum(N.settle(flagged, grid), "_score", "_top", radius)
     hit = top.where(
         F.col("valid") & F.col("_out") & (F.col("_score") > 0) & (F.col("_score") == F.col("_top"))
     )

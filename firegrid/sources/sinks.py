@@ -39,19 +39,22 @@ def _colour(klass: Column) -> Column:
 def map_points(
     mask: DataFrame, hotspots: DataFrame, grid: GridSpec, radius_km: float = 10.0, ts: str = "datetime"
 ) -> DataFrame:
-    """Marker table: hotspots TP / FN and predictions TP / FP, with popup text and colour."""
+    """Marker table: hotspots TP / FN and predictions TP / FP, with popup text and colour.
+
+    Coordinates print with four digits, exact halves to the even digit.
+    """
     spots = E.classify_hotspots(mask, hotspots, grid, radius_km).select(
         "scene_id", F.lit("hotspot").alias("layer"), "klass", "lat", "lon",
         F.format_string(
             f"<b>{HOTSPOT_TITLE}</b><br/>%s UTC<br/>lat=%.4f, lon=%.4f<br/>%s",
-            F.date_format(ts, "yyyy-MM-dd HH:mm"), F.col("lat"), F.col("lon"), F.col("klass"),
+            F.date_format(ts, "yyyy-MM-dd HH:mm"), F.bround("lat", 4), F.bround("lon", 4), F.col("klass"),
         ).alias("popup"),
     )
     preds = E.classify_predictions(mask, hotspots, grid, radius_km).select(
         "scene_id", F.lit("prediction").alias("layer"), "klass", "lat", "lon",
         F.format_string(
             f"<b>{PREDICTION_TITLE}</b><br/>lat=%.4f, lon=%.4f<br/>%s (R={radius_km:.1f} km)",
-            F.col("lat"), F.col("lon"), F.col("klass"),
+            F.bround("lat", 4), F.bround("lon", 4), F.col("klass"),
         ).alias("popup"),
     )
     return spots.unionByName(preds).withColumn("colour", _colour(F.col("klass")))

@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from firegrid.operators import grid as G
+from firegrid.operators.neighborhood import settle
 from firegrid.operators.twin import hourly_anomaly_score
 from firegrid.schema import CHANNELS, GridSpec
 
@@ -43,7 +44,7 @@ def score_closed_hours(
     sizes = tuple(median_sizes)
 
     def score(batch: DataFrame, number: int) -> None:
-        dense = G.by_scene(G.complete_grid(batch, grid))
+        dense = settle(G.complete_grid(batch, grid), grid)
         scored = hourly_anomaly_score(dense, grid, sizes)
         scored.select("scene_id", "hour", "hour_seq", "r", "c", "score", "score_valid").write.mode(
             "overwrite"
