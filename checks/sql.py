@@ -273,7 +273,7 @@ def unit_expr(value: str, pool: str, lo: float, hi: float, keys: str) -> str:
     w = f"OVER (PARTITION BY {keys})"
     a = f"quantile_cont({value}, {lit(lo)}) FILTER ({pool}) {w}"
     b = f"quantile_cont({value}, {lit(hi)}) FILTER ({pool}) {w}"
-    return f"coalesce({clip(f'({value} - {a}) / ({b} - {a} + 1e-9)')}, 0e0)"
+    return f"(CASE WHEN {a} IS NULL OR {value} IS NULL THEN 0e0 ELSE {clip(f'({value} - {a}) / ({b} - {a} + 1e-9)')} END)"
 
 
 # ---------------------------------------------------------------- event metrics

@@ -15,24 +15,33 @@ def edge(i: Column, lo: float, hi: float, n: int) -> Column:
     return F.when(i >= n, F.lit(hi)).otherwise(F.lit(lo) + i * F.lit((hi - lo) / n))
 
 
-def axis_index(v: Column, lo: float, hi: float, n: int, closed_top: bool = True) -> Column:
-    """Bin index of ``v``, NULL outside.  The floor is corrected against the true edges."""
-    i = F.floor((v - F.lit(lo)) / F.lit((hi - lo) / n)).cast("int")
-    i = (
-        F.when(v < edge(i, lo, hi, n), i - 1)
-        .when(v >= edge(i + 1, lo, hi, n), i + 1)
-        .otherwise(i)
-    )
-    top = F.lit(n - 1 if closed_top else None).cast("int")
-    return F.when(v == hi, top).when((v >= lo) & (v < hi), i)
+def axis_index(v: Column, lo: float, hi: float, n: int) -> Column:
+    """Bin index of a value already known to lie in [lo, hi]; ``hi`` itself is in the last bin.
+
+    The floor can land one bin off an edge, so it is corrected against the two edges around it.
+    """
+    step = F.lit((hi - lo) / n)
+    i = F.floor((v - F.lit(lo)) / step).cast("int")
+    low = F.lit(lo) + i * step
+    high = F.lit(lo) + (i + 1) * step
+    fixed = i - (v < low).cast("int") + (v >= high).cast("int")
+    return F.least(fixed, F.lit(n - 1))
+
+
+def in_grid(lat: Column, lon: Column, grid: GridSpec, closed_top: bool = True) -> Column:
+    """Whether a point falls in a cell: plain range predicates a scan can use.  The north and east
+    edges belong to the last cells, or to none with ``closed_top=False``."""
+    if closed_top:
+        return in_bbox(lat, lon, grid)
+    return (lat >= grid.min_lat) & (lat < grid.max_lat) & (lon >= grid.min_lon) & (lon < grid.max_lon)
 
 
-def lat_row(lat: Column, grid: GridSpec, closed_top: bool = True) -> Column:
-    return axis_index(lat, grid.min_lat, grid.max_lat, grid.h, closed_top)
+def lat_row(lat: Column, grid: GridSpec) -> Column:
+    return axis_index(lat, grid.min_lat, grid.max_lat, grid.h)
 
 
-def lon_col(lon: Column, grid: GridSpec, closed_top: bool = True) -> Column:
-    return axis_index(lon, grid.min_lon, grid.max_lon, grid.w, closed_top)
+def lon_col(lon: Column, grid: GridSpec) -> Column:
+    return axis_index(lon, grid.min_lon, grid.max_lon, grid.w)
 
 
 def center_lat(r: Column, grid: GridSpec) -> Column:

@@ -58,7 +58,7 @@ def bracketed_quantiles(
 
     A sketch brackets each quantile; only values inside the bracket are counted and ranked,
     and values outside are merely counted.  The sketch error is below 1/accuracy of the group,
-    so a bracket two errors wide always holds both neighbouring ranks.
+    so a bracket two errors and one rank wide always holds both neighbouring ranks.
     """
     keys = list(keys)
     long = df.select(
@@ -72,7 +72,7 @@ def bracketed_quantiles(
             )
         ).alias("s"),
     ).select(*keys, "s.*").where(F.col("x").isNotNull())
-    margin = 2.0 / accuracy
+    margin = 2.0 / accuracy + 1.0 / F.col("n")
     grid = [i / accuracy for i in range(accuracy + 1)]
     sketch = long.groupBy(*keys, "name", "q").agg(
         F.percentile_approx("x", grid, accuracy * 5).alias("p"),
@@ -110,8 +110,11 @@ def bracketed_quantiles(
 
 
 def unit_between(x: Column, lo: Column, hi: Column) -> Column:
-    """Scale to 0..1 between two quantiles; 0 when the pool was empty."""
-    return F.coalesce(clip((x - lo) / (hi - lo + 1e-9)), F.lit(0.0))
+    """Scale to 0..1 between two quantiles; 0 when the pool was empty.
+
+    ``least`` and ``greatest`` skip NULL, so an absent value must be settled before clipping.
+    """
+    return F.when(x.isNull() | lo.isNull(), F.lit(0.0)).otherwise(clip((x - lo) / (hi - lo + 1e-9)))
 
 
 def with_robust_units(

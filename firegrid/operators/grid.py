@@ -64,13 +64,11 @@ def grid_edges(spark, grid: GridSpec) -> DataFrame:
 
 
 def assign_cells(points: DataFrame, grid: GridSpec, closed_top: bool = True) -> DataFrame:
-    """Add ``r`` and ``c``; points outside the grid are dropped."""
-    return points.withColumns(
-        {
-            "r": geo.lat_row(F.col("lat"), grid, closed_top),
-            "c": geo.lon_col(F.col("lon"), grid, closed_top),
-        }
-    ).where(F.col("r").isNotNull() & F.col("c").isNotNull())
+    """Add ``r`` and ``c``; points outside the grid are dropped first."""
+    inside = points.where(geo.in_grid(F.col("lat"), F.col("lon"), grid, closed_top))
+    return inside.withColumns(
+        {"r": geo.lat_row(F.col("lat"), grid), "c": geo.lon_col(F.col("lon"), grid)}
+    )
 
 
 def bin_mean(pixels: DataFrame, grid: GridSpec, good_only: bool = True) -> DataFrame:
