@@ -659,8 +659,7 @@ def spot_ranks(spark: SparkSession, sf: str) -> DataFrame:
     spots = E.place_points(X.hotspots(spark, sf), GRID, closed_top=False).select("event_id", *KEY)
     probes = spots.join(day, KEY).select("event_id", "scene_id", F.col("bt13").alias("probe"))
     pool = day.where("valid").select("scene_id", F.col("bt13").alias("pool"))
-    rows = pool.unionByName(probes, allowMissingColumns=True)
-    return stats.percentile_rank(rows, SCENE, "pool", "probe")
+    return stats.percentile_rank(pool, probes, SCENE, "pool", "probe")
 
 
 @register("t3_percentile_rank", "SELECT event_id, scene_id, round(rank_pct, 6) AS rank_pct FROM spot_ranks")

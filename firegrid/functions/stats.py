@@ -165,29 +165,26 @@ def percentile_mask(
     return marked.where(pool & (x >= F.col("_thr"))).drop("_thr")
 
 
-def percentile_rank(df: DataFrame, keys: Sequence[str], value: str, probe: str, out: str = "rank_pct") -> DataFrame:
-    """100 * share of the pool (``value`` not NULL) that is <= ``probe``, for rows with a probe.
+def percentile_rank(
+    pool: DataFrame, probes: DataFrame, keys: Sequence[str], value: str, probe: str, out: str = "rank_pct"
+) -> DataFrame:
+    """Adds to ``probes`` 100 * share of the group's pool that is <= the probe value.
 
-    One range window over the union of pool and probes: no pairs are formed.
+    Equal values collapse to counts before the running sum, so many probes at one value are one
+    row of the window; the ranks come back by an equi-join.
     """
     keys = list(keys)
-    both = df.withColumn(
-        "_e",
-        F.array(
-            F.struct(F.col(value).alias("x"), F.lit(True).alias("in_pool")),
-            F.struct(F.col(probe).alias("x"), F.lit(False).alias("in_pool")),
-        ),
+    marks = pool.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_x"), F.lit(1).alias("_m")).unionByName(
+        probes.where(F.col(probe).isNotNull()).select(*keys, F.col(probe).alias("_x"), F.lit(0).alias("_m"))
     )
-    rows = both.select(*df.columns, F.explode("_e").alias("_s")).where(F.col("_s.x").isNotNull())
-    upto = Window.partitionBy(*keys).orderBy("_s.x").rangeBetween(Window.unboundedPreceding, 0)
-    total = Window.partitionBy(*keys)
-    hit = F.when(F.col("_s.in_pool"), 1)
-    return (
-        rows.withColumns({"_le": F.count(hit).over(upto), "_n": F.count(hit).over(total)})
-        .where(~F.col("_s.in_pool"))
-        .withColumn(out, 100.0 * F.col("_le") / F.greatest(F.col("_n"), F.lit(1)))
-        .drop("_s", "_le", "_n")
+    counted = marks.groupBy(*keys, "_x").agg(F.sum("_m").alias("_m"))
+    group = Window.partitionBy(*keys)
+    upto = group.orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
+    ranks = counted.select(
+        *keys, F.col("_x").alias(probe),
+        (100.0 * F.sum("_m").over(upto) / F.greatest(F.sum("_m").over(group), F.lit(1))).alias(out),
     )
+    return probes.join(ranks, [*keys, probe])
 
 
 def top_k_with_ties(df: DataFrame, keys: Sequence[str], score: Column, k: Column) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from firegrid.functions import geo
 from firegrid.operators.neighborhood import tile_side
 from firegrid.schema import SCENE, GridSpec
-from firegrid.session import cut
+from firegrid.session import cut, store
 
 
 def _spread_minimum(mask: np.ndarray, connectivity: int) -> np.ndarray:
@@ -82,7 +82,7 @@ def label_components(
     here, there = edge(F.col("r"), F.col("c")), edge(F.col("_r"), F.col("_c"))
     across = shifted.where((here[0] != there[0]) | (here[1] != there[1])).drop("_r", "_c")
     down = cells.join(across, [*keys, "r", "c"]).select(*keys, "node", "other").distinct()
-    links = cut(
+    links = store(
         down.unionByName(
             down.select(*keys, F.col("other").alias("node"), F.col("node").alias("other"))
         )
@@ -96,7 +96,7 @@ def label_components(
             *keys, "node", F.col("label").alias("_old"), F.least("label", "_near").alias("_mid")
         )
         parent = hooked.select(*keys, F.col("node").alias("_mid"), F.col("_mid").alias("_up"))
-        stepped = cut(
+        stepped = store(
             hooked.join(parent, [*keys, "_mid"], "left").select(
                 *keys, "node", F.least("_mid", F.coalesce("_up", "_mid")).alias("label"), "_old"
             )

@@ -15,11 +15,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from firegrid.functions import geo
-from firegrid.functions.stats import f1, f_beta, ratio
+from firegrid.functions.stats import bracketed_quantiles, f1, f_beta, ratio
 from firegrid.operators import components as C
 from firegrid.operators import grid as G
 from firegrid.schema import KM_PER_DEG, SCENE, GridSpec
-from firegrid.session import cut
+from firegrid.session import cut, store
 
 KEY = ("scene_id", "r", "c")
 
@@ -132,7 +132,7 @@ def event_curve(
     # Copies of a point collapse before anything is joined.
     points = place_points(hotspots, grid).groupBy("scene_id", "r", "c", "lat", "lon").agg(F.count("*").alias("copies"))
     # The units are read four times below: compute the prediction once.
-    units = cut(prediction_units(mask, grid, matching, connectivity, keys))
+    units = store(prediction_units(mask, grid, matching, connectivity, keys), "units")
     base = scenes.select(*keys).distinct() if scenes is not None else (
         units.select(*keys).distinct() if len(keys) > 1
         else units.select(*keys).unionByName(points.select(*keys)).distinct()
@@ -180,7 +180,7 @@ def hotspot_distance(
 ) -> DataFrame:
     """Every in-box hotspot row with ``km`` to its nearest unit, NULL beyond the radius."""
     points = place_points(hotspots, grid)
-    units = cut(prediction_units(mask, grid, matching))
+    units = store(prediction_units(mask, grid, matching), "units")
     reach = _reach_table(units, _reference(units, points, SCENE), grid, radius_km, SCENE)
     met = points.join(reach, list(KEY), "left").withColumn("_hit", _distances(radius_km))
     return met.withColumn("km", F.array_min(F.transform("_hit", lambda s: s["km"]))).drop("near", "_hit", "lat_ref")
@@ -191,7 +191,7 @@ def unit_distance(
 ) -> DataFrame:
     """Every unit with ``km`` to its nearest hotspot, NULL beyond the radius."""
     points = place_points(hotspots, grid)
-    units = cut(prediction_units(mask, grid, matching))
+    units = store(prediction_units(mask, grid, matching), "units")
     reach = _reach_table(units, _reference(units, points, SCENE), grid, radius_km, SCENE)
     unique = points.select("scene_id", "r", "c", "lat", "lon").distinct()
     hits = unique.join(reach, list(KEY)).select("scene_id", F.explode(_distances(radius_km)).alias("s"))
@@ -295,8 +295,8 @@ def nearest_component_km(
     the radius spans the grid.  Buckets as wide as the radius make each try an equi-join.
     """
     points = place_points(hotspots, grid)
-    units = cut(prediction_units(mask, grid, "centroid"))
-    ref = cut(_reference(units, points, SCENE))
+    units = store(prediction_units(mask, grid, "centroid"), "units")
+    ref = store(_reference(units, points, SCENE), "reference")
     left = cut(points.join(ref, "scene_id"))
     units = units.join(ref, "scene_id")
     span = math.hypot(
@@ -329,11 +329,16 @@ def nearest_component_km(
 
 
 def distance_summary(distances: DataFrame, keys: Sequence[str] = SCENE, limits: Sequence[float] = (3, 5, 8, 20, 50)) -> DataFrame:
-    return distances.groupBy(*keys).agg(
-        F.count("*").alias("n"),
-        F.min("km").alias("km_min"), F.percentile("km", F.lit(0.5)).alias("km_median"), F.max("km").alias("km_max"),
+    """Counts within each limit and min / median / max distance per scene.
+
+    Hotspots of a scene are not bounded by the grid, so the median takes the bracketed route.
+    """
+    keys = list(keys)
+    counted = distances.groupBy(*keys).agg(
+        F.count("*").alias("n"), F.min("km").alias("km_min"), F.max("km").alias("km_max"),
         *[F.count_if(F.col("km") <= d).alias(f"within_{int(d)}km") for d in limits],
     )
+    return counted.join(bracketed_quantiles(distances, keys, {"km_median": (F.col("km"), 0.5)}), keys, "left")
 
 
 def unseen_hotspots(hotspots: DataFrame, seen: DataFrame, on: Sequence[str]) -> DataFrame:

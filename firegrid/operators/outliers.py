@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from firegrid.functions import stats
 from firegrid.schema import SCENE
-from firegrid.session import cut
+from firegrid.session import cut, store
 
 KEY = ("scene_id", "r", "c")
 
@@ -393,10 +393,10 @@ def envelope_distance(df: DataFrame, columns: Sequence[str], max_steps: int = 30
         need = F.floor((F.count("*").over(whole) + p + 1) / 2)
         return frame.withColumn("_in", F.row_number().over(order) <= need)
 
-    fit = cut(_inverted(half(dist).groupBy("scene_id").agg(*_moment_columns(xs, F.col("_in"))), p))
+    fit = store(_inverted(half(dist).groupBy("scene_id").agg(*_moment_columns(xs, F.col("_in"))), p))
     for _ in range(max_steps):
         dist = data.join(fit, "scene_id").withColumn("d2", _mahalanobis(xs)).drop("mu", "inv", "logdet")
-        nxt = cut(_inverted(half(dist).groupBy("scene_id").agg(*_moment_columns(xs, F.col("_in"))), p))
+        nxt = store(_inverted(half(dist).groupBy("scene_id").agg(*_moment_columns(xs, F.col("_in"))), p))
         gain = nxt.join(fit.select("scene_id", F.col("logdet").alias("_was")), "scene_id")
         settled = gain.where(F.col("logdet") < F.col("_was") - 1e-9).isEmpty()
         fit = nxt
@@ -406,7 +406,7 @@ def envelope_distance(df: DataFrame, columns: Sequence[str], max_steps: int = 30
     # Normal quantiles 0.5 and 0.975.
     scale = F.percentile("d2", F.lit(0.5)).over(whole) / chi2_quantile(0.0, p)
     near = raw.withColumn("_in", F.col("d2") / scale < chi2_quantile(1.959964, p))
-    final = _inverted(near.groupBy("scene_id").agg(*_moment_columns(xs, F.col("_in"))), p)
+    final = store(_inverted(near.groupBy("scene_id").agg(*_moment_columns(xs, F.col("_in"))), p))
     return data.join(final, "scene_id").withColumn("envelope", _mahalanobis(xs)).drop("mu", "inv", "logdet")
 
 

@@ -13,7 +13,7 @@ from firegrid.operators import grid as G
 from firegrid.operators import neighborhood as N
 from firegrid.operators.outliers import local_outlier_factor
 from firegrid.schema import LAYER, SCENE, GridSpec
-from firegrid.session import cut
+from firegrid.session import cut, store
 
 
 @dataclass(frozen=True)
@@ -130,21 +130,20 @@ def risk_field(cube: DataFrame, grid: GridSpec, cfg: TwinConfig = TwinConfig())
 def hot_posterior(field: DataFrame, value: str = "smoothed", max_iter: int = 200, tol: float = 1e-3) -> DataFrame:
     """Two-component Gaussian mixture per scene over the valid cells: adds ``p_hot``.
 
-    Each round is one grouped aggregation for every scene together.  Starting from the lower
-    and upper half of the values, rounds stop once no scene's mean log-likelihood moves.
+    Each step is one grouped aggregation for every scene together.  Starting from the lower and
+    upper half of the values, steps run until no scene's mean log-likelihood moves by ``tol``.
+    The handful of numbers per scene is a stored table: its size decides how it is joined.
     """
     floor = 1e-4
     pool = cut(field.where(F.col("valid")).select("scene_id", "r", "c", F.col(value).alias("x")))
     stat = pool.groupBy("scene_id").agg(F.percentile("x", F.lit(0.5)).alias("mid"))
     halves = pool.join(stat, "scene_id").withColumn("g", F.when(F.col("x") > F.col("mid"), 1.0).otherwise(0.0))
-    params = cut(_mixture_params(halves, F.lit(None).cast("double"), floor))
+    params = store(_mixture_params(halves, F.lit(None).cast("double"), floor), "mixture")
     for _ in range(max_iter):
         rated = _responsibilities(pool.join(params, "scene_id"))
-        nxt = cut(_mixture_params(rated, F.avg("loglik"), floor, F.max("ll")))
-        moved = nxt.where(F.col("ll_old").isNull() | (F.abs(F.col("ll") - F.col("ll_old")) >= tol))
-        done = moved.isEmpty()
-        params = nxt
-        if done:
+        params = store(_mixture_params(rated, F.avg("loglik"), floor, F.max("ll")), "mixture")
+        moved = F.col("ll_old").isNull() | (F.abs(F.col("ll") - F.col("ll_old")) >= tol)
+        if params.where(moved).isEmpty():
             break
     final = _responsibilities(pool.join(params, "scene_id"))
     hot = F.when(F.col("m1") >= F.col("m0"), F.col("g")).otherwise(1.0 - F.col("g"))

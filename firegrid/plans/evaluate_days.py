@@ -17,7 +17,7 @@ from firegrid.operators import grid as G
 from firegrid.operators import neighborhood as N
 from firegrid.operators import twin as T
 from firegrid.schema import SCENE, GridSpec
-from firegrid.session import cut
+from firegrid.session import cut, store
 
 KEY = ("scene_id", "r", "c")
 METHODS = ("spatial_residual", "isolation_forest", "digital_twin", "combined_persistence")
@@ -194,7 +194,7 @@ def calibrate(
     cube = cut(cube)
     day = cut(N.settle(G.day_cells(cube), grid))
     truth = truth_cells(hotspots, day, grid, cfg.truth_dilation)
-    masks = cut(step_masks(name, cube, day, grid, steps, cfg))
+    masks = store(step_masks(name, cube, day, grid, steps, cfg))
     every = day.select("scene_id").distinct().withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(n_steps - 1))))
     rows = E.with_f_beta(tagged_confusion(masks, ["step"], truth, every), max(cfg.beta, 1e-6))
     sparse = masks.groupBy("scene_id", "step").agg(F.count("*").alias("mask_cells"))
@@ -226,7 +226,7 @@ def comparison_matrix(
     cube = cut(cube)
     day = cut(N.settle(G.day_cells(cube), grid))
     truth = truth_cells(hotspots, day, grid, cfg.truth_dilation)
-    masks = cut(
+    masks = store(
         reduce(
             DataFrame.unionByName,
             [

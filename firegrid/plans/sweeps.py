@@ -18,7 +18,7 @@ from firegrid.operators import learning as L
 from firegrid.operators import neighborhood as N
 from firegrid.operators import outliers as O
 from firegrid.schema import GridSpec
-from firegrid.session import cut
+from firegrid.session import cut, store
 
 KEY = ("scene_id", "r", "c")
 
@@ -135,7 +135,7 @@ def peak_sweep(
                 )
             )
     keys = ["scene_id", "sigma", "nms_radius", "threshold"]
-    masks = cut(E.masks_by_threshold(_union(found), "smoothed", thresholds, keys[:-1]))
+    masks = store(E.masks_by_threshold(_union(found), "smoothed", thresholds, keys[:-1]))
     grown = _union(
         [N.dilate(masks, g, grid, keys).withColumn("growth", F.lit(int(g))) for g in growths]
     )
@@ -161,7 +161,7 @@ def fusion_sweep(
     radii: Sequence[float] = (5.0, 8.0, 10.0),
 ) -> DataFrame:
     """Fusion mode x gate x match radius against all hotspots and against the held-out ones."""
-    masks = cut(
+    masks = store(
         _union(
             [
                 X.fused_mask(X.fuse(pred, detections, cells, grid, X.FusionConfig(mode=m, gate_km=g))).select(
@@ -203,7 +203,7 @@ def outlier_sweep(
     radii: Sequence[float] = (5.0, 8.0, 10.0),
 ) -> DataFrame:
     """Outlier filter x contamination x match radius."""
-    masks = cut(
+    masks = store(
         _union(
             [
                 O.keep_outliers(

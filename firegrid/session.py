@@ -17,6 +17,8 @@ def build_session(master: str | None = None, app: str = "firegrid", **conf: str)
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # Files of a lineage cut go once no table refers to them any more.
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         # Cells stay partitioned by scene, so a join on (scene, r, c) needs no second shuffle.
         "spark.sql.requireAllClusterKeysForCoPartition": "false",
     }
@@ -44,7 +46,21 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def store(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write ``df`` below the shared checkpoint folder and read it back.
+
+    Cuts lineage like :func:`cut`, and the reader knows the size: a join with a small stored table
+    is planned as a broadcast by that measured size, a large one is shuffled.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and drop its lineage."""
+    """Materialise ``df`` in the shared checkpoint folder and drop its lineage.
+
+    Keeps the partitioning, so tables settled by scene stay settled.
+    """
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -1,5 +1,4 @@
 import numpy as np
-import pandas as pd
 from pyspark.sql import functions as F
 
 from firegrid.functions import stats
@@ -60,8 +59,8 @@ def test_robust_unit_edges(spark):
 def test_rank_and_top_k(spark):
     pool = np.array([1.0, 2.0, 2.0, 5.0])
     probes = [0.5, 2.0, 9.0]
-    pdf = pd.DataFrame({"k": 1, "pool": list(pool) + [None] * 3, "probe": [None] * 4 + probes})
-    df = spark.createDataFrame(pdf.astype(object).where(pdf.notna(), None).values.tolist(), "k int, pool double, probe double")
-    got = {r["probe"]: r["rank_pct"] for r in stats.percentile_rank(df, ["k"], "pool", "probe").collect()}
-    assert got == {0.5: 0.0, 2.0: 75.0, 9.0: 100.0}
+    asked = groups(spark, {1: np.array(probes + [2.0] * 50)}).withColumnRenamed("x", "probe")
+    ranked = stats.percentile_rank(groups(spark, {1: pool}), asked, ["k"], "x", "probe").collect()
+    assert len(ranked) == 53
+    assert {r["probe"]: r["rank_pct"] for r in ranked} == {0.5: 0.0, 2.0: 75.0, 9.0: 100.0}
     assert stats.top_k_with_ties(groups(spark, {1: pool}), ["k"], F.col("x"), F.lit(2)).count() == 3
