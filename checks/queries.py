@@ -1647,9 +1647,9 @@ def s13(spark, sf):
 
 @register(
     "s14_map_layers",
-    "SELECT scene_id, 'hotspot' AS layer, CASE WHEN b.km <= 20e0 THEN 'TP' ELSE 'FN' END AS klass, '<b>Foco INPE</b><br/>' || strftime(ts, '%Y-%m-%d %H:%M') || ' UTC<br/>lat=' || "
+    "SELECT scene_id, 'hotspot' AS layer, CASE WHEN b.km <= 20e0 THEN 'TP' ELSE 'FN' END AS klass, '<b>Foco</b><br/>' || strftime(ts, '%Y-%m-%d %H:%M') || ' UTC<br/>lat=' || "
     "printf('%.4f', lat) || ', lon=' || printf('%.4f', lon) || '<br/>' || CASE WHEN b.km <= 20e0 THEN 'TP' ELSE 'FN' END AS popup FROM hotspots_in p LEFT JOIN spot_best b ON b.pid = p.pid "
-    "UNION ALL SELECT scene_id, 'prediction', klass, '<b>DTEC previsão</b><br/>lat=' || printf('%.4f', lat) || ', lon=' || printf('%.4f', lon) || '<br/>' || klass || ' (R=20.0 km)' "
+    "UNION ALL SELECT scene_id, 'prediction', klass, '<b>Previsão</b><br/>lat=' || printf('%.4f', lat) || ', lon=' || printf('%.4f', lon) || '<br/>' || klass || ' (R=20.0 km)' "
     "FROM (SELECT u.scene_id, u.lat, u.lon, CASE WHEN min(x.km) <= 20e0 THEN 'TP' ELSE 'FP' END AS klass FROM res_units u LEFT JOIN ec_cell_pairs x USING (scene_id, unit) GROUP BY ALL) t",
 )
 def s14(spark, sf):

@@ -12,8 +12,8 @@ from firegrid.schema import GridSpec
 
 # Layer colours and popup wording of the map.
 COLOURS = {"TP": "#238b45", "FP": "#fd8d3c", "FN": "#a50f15"}
-HOTSPOT_TITLE = "Foco INPE"
-PREDICTION_TITLE = "DTEC previsão"
+HOTSPOT_TITLE = "Foco"
+PREDICTION_TITLE = "Previsão"
 
 
 def metric_records(metrics: DataFrame, run: Mapping[str, object]) -> DataFrame:
