@@ -5,10 +5,11 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from firegrid.llm import exact_dedup, packing, quality, sharding, tokens
+from firegrid.llm import byte_bpe, exact_dedup, language, packing, quality, sharding, simhash, tokens, warc
 from firegrid.llm.shared import documents
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+BYTE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
 def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,16 +32,38 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(documents(spark, sf_dir))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return language.identify(docs, language.learn(language.training_rows(docs)))
+
+
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = byte_bpe.encode(documents(spark, sf_dir), BYTE_RANKS, public_tokenizers.PATTERN)
+    return byte_bpe.digests(byte_bpe.decode(encoded, BYTE_RANKS, public_tokenizers.PATTERN))
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.page_records(warc.round_trip(spark, spark.read.parquet(f"{sf_dir}/pages.parquet"), least_bytes=0))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), WORD_TOKENIZER, end_id=0, capacity=2048, with_ids=False)
 
 
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(documents(spark, sf_dir), radius=3)
+
+
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_quality_rules": op2_quality_rules,
     "op3_shards": op3_shards,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_language_id": op5_language_id,
+    "op6_byte_bpe": op6_byte_bpe,
+    "op7_warc": op7_warc,
     "op8_packing": op8_packing,
+    "op10_simhash": op10_simhash,
 }
 
 SQL = {

@@ -68,7 +68,7 @@ def batch_of(schema: pa.Schema, columns: dict) -> pa.RecordBatch:
 
 
 def safe_pieces(text: str, limit: int) -> Iterator[str]:
-    """``text`` in pieces of about ``limit`` characters, cut only before a blank that follows a letter or digit.
+    """``text`` in pieces of about ``limit`` characters, cut only where a blank follows something else.
 
     No match of a word pattern without look-behind runs over such a place, so pieces give the same
     matches as the whole. A stretch without such a place stays whole.
@@ -83,7 +83,7 @@ def safe_pieces(text: str, limit: int) -> Iterator[str]:
     yield text[at:]
 
 
-_SAFE = re.compile(r"[A-Za-z0-9][ \n](?=[A-Za-z0-9])")
+_SAFE = re.compile(r"\S(?=[ \t\n\r])")
 
 
 class SharedFiles:
