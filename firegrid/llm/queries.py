@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from firegrid.llm import byte_bpe, exact_dedup, language, packing, quality, sharding, simhash, tokens, warc
+from firegrid.llm import byte_bpe, exact_dedup, language, packing, quality, sharding, simhash, suffix_dedup, tokens, warc
 from firegrid.llm.shared import documents
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -50,6 +50,10 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), WORD_TOKENIZER, end_id=0, capacity=2048, with_ids=False)
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digests(suffix_dedup.remove_repeats(documents(spark, sf_dir)))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir), radius=3)
 
@@ -63,6 +67,7 @@ QUERIES = {
     "op6_byte_bpe": op6_byte_bpe,
     "op7_warc": op7_warc,
     "op8_packing": op8_packing,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_simhash": op10_simhash,
 }
 
