@@ -8,6 +8,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from firegrid.llm.shared import batch_of, texts_of
 
@@ -52,17 +53,22 @@ def measure_text(text: str) -> tuple[int, ...]:
     )
 
 
-def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of measurements per row of ``docs``; null text counts as none."""
+def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
+    """One row of measurements per row of ``docs``; null text counts as none. ``carry`` adds the whole row as ``row``."""
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    if carry:
+        own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [measure_text(t) for t in texts_of(batch)]
+            texts = batch.column(1).field(text_col).to_pylist() if carry else texts_of(batch)
+            rows = [measure_text(t or "") for t in texts]
             columns = dict(zip(MEASURES.names[1:], map(list, zip(*rows)))) if rows else dict.fromkeys(MEASURES.names, [])
-            yield batch_of(MEASURES, columns | {"doc_id": batch.column(0)})
+            out = batch_of(MEASURES, columns | {"doc_id": batch.column(0)})
+            yield out.append_column("row", batch.column(1)) if carry else out
 
-    schema = ", ".join(f"{n} long" for n in MEASURES.names)
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(task, schema)
+    schema = T.StructType([T.StructField(n, T.LongType()) for n in MEASURES.names] + ([own.schema["row"]] if carry else []))
+    return own.mapInArrow(task, schema)
 
 
 def at_most(share: float, part: str, of: str) -> Column:
@@ -103,13 +109,13 @@ def mask(policy: str) -> int:
     return sum(1 << bits[name] for name in POLICIES[policy])
 
 
-def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
     """Measurements and ``failures`` (bit b is set where the rule of bit b fails), one row per row of ``docs``."""
     bits = [F.when(r.fails, F.lit(1 << r.bit)).otherwise(F.lit(0)) for r in rules()]
     total = bits[0]
     for b in bits[1:]:
         total = total.bitwiseOR(b)
-    return measures(docs, id_col, text_col).withColumn("failures", total.cast("long"))
+    return measures(docs, id_col, text_col, carry).withColumn("failures", total.cast("long"))
 
 
 def verdicts(table: DataFrame, policy: str) -> DataFrame:
@@ -123,6 +129,11 @@ def verdicts(table: DataFrame, policy: str) -> DataFrame:
     )
 
 
+def keep_good(docs: DataFrame, policy: str) -> DataFrame:
+    """Rows of ``docs`` that ``policy`` keeps, as they are."""
+    return verdicts(ledger(docs, carry=True), policy).where("kept").select("row.*")
+
+
 def ablations(table: DataFrame, policy: str) -> DataFrame:
     """Per rule of ``policy``: rows it fails, rows only it fails (kept without it), rows kept by it alone.
 

@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from firegrid.llm.shared import batch_of, store, texts_of
 
@@ -425,8 +426,9 @@ def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_bytes, n_removed, spans (start, end of removed runs), kept (bytes).
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_bytes, n_removed, spans (start, end of removed runs), kept (bytes),
+    row (the columns ``carry``).
 
     A byte goes where a string of ``LENGTH`` bytes covers it that also starts earlier: in a document
     of smaller id, or before in the same one. Strings are judged on the input. Null text counts as
@@ -442,6 +444,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc"),
         F.xxhash64(text).alias("tie"),
         text.alias("text"),
+        F.struct(F.lit(0).alias("_"), *(F.col(f"`{c}`") for c in carry)).alias("row"),
     )
     size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -453,7 +456,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column = {n: batch.column(i).to_pylist() for i, n in enumerate(batch.schema.names)}
+            column = {n: batch.column(i).to_pylist() for i, n in enumerate(batch.schema.names) if n != "row"}
             rows = {n: [] for n in CUT.names}
             for doc_id, tie, content, ranges in zip(column["doc_id"], column["tie"], column["text"], column["ranges"]):
                 raw = content.encode()
@@ -463,12 +466,26 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 values = (doc_id, len(raw), len(raw) - len(kept), [{"start": a, "end": b} for a, b in spans], kept)
                 for name, value in zip(CUT.names, values):
                     rows[name].append(value)
-            yield batch_of(CUT, rows)
+            row = batch.column(batch.schema.get_field_index("row"))
+            yield batch_of(CUT, rows).append_column("row", row)
 
-    schema = "doc_id long, n_bytes long, n_removed long, spans array<struct<start: long, end: long>>, kept binary"
+    spans = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
+    schema = T.StructType([T.StructField(n, T.LongType()) for n in CUT.names[:3]])
+    schema = schema.add("spans", spans).add("kept", T.BinaryType()).add(own.schema["row"])
     return dealt.join(by_doc, "doc", "left").mapInArrow(cut, schema)
 
 
+def kept_texts(cut: DataFrame) -> DataFrame:
+    """``cut`` with ``text``: the kept bytes as a string, without what is left of characters cut in two."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [k.decode("utf-8", "ignore") for k in batch.column(batch.schema.get_field_index("kept")).to_pylist()]
+            yield batch.append_column("text", pa.array(texts, pa.string()))
+
+    return cut.mapInArrow(task, T.StructType([*cut.schema.fields, T.StructField("text", T.StringType())]))
+
+
 def digests(cut: DataFrame) -> DataFrame:
     return cut.select(
         "doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
