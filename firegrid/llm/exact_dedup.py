@@ -41,14 +41,14 @@ def exact_dedup(
     length, an empty table gives no rows, further columns are ignored. Rows that repeat an id and a
     text each count in ``group_size`` and share one verdict.
 
-    The normalised table is written once; one read of it (ids and digests) meets the groups that the
-    other read gives. That join is on the digest alone, with texts only for digests of several texts.
+    Texts are read twice: for the groups, and for the digests of all rows that then meet the groups.
+    That join is on the digest alone, with texts only for digests of several texts.
     ``digest`` (over the column ``norm``) can be replaced by a weaker one: results stay the same.
     """
     norm = lower_ascii(F.coalesce(F.col(text_col), F.lit("")))
     normal = docs.select(F.col(id_col).alias("doc_id"), norm.alias("norm"))
     sha = F.unhex(F.sha2("norm", 256))
-    normal = store(normal.select("doc_id", "norm", sha.alias("sha"), (sha if digest is None else digest).alias("digest")), "normal")
+    normal = normal.select("doc_id", "norm", sha.alias("sha"), (sha if digest is None else digest).alias("digest"))
     groups = store(content_groups(normal, salts), "groups")
 
     columns = ("doc_id", "keep_id", "group_size", "sha")
