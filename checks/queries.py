@@ -1732,16 +1732,16 @@ def w3(spark, sf):
 S.define(
     "vectors",
     "SELECT CAST(label AS INT) AS scene_id, CAST(vec_id AS INT) AS r, 0 AS c, "
-    + ", ".join(f"CAST(embedding[{i}] AS DOUBLE) AS v{i}" for i in range(1, 7)) + " FROM embeddings",
+    + ", ".join(f"CAST(embedding[{i}] AS DOUBLE) AS v{i}" for i in range(1, 65)) + " FROM embeddings",
 )
-S.lof_cte("vector_lof", "vectors", [f"v{i}" for i in range(1, 7)], 10)
+S.lof_cte("vector_lof", "vectors", [f"v{i}" for i in range(1, 65)], 10)
 
 
 @register("m9e_lof_on_embeddings", "SELECT scene_id, r, round(lof, 6) AS lof FROM vector_lof")
 def m9e(spark, sf):
     rows = spark.read.parquet(f"{sf}/embeddings.parquet").select(
         F.col("label").cast("int").alias("scene_id"), F.col("vec_id").cast("int").alias("r"), F.lit(0).alias("c"),
-        *[F.element_at("embedding", i).cast("double").alias(f"v{i}") for i in range(1, 7)],
+        *[F.element_at("embedding", i).cast("double").alias(f"v{i}") for i in range(1, 65)],
     )
-    cols = [f"v{i}" for i in range(1, 7)]
+    cols = [f"v{i}" for i in range(1, 65)]
     return rounded(O.local_outlier_factor(rows, cols, 10).select("scene_id", "r", "lof"), "lof")

@@ -25,7 +25,7 @@ def one_band_scores(field: DataFrame, grid: GridSpec, trees: int = 200, seed: in
 def _scores(field: DataFrame, columns: Sequence[str], least: int, trees: int, seed: int, grid: GridSpec) -> DataFrame:
     seen = field.where("seen13").withColumn("_n", F.count("*").over(Window.partitionBy(*SCENE)))
     pool = seen.where(F.col("_n") >= least).select(*KEY, *columns)
-    return isolation_scores(pool, columns, trees, seed, grid.cells).select(*KEY, "iso_score")
+    return isolation_scores(pool, columns, trees, seed).select(*KEY, "iso_score")
 
 
 def multiband_field(day: DataFrame, grid: GridSpec, median_size: int = 9) -> DataFrame:

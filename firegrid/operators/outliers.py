@@ -1,7 +1,7 @@
 """Outlier detectors over per-cell features, every scene in the same job.
 
 Isolation forest: samples are drawn per (scene, tree), trees grow in blocks of 25; scoring runs
-per chunk of cells.  Local outlier factor: exact neighbours through a block-pruned nearest-neighbour join.
+per chunk of cells.  Local outlier factor: exact neighbours through a nearest-neighbour join pruned by boxes.
 Robust envelope: concentration steps as grouped moments.
 """
 
@@ -23,7 +23,7 @@ from firegrid.session import cut, store
 
 KEY = ("scene_id", "r", "c")
 
-# Feature order of the outlier layer.
+# Feature order and defaults of the outlier layer.
 OUTLIER_FEATURES = ("twin_risk", "bt13_max", "bt7_max", "btd_median", "bt13_anom_21", "persist_h")
 MIN_ROWS = 50
 BLOCK_ROWS = 1024
@@ -141,17 +141,26 @@ def _grow_trees(x: np.ndarray, tree: np.ndarray, limit: int, rng: np.random.Gene
     return pd.concat(grown)
 
 
-def isolation_scores(
-    df: DataFrame, columns: Sequence[str], trees: int = 200, seed: int = 42, group_rows: int | None = None
-) -> DataFrame:
-    """Adds ``iso_score`` in 0..1, higher = more isolated."""
+def _chunk_counts(df: DataFrame) -> DataFrame:
+    """(scene_id, _chunks): tasks of about ``CHUNK_ROWS`` rows that the counted scene needs."""
+    rows = df.groupBy(*SCENE).agg(F.count("*").alias("_rows"))
+    return rows.select("scene_id", F.ceil(F.col("_rows") / CHUNK_ROWS).cast("int").alias("_chunks"))
+
+
+def _into_chunks(df: DataFrame, chunks: DataFrame, by: Sequence[str] = ("r", "c")) -> DataFrame:
+    spread = F.pmod(F.xxhash64(*by), F.col("_chunks").cast("bigint")).cast("int")
+    return df.join(chunks, "scene_id").withColumn("_chunk", spread).drop("_chunks")
+
+
+def isolation_scores(df: DataFrame, columns: Sequence[str], trees: int = 200, seed: int = 42) -> DataFrame:
+    """Adds ``iso_score`` in 0..1, higher = more isolated.  Scene ids may be of any type."""
     columns = list(columns)
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
         scene, block = pdf["scene_id"].iloc[0], int(pdf["block"].iloc[0])
         pdf = pdf.sort_values(["tree", "r", "c"])
         sample = int(pdf.groupby("tree").size().max())
-        rng = np.random.default_rng([seed, abs(int(scene)), block])
+        rng = np.random.default_rng([seed, int(pdf["_seed"].iloc[0]), block])
         limit = math.ceil(math.log2(max(sample, 2)))
         nodes = _grow_trees(pdf[columns].to_numpy(dtype=np.float64), pdf["tree"].to_numpy(), limit, rng)
         return nodes.assign(scene_id=scene, block=block, sample=sample)[
@@ -161,15 +170,16 @@ def isolation_scores(
     scene_type = df.schema["scene_id"].dataType.simpleString()
     sampled = _sample_rows(df.select(*KEY, *columns), trees, seed).withColumn(
         "block", F.floor(F.col("tree") / TREE_BLOCK).cast("int")
-    )
+    ).withColumn("_seed", F.pmod(F.xxhash64("scene_id"), F.lit(1 << 31)))
     forest = sampled.groupBy("scene_id", "block").applyInPandas(
         grow,
         f"scene_id {scene_type}, block int, tree int, node int, feature int, cut double, lo int, hi int, "
         "path double, sample int",
     )
-    chunks = max(1, math.ceil((group_rows or CHUNK_ROWS) / CHUNK_ROWS))
-    chunked = df.withColumn("_chunk", F.pmod(F.xxhash64("r", "c"), F.lit(chunks)).cast("int"))
-    copies = forest.withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+    chunks = _chunk_counts(df)
+    chunked = _into_chunks(df, chunks)
+    copies = forest.join(chunks, "scene_id").withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)))
+    copies = copies.drop("_chunks")
     names = df.columns
 
     def score(cells: pd.DataFrame, nodes: pd.DataFrame) -> pd.DataFrame:
@@ -222,28 +232,98 @@ def _pieces(n: int):
     return [slice(s, min(s + 512, n)) for s in range(0, n, 512)]
 
 
+def _split_space(x: np.ndarray, leaves: int) -> list[tuple[int, int, float, int, int]]:
+    """(node, axis, cut, left, right) of a binary split of space into ``leaves`` or a few more parts.
+
+    Each part is halved at the median of its widest axis; axis -1 marks a leaf.
+    """
+    nodes: list[tuple[int, int, float, int, int]] = []
+    fresh, todo = 1, [(0, x, leaves)]
+    while todo:
+        node, part, want = todo.pop()
+        spread = np.ptp(part, axis=0) if len(part) else np.zeros(0)
+        axis = int(spread.argmax()) if want > 1 and spread.size and spread.max() > 0 else -1
+        at = float(np.median(part[:, axis])) if axis >= 0 else 0.0
+        if axis >= 0 and not (part[:, axis] > at).any():
+            at = float(part[part[:, axis] < at, axis].max())  # most rows lie on the upper edge
+        if axis < 0:
+            nodes.append((node, -1, 0.0, -1, -1))
+            continue
+        nodes.append((node, axis, at, fresh, fresh + 1))
+        low = part[:, axis] <= at
+        todo += [(fresh, part[low], want // 2), (fresh + 1, part[~low], want - want // 2)]
+        fresh += 2
+    return sorted(nodes)
+
+
+def _blocks(points: DataFrame, xs: Sequence[str]) -> DataFrame:
+    """``points`` with ``block`` and ``part``: regions of about ``BLOCK_ROWS`` rows, split over all features.
+
+    The regions come from a hash sample of the scene (16 rows a region).  A region that stays too
+    large, as copies cannot be told apart, is dealt to parts of that size by the hash of the row.
+    """
+    scene_type = points.schema["scene_id"].dataType.simpleString()
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in points.schema.fields)
+    names = points.columns
+    rows = points.groupBy(*SCENE).agg(F.count("*").alias("_rows"))
+    share = F.greatest(F.lit(16.0 / BLOCK_ROWS), 4096.0 / F.col("_rows"))
+    drawn = F.pmod(F.xxhash64("id", F.lit(7)), F.lit(1 << 30)) < share * (1 << 30)
+
+    def split(pdf: pd.DataFrame) -> pd.DataFrame:
+        leaves = math.ceil(int(pdf["_rows"].iloc[0]) / BLOCK_ROWS)
+        nodes = pd.DataFrame(_split_space(pdf.sort_values("id")[list(xs)].to_numpy(), leaves), columns=["node", "axis", "cut", "lo", "hi"])
+        nodes.insert(0, "scene_id", pdf["scene_id"].iloc[0])
+        return nodes
+
+    tree_type = f"scene_id {scene_type}, node int, axis int, cut double, lo int, hi int"
+    trees = points.join(rows, "scene_id").where(drawn).groupBy("scene_id").applyInPandas(split, tree_type)
+    chunks = _chunk_counts(points)
+    copies = trees.join(chunks, "scene_id").withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)))
+
+    def place(pdf: pd.DataFrame, nodes: pd.DataFrame) -> pd.DataFrame:
+        nodes = nodes.sort_values("node")
+        axis, at, lo, hi = (nodes[c].to_numpy() for c in ("axis", "cut", "lo", "hi"))
+        x = pdf[list(xs)].to_numpy()
+        node = np.zeros(len(x), dtype=np.int64)
+        while len(x) and len(axis) and (axis[node] >= 0).any():
+            a = axis[node]
+            down = np.where(x[np.arange(len(x)), np.maximum(a, 0)] <= at[node], lo[node], hi[node])
+            node = np.where(a >= 0, down, node)
+        return pdf[names].assign(block=node)
+
+    placed = cut(
+        _into_chunks(points, chunks, ("id",))
+        .groupBy("scene_id", "_chunk")
+        .cogroup(copies.drop("_chunks").groupBy("scene_id", "_chunk"))
+        .applyInPandas(place, f"{fields}, block int")
+    )
+    sizes = placed.groupBy("scene_id", "block").agg(F.ceil(F.count("*") / (4 * BLOCK_ROWS)).alias("_parts"))
+    part = F.pmod(F.xxhash64("id"), F.col("_parts")).cast("int")
+    return placed.join(sizes, ["scene_id", "block"]).withColumn("part", part).drop("_parts")
+
+
 def nearest_neighbors(df: DataFrame, columns: Sequence[str], k: int) -> DataFrame:
-    """Exact k nearest rows of the same scene: (scene_id, id, nid, dist).
+    """Exact k nearest rows of the same scene: (scene_id, id, nid, dist); equal distances keep id order.
 
-    Rows are cut into blocks of about 1,024 along the first column.  A first pass inside each
-    block bounds the k-th distance; a row then visits only blocks whose interval it can reach
-    within that bound.  Tasks return k rows per visit, never all pairs.
+    ``id`` packs (r, c) into 64 bits.  Rows are cut into blocks by all features.  A first pass inside
+    each block bounds the k-th distance; blocks whose boxes lie within a block's largest bound are
+    paired, and of a pair only rows that can reach the other box travel.  So a task holds two blocks,
+    and gives k rows per visit, never all pairs.  A row whose k nearest are its own copies visits
+    no other block.
     """
     columns = list(columns)
     scene_type = df.schema["scene_id"].dataType.simpleString()
-    along = Window.partitionBy(*SCENE).orderBy(columns[0], "r", "c")
-    n = F.count("*").over(Window.partitionBy(*SCENE))
-    rank = F.row_number().over(along) - 1
+    xs = [f"x{i}" for i in range(len(columns))]
+    xdef = ", ".join(f"{x} double" for x in xs)
     points = cut(
         df.select(
             "scene_id",
-            (F.col("r") * F.lit(1 << 20) + F.col("c")).cast("bigint").alias("id"),
-            *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(columns)],
-            F.floor(rank * F.ceil(n / BLOCK_ROWS) / n).cast("int").alias("block"),
+            (F.shiftleft(F.col("r").cast("bigint"), 32) + F.col("c")).alias("id"),
+            *[F.col(c).cast("double").alias(x) for c, x in zip(columns, xs)],
         )
     )
-    xs = [f"x{i}" for i in range(len(columns))]
-    xdef = ", ".join(f"{x} double" for x in xs)
+    points = cut(_blocks(points, xs))
+    home = ["scene_id", "block", "part"]
 
     def bound(pdf: pd.DataFrame) -> pd.DataFrame:
         x = pdf[xs].to_numpy()
@@ -255,19 +335,38 @@ def nearest_neighbors(df: DataFrame, columns: Sequence[str], k: int) -> DataFram
                 reach[s] = _nearest(x[s], x, same, k)[1][:, -1]
         return pdf.assign(reach=reach)
 
-    bounded = points.groupBy("scene_id", "block").applyInPandas(
-        bound, f"scene_id {scene_type}, id bigint, {xdef}, block int, reach double"
+    bounded = cut(
+        points.select("scene_id", "id", *xs, "block", "part")
+        .groupBy(*home)
+        .applyInPandas(bound, f"scene_id {scene_type}, id bigint, {xdef}, block int, part int, reach double")
     )
-    spans = points.groupBy("scene_id", "block").agg(F.min("x0").alias("lo"), F.max("x0").alias("hi"))
-    spans = spans.groupBy("scene_id").agg(F.collect_list(F.struct("block", "lo", "hi")).alias("spans"))
     # Rounding must not hide a block that touches the bound.
     slack = F.col("reach") * (1.0 + 1e-9) + 1e-12
-    reachable = F.filter(
-        "spans", lambda s: (s["lo"] <= F.col("x0") + slack) & (s["hi"] >= F.col("x0") - slack)
+    boxes = cut(
+        bounded.groupBy(*home).agg(
+            *[F.min(x).alias(f"lo_{x}") for x in xs], *[F.max(x).alias(f"hi_{x}") for x in xs], F.max("reach").alias("reach")
+        )
     )
-    visits = bounded.join(spans, "scene_id").select(
-        "scene_id", "id", *xs, F.explode(F.transform(reachable, lambda s: s["block"])).alias("block")
+    there = boxes.select(
+        "scene_id", F.col("block").alias("to_block"), F.col("part").alias("to_part"),
+        *[F.col(f"{e}_{x}").alias(f"{e}_to_{x}") for x in xs for e in ("lo", "hi")],
     )
+    zero = F.lit(0.0)
+    gaps = [F.greatest(F.col(f"lo_to_{x}") - F.col(f"hi_{x}"), F.col(f"lo_{x}") - F.col(f"hi_to_{x}"), zero) for x in xs]
+    apart = F.sqrt(sum((g * g for g in gaps), zero))
+    own = (F.col("block") == F.col("to_block")) & (F.col("part") == F.col("to_part"))
+    pairs = cut(boxes.join(there, "scene_id").where(own | ((F.col("reach") > 0) & (apart <= slack))).select(
+        *home, "to_block", "to_part", *[f"{e}_to_{x}" for x in xs for e in ("lo", "hi")]
+    ))
+    gaps = [F.greatest(F.col(f"lo_to_{x}") - F.col(x), F.col(x) - F.col(f"hi_to_{x}"), zero) for x in xs]
+    apart = F.sqrt(sum((g * g for g in gaps), zero))
+    visit = [*home, "to_block", "to_part"]
+    visits = bounded.join(pairs, home).where(own | ((F.col("reach") > 0) & (apart <= slack))).select(*visit, "id", *xs)
+    hosts = points.withColumnsRenamed({"block": "to_block", "part": "to_part"}).join(
+        pairs.select(*visit), ["scene_id", "to_block", "to_part"]
+    )
+    # Names of their own: both sides come from the same pairs.
+    hosts = hosts.select(*[F.col(c).alias(c) for c in (*visit, "id", *xs)])
 
     def search(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
         p = p.sort_values("id")
@@ -279,22 +378,14 @@ def nearest_neighbors(df: DataFrame, columns: Sequence[str], k: int) -> DataFram
             own = pid[np.minimum(here, len(pid) - 1)] == qid[s] if len(pid) else np.zeros(0, bool)
             same = (np.flatnonzero(own), here[own])
             idx, dist = _nearest(qx[s], px, same, k)
-            out.append(
-                pd.DataFrame(
-                    {
-                        "id": np.repeat(qid[s], idx.shape[1]),
-                        "nid": pid[idx].ravel(),
-                        "dist": dist.ravel(),
-                    }
-                )
-            )
+            out.append(pd.DataFrame({"id": np.repeat(qid[s], idx.shape[1]), "nid": pid[idx].ravel(), "dist": dist.ravel()}))
         res = pd.concat(out) if out else pd.DataFrame({"id": [], "nid": [], "dist": []})
         res.insert(0, "scene_id", q["scene_id"].iloc[0] if len(q) else None)
         return res[np.isfinite(res["dist"])]
 
     found = (
-        visits.groupBy("scene_id", "block")
-        .cogroup(points.groupBy("scene_id", "block"))
+        visits.groupBy(*visit)
+        .cogroup(hosts.groupBy(*visit))
         .applyInPandas(search, f"scene_id {scene_type}, id bigint, nid bigint, dist double")
     )
     best = Window.partitionBy("scene_id", "id").orderBy("dist", "nid")
@@ -314,8 +405,8 @@ def local_outlier_factor(df: DataFrame, columns: Sequence[str], neighbors: int =
     mean = around.groupBy("scene_id", "id").agg(F.avg("nlrd").alias("mean_lrd"))
     factor = mean.join(lrd, ["scene_id", "id"]).select(
         "scene_id",
-        F.shiftright("id", 20).cast("int").alias("r"),
-        F.col("id").bitwiseAND(F.lit((1 << 20) - 1)).cast("int").alias("c"),
+        F.shiftright("id", 32).cast("int").alias("r"),
+        F.col("id").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("c"),
         (F.col("mean_lrd") / F.col("lrd")).alias("lof"),
     )
     return df.join(factor, list(KEY))
@@ -437,7 +528,7 @@ def outlier_mask(
 
     def one(method: str) -> DataFrame:
         if method == "isolation_forest":
-            scored = isolation_scores(scaled, cols, cfg.trees, cfg.seed, group_rows)
+            scored = isolation_scores(scaled, cols, cfg.trees, cfg.seed)
             return above_share(scored, "iso_score", cfg.contamination, group_rows)
         if method == "local_outlier_factor":
             return above_share(local_outlier_factor(scaled, cols, cfg.neighbors), "lof", cfg.contamination, group_rows)

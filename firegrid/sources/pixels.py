@@ -12,9 +12,11 @@ from firegrid.schema import CHANNELS
 
 
 def read_pixels(spark, path: str) -> DataFrame:
-    """Parquet pixel table; NaN brightness becomes NULL once, here."""
-    rows = spark.read.parquet(path)
-    return rows.withColumn("bt", F.when(~F.isnan("bt"), F.col("bt")))
+    """Parquet pixel table as it is, so that predicates on the brightness reach the scan.
+
+    NaN brightness is dropped with the range by the quality filter, which every binning starts with.
+    """
+    return spark.read.parquet(path)
 
 
 def long_pixels(wide: DataFrame, channels: Sequence[int] = CHANNELS) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,8 +74,8 @@ def write_years(rows: DataFrame, path: str, year: str = "year") -> None:
 def normalise_detections(raw: DataFrame) -> DataFrame:
     """Second-sensor rows as lat, lon, datetime, confidence (other columns kept).
 
-    HHMM times are zero padded.  Text confidence l / n / h becomes 30 / 60 / 90 and any other
-    text NULL; a column that is numeric throughout stays numeric.
+    HHMM times are zero padded.  Confidence is decided row by row, so files of both kinds read alike
+    together or alone: l / n / h becomes 30 / 60 / 90, a number stays, any other text is NULL.
     """
     rows = raw.withColumnsRenamed(
         {a: b for a, b in (("latitude", "lat"), ("longitude", "lon")) if a in raw.columns}
@@ -93,15 +94,9 @@ def normalise_detections(raw: DataFrame) -> DataFrame:
     else:
         rows = rows.withColumn("datetime", F.lit(None).cast("timestamp"))
     if "confidence" in rows.columns and dict(rows.dtypes)["confidence"] == "string":
-        text = rows.where(F.col("confidence").isNotNull() & _number("confidence").isNull())
-        if text.isEmpty():
-            rows = rows.withColumn("confidence", _number("confidence"))
-        else:
-            level = F.lower("confidence")
-            rows = rows.withColumn(
-                "confidence",
-                F.when(level == "l", 30.0).when(level == "n", 60.0).when(level == "h", 90.0),
-            )
+        level = F.lower("confidence")
+        named = F.when(level == "l", 30.0).when(level == "n", 60.0).when(level == "h", 90.0)
+        rows = rows.withColumn("confidence", F.coalesce(named, _number("confidence")))
     return rows
 
 
@@ -112,12 +107,13 @@ def load_detections(spark: SparkSession, path: str | Sequence[str]) -> DataFrame
 def load_cached_detections(spark: SparkSession, folder: str, source: str, days: Sequence[str]) -> DataFrame:
     """Cached files of (source, day); an empty typed table when none exists.
 
-    The folder listing runs in the cluster's file system, as a glob on exact file names.
+    The reader's own globs pick the names (files or folders), wherever the cache lies.
     """
     names = ",".join(f"firms_{source}_{d}.csv" for d in days)
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{{{names}}}")
-    found = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(jvm_path)
-    files = [s.getPath().toString() for s in (found or [])]
-    if not files:
+    try:
+        raw = read_delimited(spark, f"{folder}/{{{names}}}")
+    except AnalysisException as e:
+        if e.getCondition() not in ("UNABLE_TO_INFER_SCHEMA", "PATH_NOT_FOUND"):
+            raise
         return spark.createDataFrame([], DETECTION_SCHEMA)
-    return load_detections(spark, files)
+    return normalise_detections(raw)

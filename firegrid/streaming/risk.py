@@ -12,8 +12,9 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from firegrid.operators import grid as G
 from firegrid.operators.neighborhood import settle
-from firegrid.operators.twin import hourly_anomaly_score
+from firegrid.operators.twin import fuse_step, hourly_anomaly_score
 from firegrid.schema import CHANNELS, GridSpec
+from firegrid.session import cut
 
 RISK_OUTPUT = "scene_id {scene}, r int, c int, hour_seq int, risk double, late int"
 RISK_STATE = "risk double, last_hour int"
@@ -22,14 +23,20 @@ RISK_STATE = "risk double, last_hour int"
 def hourly_cells(pixels: DataFrame, grid: GridSpec, delay: str = "1 hour", ts: str = "ts") -> DataFrame:
     """Streaming binning: quality filter, one-hour tumbling window, mean per channel and cell.
 
-    Pixels older than the watermark are dropped by the engine.
+    ``hour`` is the clock hour of the window and ``hour_seq`` its number, which orders the hours of
+    all days.  Pixels older than the watermark are dropped by the engine.
     """
     placed = G.assign_cells(G.quality_filter(pixels.withWatermark(ts, delay)), grid)
     hourly = placed.groupBy(F.window(ts, "1 hour"), "scene_id", "r", "c").agg(
         *[F.avg(F.when(F.col("channel") == ch, F.col("bt"))).alias(f"bt{ch}") for ch in CHANNELS],
         F.count("bt").alias("n"),
     )
-    return hourly.select("scene_id", F.col("window.start").alias("hour_start"), "r", "c", *[f"bt{ch}" for ch in CHANNELS], "n")
+    start = F.col("window.start")
+    number = F.floor(F.unix_timestamp(start) / 3600).cast("int")
+    return hourly.select(
+        "scene_id", start.alias("hour_start"), F.pmod(number, F.lit(24)).alias("hour"), number.alias("hour_seq"), "r", "c",
+        *[f"bt{ch}" for ch in CHANNELS], "n",
+    )
 
 
 def score_closed_hours(
@@ -91,6 +98,64 @@ def risk_states(scored: DataFrame, persistence: float = 0.5, mode: str = "prob_o
     )
 
 
+def advance_risk(
+    pixels: DataFrame,
+    grid: GridSpec,
+    out_path: str,
+    checkpoint: str,
+    persistence: float = 0.5,
+    mode: str = "prob_or",
+    median_sizes: Iterable[int] = (5, 9, 15),
+    delay: str = "1 hour",
+    keep_hours: int = 24,
+) -> StreamingQuery:
+    """From streamed pixels to the risk of every cell: binning, scoring and assimilation in one query.
+
+    An hour reaches a micro-batch once and whole, when the watermark closes it.  Each batch folds its
+    hours, in order, into the risk that the batch before left, all in the JVM, and writes the open
+    scenes to a folder of its own: scene_id, r, c, risk, hour_seq (the last one seen).  A scene whose
+    last hour lies ``keep_hours`` back is dropped, so the state ends with the day.  A repeated batch
+    reads the same predecessor and overwrites itself.
+    """
+    sizes = tuple(median_sizes)
+    key = ["scene_id", "r", "c"]
+
+    def advance(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        cells = cut(batch.drop("hour_start", "n"))
+        dense = settle(G.complete_grid(cells, grid), grid)
+        scored = hourly_anomaly_score(dense, grid, sizes).select(*key, "hour_seq", "score", "score_valid")
+        steps = scored.groupBy(*key).agg(
+            F.array_sort(F.collect_list(F.struct("hour_seq", "score", "score_valid"))).alias("steps"),
+            F.max("hour_seq").alias("_new"),
+        )
+        if number:
+            before = spark.read.parquet(f"{out_path}/batch={number - 1}")
+        else:
+            before = steps.select(*key, F.lit(0.0).alias("risk"), F.lit(None).cast("int").alias("hour_seq")).limit(0)
+        folded = F.aggregate(
+            F.coalesce("steps", F.array().cast(steps.schema["steps"].dataType)),
+            F.coalesce("risk", F.lit(0.0)),
+            lambda acc, o: fuse_step(acc, o["score"], o["score_valid"], persistence, mode),
+        )
+        state = before.join(steps, key, "full").select(
+            *key, folded.alias("risk"), F.greatest("hour_seq", "_new").alias("hour_seq")
+        )
+        newest = cells.agg(F.max("hour_seq")).first()[0]
+        if newest is not None:
+            state = state.where(F.col("hour_seq") > newest - keep_hours)
+        state.write.mode("overwrite").parquet(f"{out_path}/batch={number}")
+
+    return (
+        hourly_cells(pixels, grid, delay)
+        .writeStream.foreachBatch(advance)
+        .option("checkpointLocation", checkpoint)
+        .outputMode("append")
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
 def latest_risk(updates: DataFrame) -> DataFrame:
     """Current risk of each cell from the stream of updates."""
     newest = F.max_by("risk", "hour_seq").alias("risk")

@@ -10,7 +10,7 @@ from firegrid.operators import twin as T
 from firegrid.plans import evaluate_days as P
 from firegrid.session import cut
 
-from .helpers import cube_of, grid_of, hot_patch, isolated_points, mask_of, to_array, to_mask
+from .helpers import FRONT, STREWN, cube_of, fire_front, grid_of, mask_of, strewn_fires, to_array, to_mask
 
 
 def rates(pred, truth):
@@ -20,32 +20,33 @@ def rates(pred, truth):
 
 
 @pytest.fixture(scope="module")
-def patch(spark):
-    hours, truth = hot_patch()
+def front(spark):
+    hours, truth = fire_front()
     return cut(cube_of(spark, hours)), hours, truth
 
 
-RELAXED = D.PersistenceConfig(
-    hour_percentile=72.0, adaptive=False, weights=(0.45, 0.25, 0.30), min_persist=0.0, persist_floor=0.0,
-    persist_scale=0.0, min_active_hours=0, opening_from_cells=0, opening_rounds=0, min_component=1, norm=(4.0, 96.0),
+# A front of this size is far more than a tenth of the scene: nothing is cut by persistence or size.
+WIDE = D.PersistenceConfig(
+    hour_percentile=80.0, adaptive=False, weights=(0.4, 0.2, 0.4), min_persist=0.0, persist_floor=0.0,
+    persist_scale=0.0, min_active_hours=0, opening_from_cells=0, opening_rounds=0, min_component=1,
 )
-TWIN = T.TwinConfig(persistence=0.58, sigma=1.0, dbt_weight=0.52, lof_neighbors=0, median_sizes=(5, 9))
+TWIN = T.TwinConfig(persistence=0.6, sigma=0.8, dbt_weight=0.6, lof_neighbors=0, median_sizes=(7, 15))
 
 
-def test_patch_is_found_by_persistence_twin_and_both(patch, spark):
-    cube, _, truth = patch
-    g = grid_of(52, 52)
+def test_front_is_found_by_persistence_twin_and_both(front, spark):
+    cube, _, truth = front
+    g = grid_of(*FRONT)
     share = truth.mean()
-    a = to_mask(D.combined_persistence(cube, share, g, 4, RELAXED), truth.shape)
+    a = to_mask(D.combined_persistence(cube, share, g, 3, WIDE), truth.shape)
     b = to_mask(T.risk_mask(cube, share, g, TWIN), truth.shape)
     both = to_mask(D.intersect_masks(mask_of(spark, a), mask_of(spark, b)), truth.shape)
-    for pred in (a, b, both):
-        p, f = rates(pred, truth)
-        assert p > 0.8 and f > 0.8
     assert np.array_equal(both, a & b)
+    for pred in (a, b):
+        p, f = rates(pred, truth)
+        assert p > 0.75 and f > 0.75
 
 
-def score_brute(slot, sizes=(5, 9), weight=0.52):
+def score_brute(slot, sizes=(7, 15), weight=0.6):
     def unit(x, v):
         lo, hi = np.percentile(x[v], [3, 97])
         return np.clip((x - lo) / (hi - lo + 1e-9), 0, 1)
@@ -62,18 +63,18 @@ def score_brute(slot, sizes=(5, 9), weight=0.52):
     return np.clip((total / len(sizes) + weight * extra) / (1 + weight), 0, 1)
 
 
-def test_score_and_assimilation_match_arrays(patch):
-    cube, hours, truth = patch
-    g = grid_of(52, 52)
-    scored = cut(T.hourly_anomaly_score(cube, g, (5, 9), 0.52))
+def test_score_and_assimilation_match_arrays(front):
+    cube, hours, truth = front
+    g = grid_of(*FRONT)
+    scored = cut(T.hourly_anomaly_score(cube, g, (7, 15), 0.6))
     want = [score_brute(s) for s in hours]
     for i, w in enumerate(want):
         assert np.allclose(to_array(scored.where(F.col("hour_seq") == i), "score", truth.shape), w, atol=1e-9)
     for mode in ("prob_or", "max_persist"):
         risk = np.zeros(truth.shape)
         for w in want:
-            risk = np.maximum(risk * 0.58, w) if mode == "max_persist" else 1 - (1 - risk * 0.58) * (1 - w)
-        got = to_array(T.assimilate(scored, 0.58, mode), "risk", truth.shape)
+            risk = np.maximum(risk * 0.6, w) if mode == "max_persist" else 1 - (1 - risk * 0.6) * (1 - w)
+        got = to_array(T.assimilate(scored, 0.6, mode), "risk", truth.shape)
         assert np.allclose(got, risk, atol=1e-9)
     with pytest.raises(ValueError):
         T.assimilate(scored, 0.5, "sum")
@@ -86,9 +87,9 @@ def test_order_and_invalid_hours(spark):
     assert T.assimilate(df, 0.5, "prob_or").first()["risk"] == pytest.approx(1 - 0.6 * 0.8)
 
 
-def test_mixture_separates_the_patch(patch):
-    cube, _, truth = patch
-    g = grid_of(52, 52)
+def test_mixture_separates_the_front(front):
+    cube, _, truth = front
+    g = grid_of(*FRONT)
     field = cut(T.risk_field(cube, g, TWIN))
     pred = to_mask(T.mixture_mask(field, truth.mean(), g), truth.shape)
     p, f = rates(pred, truth)
@@ -97,39 +98,37 @@ def test_mixture_separates_the_patch(patch):
     assert hot[truth].mean() > hot[~truth].mean()
 
 
-def test_event_detector_on_isolated_points(spark):
-    hours, truth = isolated_points()
-    cube, g = cut(cube_of(spark, hours)), grid_of(40, 40)
+def test_event_detector_on_strewn_fires(spark):
+    hours, truth = strewn_fires()
+    cube, g = cut(cube_of(spark, hours)), grid_of(*STREWN)
     layers = D.event_layers(cube, g)
-    risk = cut(D.event_risk(layers, g, 3))
-    values = to_array(risk, "risk", truth.shape)
+    values = to_array(cut(D.event_risk(layers, g, 4)), "risk", truth.shape)
     assert np.isfinite(values).all() and values.min() >= 0
-    # No sun glint in this scene: the defensive spectral limits are opened.
-    open_cfg = D.EventConfig(risk_percentile=92.0, btd_low=10.0, btd_high=99.5, glint=100.0, max_component=0)
-    pred = to_mask(D.event_detector(cube, g, 3, open_cfg), truth.shape)
-    assert (pred & truth).sum() > 0
-    small = to_mask(D.event_detector(cube, g, 3, D.EventConfig(max_component=1, risk_percentile=90.0)), truth.shape)
+    # The scene has no glint, so the limits against it are opened.
+    wide = D.EventConfig(risk_percentile=90.0, btd_low=5.0, btd_high=99.9, glint=100.0, max_component=0)
+    assert (to_mask(D.event_detector(cube, g, 4, wide), truth.shape) & truth).any()
+    small = to_mask(D.event_detector(cube, g, 4, D.EventConfig(max_component=1, risk_percentile=85.0)), truth.shape)
     near = np.pad(small, 1)
     lone = ~(near[:-2, 1:-1] | near[2:, 1:-1] | near[1:-1, :-2] | near[1:-1, 2:])
-    assert (small & ~lone).sum() == 0
+    assert not (small & ~lone).any()
 
 
-def test_forest_finds_the_points_and_needs_rows(spark):
-    hours, truth = isolated_points()
-    g = grid_of(40, 40)
+def test_forest_finds_the_fires_and_needs_rows(spark):
+    hours, truth = strewn_fires()
+    g = grid_of(*STREWN)
     day = cut(G.day_cells(cube_of(spark, hours)))
     pred = to_mask(R.forest_mask(day, g, 0.02), truth.shape)
-    assert (pred & truth).sum() >= 4 and pred.sum() <= 0.03 * truth.size
+    assert (pred & truth).sum() >= 5 and pred.sum() <= 0.03 * truth.size
     few = day.where("r < 6 AND c < 6")
     assert R.one_band_mask(few, grid_of(6, 6), 0.05).isEmpty()
 
 
 def test_residual_mask_and_empty_scene(spark):
-    hours, truth = isolated_points()
-    g = grid_of(40, 40)
+    hours, truth = strewn_fires()
+    g = grid_of(*STREWN)
     day = cut(G.day_cells(cube_of(spark, hours)))
-    pred = to_mask(D.spatial_residual(day, g, 0.005), truth.shape)
-    assert (pred & truth).sum() == 5
+    pred = to_mask(D.spatial_residual(day, g, 0.006), truth.shape)
+    assert (pred & truth).sum() == 7
     empty = {ch: np.full((5, 5), np.nan) for ch in (7, 13, 14)}
     none = G.day_cells(cube_of(spark, [empty]))
     assert D.spatial_residual(none, grid_of(5, 5), 0.1).isEmpty()
@@ -145,25 +144,28 @@ def test_hour_rules_and_masks():
     assert preset.min_component == 5 and preset.persist_floor == 0.26 and preset.weights == (0.39, 0.17, 0.44)
 
 
-def test_hour_percentiles_must_match(patch):
-    cube, _, _ = patch
+def test_hour_percentiles_must_match(front):
+    cube, _, _ = front
     with pytest.raises(ValueError):
-        D.persistence_field(cube, grid_of(52, 52), 4, D.PersistenceConfig(hour_percentiles=(80.0,)))
+        D.persistence_field(cube, grid_of(*FRONT), 3, D.PersistenceConfig(hour_percentiles=(80.0,)))
 
 
-def test_calibrated_step_equals_a_direct_run(patch, spark):
-    cube, _, truth = patch
-    g = grid_of(52, 52)
-    rows = [(1, float(-8 + g.lat_step * (r + 0.5)), float(-42 + g.lon_step * (c + 0.5))) for r, c in np.argwhere(truth)]
+def test_calibrated_step_equals_a_direct_run(front, spark):
+    cube, _, truth = front
+    g = grid_of(*FRONT)
+    rows = [
+        (1, float(g.min_lat + g.lat_step * (r + 0.5)), float(g.min_lon + g.lon_step * (c + 0.5))) for r, c in np.argwhere(truth)
+    ]
     spots = spark.createDataFrame(rows, "scene_id int, lat double, lon double")
-    cfg = P.RunConfig(hours=(1, 2, 3, 4), truth_dilation=0, twin=TWIN, persistence=RELAXED)
-    best = P.calibrate("digital_twin", cube, spots, g, cfg).first()
+    cfg = P.RunConfig(hours=(1, 2, 3), truth_dilation=0, twin=TWIN, persistence=WIDE)
     day = cut(G.day_cells(cube))
-    mask = T.risk_mask(cube, best["contamination"], g, TWIN)
-    flags = E.with_flag(E.with_flag(day, mask, "pred"), mask_of(spark, truth), "truth")
-    direct = E.confusion(flags).first()
-    assert (best["tp"], best["fp"]) == (direct["tp"], direct["fp"]) and best["f_beta"] > 0.8
-    cal = P.calibrate("combined_persistence", cube, spots, g, cfg).first()
-    mask = D.combined_persistence(cube, cal["contamination"], g, 4, RELAXED)
-    direct = E.confusion(E.with_flag(E.with_flag(day, mask, "pred"), mask_of(spark, truth), "truth")).first()
-    assert (cal["tp"], cal["fp"]) == (direct["tp"], direct["fp"])
+
+    def direct(mask):
+        return E.confusion(E.with_flag(E.with_flag(day, mask, "pred"), mask_of(spark, truth), "truth")).first()
+
+    best = P.calibrate("digital_twin", cube, spots, g, cfg).first()
+    same = direct(T.risk_mask(cube, best["contamination"], g, TWIN))
+    assert (best["tp"], best["fp"]) == (same["tp"], same["fp"]) and best["f_beta"] > 0.75
+    best = P.calibrate("combined_persistence", cube, spots, g, cfg).first()
+    same = direct(D.combined_persistence(cube, best["contamination"], g, 3, WIDE))
+    assert (best["tp"], best["fp"]) == (same["tp"], same["fp"])

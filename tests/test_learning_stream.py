@@ -5,35 +5,40 @@ from pyspark.sql import functions as F
 from firegrid.operators import features as M
 from firegrid.operators import learning as L
 from firegrid.operators import twin as T
+from firegrid.operators.grid import hourly_cube
 from firegrid.plans import day_products as DP
 from firegrid.plans import sweeps as W
 from firegrid.session import cut, scratch_path
 from firegrid.streaming import risk as ST
 
-from .helpers import cube_of, grid_of, isolated_points, to_array, to_mask
+from .helpers import STREWN, cube_of, grid_of, strewn_fires, to_array, to_mask
 
-G40 = grid_of(40, 40)
+GRID = grid_of(*STREWN)
 
 
 @pytest.fixture(scope="module")
 def scene(spark):
     cubes, spots = None, []
     for k in (1, 2):
-        hours, truth = isolated_points(seed=k)
+        hours, truth = strewn_fires(seed=k)
         part = cube_of(spark, hours, k)
         cubes = part if cubes is None else cubes.unionByName(part)
         spots += [
-            (k, float(G40.min_lat + G40.lat_step * (r + 0.5)), float(G40.min_lon + G40.lon_step * (c + 0.5)))
+            (k, float(GRID.min_lat + GRID.lat_step * (r + 0.5)), float(GRID.min_lon + GRID.lon_step * (c + 0.5)))
             for r, c in np.argwhere(truth)
         ]
     hotspots = spark.createDataFrame(spots, "scene_id int, lat double, lon double")
     cube = cut(cubes.repartition("scene_id"))
-    return cube, hotspots, truth, cut(DP.labelled_features(cube, hotspots, G40))
+    return cube, hotspots, truth, cut(DP.labelled_features(cube, hotspots, GRID))
+
+
+def truth_of(seed):
+    return strewn_fires(seed=seed)[1]
 
 
 def test_features_match_arrays(spark, scene):
     cube, _, truth, table = scene
-    hours, _ = isolated_points(seed=1)
+    hours, _ = strewn_fires(seed=1)
     mine = table.where("scene_id = 1")
     b13 = np.stack([h[13] for h in hours])
     assert np.allclose(to_array(mine, "bt13_max", truth.shape), b13.max(0))
@@ -43,12 +48,13 @@ def test_features_match_arrays(spark, scene):
     pad = np.pad(b13.max(0), 10, mode="edge")
     bg = np.median(np.lib.stride_tricks.sliding_window_view(pad, (21, 21)), axis=(2, 3))
     assert np.allclose(to_array(mine, "bt13_anom_21", truth.shape), b13.max(0) - bg)
-    assert mine.where("label").count() == 45
+    assert mine.where("label").count() == 9 * truth_of(1).sum()
 
 
 @pytest.mark.parametrize("cfg", [L.ClassifierConfig(), L.multiday_config(rounds=10)])
 def test_classifiers_rank_the_points(scene, cfg):
-    _, _, truth, table = scene
+    _, _, _, table = scene
+    truth = truth_of(1)
     prob = cut(L.predict_probability(L.fit_classifier(table, cfg), table))
     low, high = prob.agg(F.min("prob"), F.max("prob")).first()
     assert 0 <= low <= high <= 1
@@ -57,7 +63,7 @@ def test_classifiers_rank_the_points(scene, cfg):
     assert p[truth].mean() > p.mean() + 0.2
     peaks = to_mask(L.peak_mask(mine, 0.3, 2, 0.0), truth.shape)
     assert not (peaks & ~(p >= 0.3)).any()
-    assert not (peaks & ~to_mask(L.grown_peaks(mine, G40, 0.3, 2, 0.0, 2), truth.shape)).any()
+    assert not (peaks & ~to_mask(L.grown_peaks(mine, GRID, 0.3, 2, 0.0, 2), truth.shape)).any()
 
 
 def test_unknown_classifier_and_one_class(scene):
@@ -70,16 +76,16 @@ def test_unknown_classifier_and_one_class(scene):
 
 def test_folds_partition_the_grid(scene):
     _, _, truth, table = scene
-    fold = to_array(table.where("scene_id = 1").withColumn("fold", M.spatial_fold(G40)), "fold", truth.shape)
-    cuts = [0, 13, 26, 40]
+    fold = to_array(table.where("scene_id = 1").withColumn("fold", M.spatial_fold(GRID)), "fold", truth.shape)
+    rows, columns = [0, 12, 24, 36], [0, 14, 29, 44]
     for i in range(3):
         for j in range(3):
-            assert (fold[cuts[i] : cuts[i + 1], cuts[j] : cuts[j + 1]] == 3 * i + j).all()
+            assert (fold[rows[i] : rows[i + 1], columns[j] : columns[j + 1]] == 3 * i + j).all()
 
 
 def test_leave_one_out_and_summary(scene):
     _, hotspots, _, table = scene
-    rows = cut(L.leave_one_scene_out(table, hotspots, G40, [1, 2], L.multiday_config(kind="logreg"), 30.0, 0.5))
+    rows = cut(L.leave_one_scene_out(table, hotspots, GRID, [1, 2], L.multiday_config(kind="logreg"), 30.0, 0.5))
     assert sorted(r["scene_id"] for r in rows.collect()) == [1, 2]
     s = L.held_out_summary(rows).first()
     f = [r["f1"] for r in rows.collect()]
@@ -92,7 +98,7 @@ def test_event_sweep_has_every_setting(scene):
         "median_sizes": ((3,),), "btd_low": (10.0,), "btd_high": (99.0,), "risk_percentile": (90.0, 97.0),
         "min_active_hours": (1, 2), "weight_anomaly": (0.55,), "weight_persistence": (0.25,), "max_component": (1, 0),
     }
-    rows = W.event_sweep(cube, hotspots, G40, 3, space, 30.0).collect()
+    rows = W.event_sweep(cube, hotspots, GRID, 3, space, 30.0).collect()
     assert len(rows) == 2 * 8
     loose = {(r["scene_id"], r["min_active_hours"], r["max_component"], r["risk_percentile"]): r["n_components"] for r in rows}
     assert all(loose[(1, h, 0, 90.0)] >= loose[(1, h, 1, 90.0)] for h in (1, 2))
@@ -107,21 +113,48 @@ def stream_of(spark, df, name, parts):
 
 def test_stream_equals_batch_and_flags_late_hours(spark, scene):
     cube, _, _, _ = scene
-    scored = cut(T.hourly_anomaly_score(cube.where("scene_id = 1"), G40).select("scene_id", "hour_seq", "r", "c", "score", "score_valid"))
+    scored = cut(T.hourly_anomaly_score(cube.where("scene_id = 1"), GRID).select("scene_id", "hour_seq", "r", "c", "score", "score_valid"))
     hour = lambda s: scored.where(F.col("hour_seq") == s)
     base = scratch_path(spark, "t")
-    ST.run_to_parquet(ST.risk_states(stream_of(spark, scored, "s", [hour(0), hour(1), hour(2), hour(1)])), f"{base}/o", f"{base}/c")
+    ST.run_to_parquet(ST.risk_states(stream_of(spark, scored, "s", [hour(0), hour(1), hour(2), hour(3), hour(1)])), f"{base}/o", f"{base}/c")
     updates = spark.read.parquet(f"{base}/o")
-    assert updates.where("late = 1").count() == 1600
-    got = to_array(ST.latest_risk(updates), "risk", (40, 40))
-    assert np.allclose(got, to_array(T.assimilate(scored), "risk", (40, 40)), atol=1e-12)
+    assert updates.where("late = 1").count() == STREWN[0] * STREWN[1]
+    got = to_array(ST.latest_risk(updates), "risk", STREWN)
+    assert np.allclose(got, to_array(T.assimilate(scored), "risk", STREWN), atol=1e-12)
     with pytest.raises(ValueError):
         ST.risk_states(scored, mode="sum")
 
 
+def test_pixels_to_risk_in_one_stream(spark):
+    """Hours arrive out of order inside the delay; the last ones stay open until the watermark closes them."""
+    h, w = 12, 14
+    g = grid_of(h, w)
+    rng = np.random.default_rng(4)
+    parts = []
+    for hour in (0, 1, 3, 2, 4, 30):
+        rows = []
+        for r in range(h):
+            for c in range(w):
+                lat, lon = float(g.min_lat + g.lat_step * (r + 0.5)), float(g.min_lon + g.lon_step * (c + 0.5))
+                rows += [(1 + hour // 24, hour, lat, lon, ch, float(b), 0) for ch, b in zip((7, 13, 14), rng.normal((300, 295, 291), 3.0))]
+        df = spark.createDataFrame(rows, "scene_id int, h int, lat double, lon double, channel int, bt double, dqf int")
+        parts.append(df.withColumn("ts", F.expr("timestamp'2024-05-01 00:10:00' + make_dt_interval(0, h)")).drop("h"))
+    base = scratch_path(spark, "r")
+    query = ST.advance_risk(stream_of(spark, parts[0], "p", parts), g, f"{base}/o", f"{base}/c", median_sizes=(3, 5), delay="3 hours")
+    query.awaitTermination()
+    last = max(int(f.split("=")[1]) for f in __import__("os").listdir(f"{base}/o".removeprefix("file:")) if f.startswith("batch="))
+    got = to_array(spark.read.parquet(f"{base}/o/batch={last}").where("scene_id = 1"), "risk", (h, w))
+    cells = None
+    for p, seq in zip(parts[:5], (0, 1, 3, 2, 4)):
+        one = p.withColumn("hour", F.lit(seq)).withColumn("hour_seq", F.lit(seq))
+        cells = one if cells is None else cells.unionByName(one)
+    batch = T.assimilate(T.hourly_anomaly_score(hourly_cube(cells, g), g, (3, 5)))
+    assert np.allclose(got, to_array(batch, "risk", (h, w)), atol=1e-9)
+
+
 def test_product_run(scene):
     cube, hotspots, _, _ = scene
-    out = DP.day_products(cube, hotspots, hotspots, G40, L.multiday_config(kind="logreg"), 0.5)
-    scores = {k: v.collect() for k, v in DP.score_products(out, hotspots, G40, 30.0).items()}
+    out = DP.day_products(cube, hotspots, hotspots, GRID, L.multiday_config(kind="logreg"), 0.5)
+    scores = {k: v.collect() for k, v in DP.score_products(out, hotspots, GRID, 30.0).items()}
     assert set(scores) == {"peaks", "precise", "fused"} and all(len(v) == 2 for v in scores.values())
     assert out.precise.join(out.peaks, ["scene_id", "r", "c"], "left_anti").isEmpty()

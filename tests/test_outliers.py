@@ -1,45 +1,56 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from firegrid.operators import outliers as O
 from firegrid.plans import sweeps as W
 
 from .helpers import dense, grid_of, mask_of, to_array, to_mask
 
-PLANTED = ((5, 5), (8, 30), (20, 20), (33, 7), (35, 35))
+SHAPE = (34, 46)
+PLANTED = ((2, 41), (11, 9), (17, 30), (24, 22), (31, 3), (29, 44))
 
 
 @pytest.fixture(scope="module")
 def table(spark):
-    rng = np.random.default_rng(7)
-    base = dict(twin_risk=(0.2, 0.05), bt13_max=(300, 1), bt7_max=(312, 1), btd_median=(12, 0.4), bt13_anom_21=(0, 0.5), persist_h=(1, 0.3))
-    hot = dict(twin_risk=0.85, bt13_max=312, bt7_max=325, btd_median=14.5, bt13_anom_21=4.0, persist_h=3)
-    arrays = {k: rng.normal(m, s, (40, 40)) for k, (m, s) in base.items()}
+    """Correlated ordinary features; in the planted cells each is off by eight of its deviations."""
+    rng = np.random.default_rng(23)
+    common = rng.normal(size=SHAPE)
+    level = dict(twin_risk=(0.12, 0.03), bt13_max=(294.0, 0.8), bt7_max=(303.0, 1.4), btd_median=(8.0, 0.6), bt13_anom_21=(0.1, 0.4), persist_h=(1.5, 0.25))
+    arrays = {k: m + s * (0.5 * common + rng.normal(size=SHAPE)) for k, (m, s) in level.items()}
     for r, c in PLANTED:
-        for k, v in hot.items():
-            arrays[k][r, c] = v
-    return dense(spark, arrays, valid=np.ones((40, 40), dtype=bool)).cache(), arrays
+        for k, (m, s) in level.items():
+            arrays[k][r, c] = m + 8 * s
+    return dense(spark, arrays, valid=np.ones(SHAPE, dtype=bool)).cache(), arrays
 
 
 @pytest.mark.parametrize("method", ["isolation_forest", "local_outlier_factor", "elliptic_envelope", "ensemble"])
 def test_planted_cells_are_found(table, method):
     df, _ = table
-    out = to_mask(O.outlier_mask(df, O.OutlierConfig(method=method, contamination=0.02), 1600), (40, 40))
-    assert sum(out[r, c] for r, c in PLANTED) >= 3
-    assert out.sum() <= 0.025 * 1600
+    out = to_mask(O.outlier_mask(df, O.OutlierConfig(method=method, contamination=0.02)), SHAPE)
+    assert sum(out[r, c] for r, c in PLANTED) >= 5
+    assert out.sum() <= 0.025 * out.size
+
+
+def test_scenes_named_by_their_day(table):
+    df, _ = table
+    named = df.withColumn("scene_id", F.lit("2024-10-03"))
+    cfg = O.OutlierConfig(contamination=0.02, trees=50)
+    out = to_mask(O.outlier_mask(named, cfg), SHAPE)
+    assert sum(out[r, c] for r, c in PLANTED) >= 5
 
 
 def test_few_rows_unknown_names_and_filter(table, spark):
     df, _ = table
-    assert O.outlier_mask(df.where("r < 5 AND c < 8")).isEmpty()
+    assert O.outlier_mask(df.where("r < 6 AND c < 8")).isEmpty()
     with pytest.raises(ValueError):
         O.outlier_mask(df, O.OutlierConfig(method="magic"))
     with pytest.raises(KeyError):
         O.outlier_mask(df, O.OutlierConfig(features=("nothing",)))
-    cand = np.zeros((40, 40), dtype=bool)
-    cand[5, 5] = cand[0, 0] = True
-    kept = to_mask(O.keep_outliers(mask_of(spark, cand), df, O.OutlierConfig(contamination=0.02), 1600), (40, 40))
-    assert not (kept & ~cand).any() and kept[5, 5]
+    cand = np.zeros(SHAPE, dtype=bool)
+    cand[PLANTED[1]] = cand[0, 0] = True
+    kept = to_mask(O.keep_outliers(mask_of(spark, cand), df, O.OutlierConfig(contamination=0.02)), SHAPE)
+    assert not (kept & ~cand).any() and kept[PLANTED[1]]
 
 
 def brute_lof(x, k):
@@ -66,6 +77,18 @@ def test_neighbours_are_exact_across_blocks(spark, monkeypatch, copies):
     assert np.allclose(got.ravel(), want, rtol=1e-9)
 
 
+def test_constant_first_feature_and_far_rows(spark, monkeypatch):
+    """Most rows agree in the first feature; rows and columns lie beyond 16 bits."""
+    monkeypatch.setattr(O, "BLOCK_ROWS", 32)
+    rng = np.random.default_rng(12)
+    x = np.column_stack([np.where(rng.random(300) < 0.9, 0.0, rng.normal(size=300)), rng.normal(size=(300, 2))])
+    rows = [("day", 70_000 + i // 20, 90_000 + i % 20, *map(float, v)) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "scene_id string, r int, c int, a double, b double, d double")
+    got = {(r.r, r.c): r.lof for r in O.local_outlier_factor(df, ["a", "b", "d"], 8).collect()}
+    want = brute_lof(x, 8)
+    assert np.allclose([got[r[1], r[2]] for r in rows], want, rtol=1e-9)
+
+
 def test_envelope_of_clean_normal_data_is_mahalanobis(spark):
     rng = np.random.default_rng(9)
     a = rng.normal(size=(30, 30))
@@ -89,13 +112,13 @@ def test_grown_trees_are_consistent():
 
 def test_combination_modes(spark, table):
     df, _ = table
-    g = grid_of(40, 40)
-    out = O.outlier_mask(df, O.OutlierConfig(contamination=0.01), 1600).cache()
-    base = np.zeros((40, 40), dtype=bool)
+    g = grid_of(*SHAPE)
+    out = O.outlier_mask(df, O.OutlierConfig(contamination=0.01)).cache()
+    base = np.zeros(SHAPE, dtype=bool)
     base[0, 0] = True
-    grown = to_mask(W.only_outliers(out, df, 1, g), (40, 40))
-    union = to_mask(W.union_with_outliers(mask_of(spark, base), out, df, 1, g), (40, 40))
+    grown = to_mask(W.only_outliers(out, df, 1, g), SHAPE)
+    union = to_mask(W.union_with_outliers(mask_of(spark, base), out, df, 1, g), SHAPE)
     assert np.array_equal(union, grown | base)
-    prob = dense(spark, {"prob": np.random.default_rng(2).random((40, 40))}, valid=np.ones((40, 40), dtype=bool))
-    peaks = to_mask(W.outlier_weighted_peaks(prob, out, 1, 0, g), (40, 40))
-    assert not (peaks & ~to_mask(out, (40, 40))).any() and peaks.any()
+    prob = dense(spark, {"prob": np.random.default_rng(2).random(SHAPE)}, valid=np.ones(SHAPE, dtype=bool))
+    peaks = to_mask(W.outlier_weighted_peaks(prob, out, 1, 0, g), SHAPE)
+    assert not (peaks & ~to_mask(out, SHAPE)).any() and peaks.any()
