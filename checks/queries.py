@@ -882,7 +882,10 @@ def d12c(spark, sf):
     return D.combined_persistence(X.cube(spark, sf), 0.3, GRID, X.HOURS, min_component=2)
 
 
-@register("d13_precision_preset")
+@register(
+    "d13_precision_preset",
+    mask_sql(S.persistence_mask_cte("precise_mask", stats.clamped_pct(0.3), 1, D.precision_preset(), "_precise")),
+)
 def d13(spark, sf):
     return D.combined_persistence(X.cube(spark, sf), 0.3, GRID, X.HOURS, D.precision_preset(), min_component=1)
 

@@ -12,6 +12,7 @@ import math
 import re
 
 from checks import fixtures as X
+from firegrid.operators.detectors import PersistenceConfig
 from firegrid.operators.neighborhood import gaussian_weights
 from firegrid.schema import KM_PER_DEG
 
@@ -545,51 +546,56 @@ def feature_ctes() -> str:
     )
 
 
-def persistence_ctes() -> str:
-    """Combined-persistence field with the default settings."""
+def persistence_ctes(cfg: PersistenceConfig = PersistenceConfig(), tag: str = "") -> str:
+    """Combined-persistence field; ``tag`` ends the names that belong to settings of their own."""
     scored = score_ctes()
+    base, span, (low, high) = cfg.hour_percentile, cfg.adaptive_span, cfg.adaptive_clip
     define(
         "usable",
         f"SELECT s.*, d.valid, s.score_valid AND d.valid AS usable FROM {scored} s JOIN day d USING (scene_id, r, c)",
     )
     define(
-        "hour_levels",
-        "SELECT scene_id, hour, CASE WHEN count(*) >= 64 THEN greatest(79e0, least(93e0, 88e0 + 7.5e0 * greatest(0e0, "
-        "(0.12e0 - (quantile_cont(score, 0.9e0) - quantile_cont(score, 0.1e0))) / (0.12e0 + 1e-6)))) ELSE 88e0 END AS level "
+        f"hour_levels{tag}",
+        f"SELECT scene_id, hour, CASE WHEN count(*) >= 64 THEN greatest({lit(low)}, least({lit(high)}, {lit(base)} + {lit(span)} * greatest(0e0, "
+        f"(0.12e0 - (quantile_cont(score, 0.9e0) - quantile_cont(score, 0.1e0))) / (0.12e0 + 1e-6)))) ELSE {lit(base)} END AS level "
         "FROM usable WHERE usable GROUP BY ALL",
     )
     define(
-        "hour_ranked",
+        f"hour_ranked{tag}",
         "SELECT u.scene_id, u.hour, u.score, h.level, row_number() OVER (PARTITION BY u.scene_id, u.hour ORDER BY u.score) - 1 AS rk, "
         "(count(*) OVER (PARTITION BY u.scene_id, u.hour) - 1) * h.level / 100e0 AS pos FROM usable u "
-        "JOIN hour_levels h USING (scene_id, hour) WHERE u.usable",
+        f"JOIN hour_levels{tag} h USING (scene_id, hour) WHERE u.usable",
     )
     define(
-        "hour_cut",
+        f"hour_cut{tag}",
         "SELECT scene_id, hour, max(level) AS level, max(score) FILTER (rk = floor(pos)) + (max(score) FILTER (rk = ceil(pos)) "
-        "- max(score) FILTER (rk = floor(pos))) * max(pos - floor(pos)) AS thr FROM hour_ranked GROUP BY ALL",
+        f"- max(score) FILTER (rk = floor(pos))) * max(pos - floor(pos)) AS thr FROM hour_ranked{tag} GROUP BY ALL",
     )
     define(
-        "persist_cells",
+        f"persist_cells{tag}",
         "SELECT u.scene_id, u.r, u.c, CAST(count(*) FILTER (u.usable AND u.score >= h.thr) AS DOUBLE) AS active_hours, "
         "CAST(count(*) FILTER (u.usable) AS DOUBLE) AS usable_hours, max(u.score) AS peak, avg(u.score) AS mean, "
-        "bool_and(u.valid) AS valid FROM usable u LEFT JOIN hour_cut h USING (scene_id, hour) GROUP BY ALL",
+        f"bool_and(u.valid) AS valid FROM usable u LEFT JOIN hour_cut{tag} h USING (scene_id, hour) GROUP BY ALL",
     )
     define(
-        "persist_ok",
-        "SELECT *, active_hours / greatest(usable_hours, 1e-9) AS persist, valid AND usable_hours >= 1 AS eligible FROM persist_cells",
+        f"persist_ok{tag}",
+        f"SELECT *, active_hours / greatest(usable_hours, 1e-9) AS persist, valid AND usable_hours >= 1 AS eligible FROM persist_cells{tag}",
     )
-    total = 0.42 + 0.21 + 0.37
+    total = sum(cfg.weights)
+    peak, mean, persist = (lit(w / total) for w in cfg.weights)
+    q = [n / 100.0 for n in cfg.norm]
     return define(
-        "persist_field",
-        f"SELECT *, {lit(0.42 / total)} * {unit_expr('peak', 'eligible', 0.06, 0.94, 'scene_id')} + "
-        f"{lit(0.21 / total)} * {unit_expr('mean', 'eligible', 0.06, 0.94, 'scene_id')} + {lit(0.37 / total)} * persist AS combined "
-        "FROM persist_ok",
+        f"persist_field{tag}",
+        f"SELECT *, {peak} * {unit_expr('peak', 'eligible', *q, 'scene_id')} + "
+        f"{mean} * {unit_expr('mean', 'eligible', *q, 'scene_id')} + {persist} * persist AS combined "
+        f"FROM persist_ok{tag}",
     )
 
 
-def persistence_mask_cte(name: str, q: float, least: int = 3) -> str:
-    field = persistence_ctes()
+def persistence_mask_cte(
+    name: str, q: float, least: int = 3, cfg: PersistenceConfig = PersistenceConfig(), tag: str = ""
+) -> str:
+    field, crowd = persistence_ctes(cfg, tag), cfg.opening_from_cells
     define(
         f"{name}_thr",
         f"SELECT *, quantile_cont(combined, {lit(q)}) FILTER (eligible) OVER (PARTITION BY scene_id) AS thr, "
@@ -598,14 +604,14 @@ def persistence_mask_cte(name: str, q: float, least: int = 3) -> str:
     define(
         f"{name}_gated",
         f"SELECT scene_id, r, c FROM {name}_thr WHERE eligible AND combined >= thr AND (seen < 2 OR persist >= "
-        "greatest(0.16e0, 0.56e0 / seen)) AND active_hours >= 2",
+        f"greatest({lit(cfg.persist_floor)}, {lit(cfg.persist_scale)} / seen)) AND active_hours >= 2",
     )
     define(f"{name}_n", f"SELECT *, count(*) OVER (PARTITION BY scene_id) AS n FROM {name}_gated")
-    define(f"{name}_big", f"SELECT scene_id, r, c FROM {name}_n WHERE n >= 260")
+    define(f"{name}_big", f"SELECT scene_id, r, c FROM {name}_n WHERE n >= {crowd}")
     opening_cte(f"{name}_open", f"{name}_big", "cross")
     define(
         f"{name}_all",
-        f"SELECT scene_id, r, c FROM {name}_n WHERE n < 260 UNION ALL SELECT scene_id, r, c FROM {name}_open",
+        f"SELECT scene_id, r, c FROM {name}_n WHERE n < {crowd} UNION ALL SELECT scene_id, r, c FROM {name}_open",
     )
     return sized_cte(name, f"{name}_all", least, 0, 1)
 
