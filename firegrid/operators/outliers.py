@@ -511,34 +511,62 @@ def above_share(df: DataFrame, score: str, contamination: float, group_rows: int
     return cut_at.where(-F.col(score) < F.col("_cut")).select(*KEY)
 
 
-def outlier_mask(
-    features: DataFrame, cfg: OutlierConfig = OutlierConfig(), group_rows: int | None = None
+METHODS = ("isolation_forest", "local_outlier_factor", "elliptic_envelope")
+
+
+def outlier_masks(
+    features: DataFrame,
+    methods: Sequence[str],
+    contaminations: Sequence[float],
+    cfg: OutlierConfig = OutlierConfig(),
+    group_rows: int | None = None,
 ) -> DataFrame:
-    """Outlying valid cells in feature space.  Scenes with fewer than 50 valid cells give none."""
+    """Outlying valid cells per method and contamination: (scene_id, r, c, method, contamination).
+
+    A method is fitted once, as its score does not depend on the contamination; one pass finds all
+    thresholds.  The ensemble counts the votes of the three methods.  Scenes with fewer than 50
+    valid cells give none.
+    """
     missing = [f for f in cfg.features if f not in features.columns]
     if missing:
         raise KeyError(f"unknown features {missing}")
+    unknown = [m for m in methods if m not in (*METHODS, "ensemble")]
+    if unknown:
+        raise ValueError(f"unknown outlier method: {unknown[0]}")
     cols = list(cfg.features)
-    known = ("isolation_forest", "local_outlier_factor", "elliptic_envelope")
-    if cfg.method not in (*known, "ensemble"):
-        raise ValueError(f"unknown outlier method: {cfg.method}")
     pool = features.where("valid").select(*KEY, *cols)
     pool = pool.withColumn("_n", F.count("*").over(Window.partitionBy(*SCENE))).where(F.col("_n") >= MIN_ROWS)
     scaled = cut(scale_features(pool.drop("_n"), cols))
 
-    def one(method: str) -> DataFrame:
+    def scores(method: str) -> DataFrame:
         if method == "isolation_forest":
-            scored = isolation_scores(scaled, cols, cfg.trees, cfg.seed)
-            return above_share(scored, "iso_score", cfg.contamination, group_rows)
-        if method == "local_outlier_factor":
-            return above_share(local_outlier_factor(scaled, cols, cfg.neighbors), "lof", cfg.contamination, group_rows)
-        return above_share(envelope_distance(scaled, cols), "envelope", cfg.contamination, group_rows)
-
-    if cfg.method != "ensemble":
-        return one(cfg.method)
-    votes = reduce(DataFrame.unionByName, [one(m) for m in known])
-    agreed = votes.groupBy(*KEY).agg(F.count("*").alias("votes")).where(F.col("votes") >= cfg.min_agree)
-    return agreed.drop("votes")
+            found = isolation_scores(scaled, cols, cfg.trees, cfg.seed).withColumnRenamed("iso_score", "_score")
+        elif method == "local_outlier_factor":
+            found = local_outlier_factor(scaled, cols, cfg.neighbors).withColumnRenamed("lof", "_score")
+        else:
+            found = envelope_distance(scaled, cols).withColumnRenamed("envelope", "_score")
+        return found.select(*KEY, "_score")
+
+    def beyond(method: str) -> DataFrame:
+        shares = {f"_cut{i}": (-F.col("_score"), min(max(c, 0.001), 0.5)) for i, c in enumerate(contaminations)}
+        placed = stats.with_quantiles(cut(scores(method)), SCENE, shares, group_rows)
+        hit = [F.when(-F.col("_score") < F.col(f"_cut{i}"), F.lit(float(c))) for i, c in enumerate(contaminations)]
+        hits = F.explode(F.filter(F.array(*hit), lambda c: c.isNotNull())).alias("contamination")
+        return placed.select(*KEY, F.lit(method).alias("method"), hits)
+
+    votes = cut(reduce(DataFrame.unionByName, [beyond(m) for m in METHODS if m in methods or "ensemble" in methods]))
+    own = votes.where(F.col("method").isin(*methods))
+    if "ensemble" not in methods:
+        return own
+    agreed = votes.groupBy(*KEY, "contamination").agg(F.count("*").alias("_votes")).where(F.col("_votes") >= cfg.min_agree)
+    return own.unionByName(agreed.select(*KEY, F.lit("ensemble").alias("method"), "contamination"))
+
+
+def outlier_mask(
+    features: DataFrame, cfg: OutlierConfig = OutlierConfig(), group_rows: int | None = None
+) -> DataFrame:
+    """Outlying valid cells in feature space.  Scenes with fewer than 50 valid cells give none."""
+    return outlier_masks(features, (cfg.method,), (cfg.contamination,), cfg, group_rows).select(*KEY)
 
 
 def keep_outliers(

@@ -202,18 +202,9 @@ def outlier_sweep(
     contaminations: Sequence[float] = (0.005, 0.01, 0.02, 0.04, 0.08, 0.12),
     radii: Sequence[float] = (5.0, 8.0, 10.0),
 ) -> DataFrame:
-    """Outlier filter x contamination x match radius."""
-    masks = store(
-        _union(
-            [
-                O.keep_outliers(
-                    candidates, features, O.OutlierConfig(method=m, contamination=c), grid.cells
-                ).select(*KEY, F.lit(m).alias("method"), F.lit(float(c)).alias("contamination"))
-                for m in methods
-                for c in contaminations
-            ]
-        )
-    )
+    """Outlier filter x contamination x match radius; each method is fitted once."""
+    found = O.outlier_masks(features, methods, contaminations, group_rows=grid.cells)
+    masks = store(found.join(candidates.select(*KEY), list(KEY), "left_semi"))
     every = (
         features.select("scene_id").distinct()
         .withColumn("method", F.explode(F.array(*[F.lit(m) for m in methods])))

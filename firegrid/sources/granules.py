@@ -73,7 +73,11 @@ def nearest_granule(requests: DataFrame, granules: DataFrame) -> DataFrame:
 
 def locate_granules(requests: DataFrame, names: DataFrame, column: str = "name") -> DataFrame:
     """For each (day, channel, hour): the first granule of that hour, else the first of that day
-    and channel with ``is_fallback``.  Requests that resolve to nothing keep a NULL name."""
+    and channel with ``is_fallback``.  Requests without an hour (no such column, or NULL) ask for the
+    first of the day.  Requests that resolve to nothing keep a NULL name."""
+    wanted = requests.columns
+    if "hour" not in wanted:
+        requests = requests.withColumn("hour", F.lit(None).cast("int"))
     base = base_name(F.col(column))
     tagged = names.where(base.endswith(".nc")).select(
         base.alias("name"),
@@ -90,9 +94,9 @@ def locate_granules(requests: DataFrame, names: DataFrame, column: str = "name")
         asked.join(exact, ["_ymd", "channel", "hour"], "left")
         .join(daily, ["_ymd", "channel"], "left")
         .select(
-            *requests.columns,
+            *wanted,
             F.coalesce("_exact", "_any").alias("name"),
-            (F.col("_exact").isNull() & F.col("_any").isNotNull()).alias("is_fallback"),
+            (F.col("hour").isNotNull() & F.col("_exact").isNull() & F.col("_any").isNotNull()).alias("is_fallback"),
         )
     )
 

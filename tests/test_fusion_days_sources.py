@@ -181,6 +181,14 @@ def test_granules(spark):
     assert names(GR.missing_days(days, loose)) == ["2024-11-01"]
 
 
+def test_granule_of_a_day_without_an_hour(spark):
+    names = [f"OR_ABI-L2-CMIPF-M6C07_G16_s2024123{h}00204_e0_c0.nc" for h in ("17", "16")]
+    days = spark.createDataFrame([(dt.date(2024, 5, 2), 7), (dt.date(2024, 5, 3), 7)], "day date, channel int")
+    got = GR.locate_granules(days, spark.createDataFrame([(n,) for n in names], "name string"))
+    assert got.columns == ["day", "channel", "name", "is_fallback"]
+    assert sorted((r["day"].day, r["name"], r["is_fallback"]) for r in got.collect()) == [(2, names[1], False), (3, None, False)]
+
+
 def test_map_layers_and_records(spark, tmp_path):
     m = np.zeros((60, 60), dtype=bool)
     m[10, 10] = m[50, 50] = True
