@@ -1447,6 +1447,15 @@ def e9c(spark, sf):
     return event_view(rows, "scene_id", "method", "contamination")
 
 
+@register("e9d_outlier_mode_sweep")
+def e9d(spark, sf):
+    cube = cut(X.cube(spark, sf))
+    base = T.risk_mask(cube, 0.05, GRID, T.TwinConfig(lof_neighbors=0))
+    feats = cut(M.build_features(cube, GRID))
+    rows = W.outlier_mode_sweep(cut(base), cut(risk_probability(spark, sf)), feats, X.hotspots(spark, sf), GRID)
+    return event_view(rows, "scene_id", "mode", "method", "contamination", "peak_radius", "growth")
+
+
 S.define(
     "nearest_km",
     "SELECT p.event_id, p.scene_id, min(x.km) AS km FROM hotspots_in p JOIN ec_mid_pairs x ON x.pid = p.pid GROUP BY ALL",

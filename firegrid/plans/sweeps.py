@@ -239,3 +239,60 @@ def outlier_weighted_peaks(
         F.col("valid") & F.col("_out") & (F.col("_score") > 0) & (F.col("_score") == F.col("_top"))
     )
     return L.grow(hit.select(*KEY), prob, growth, grid)
+
+
+def outlier_mode_sweep(
+    base: DataFrame,
+    prob: DataFrame,
+    features: DataFrame,
+    hotspots: DataFrame,
+    grid: GridSpec,
+    methods: Sequence[str] = ("isolation_forest", "local_outlier_factor", "elliptic_envelope", "ensemble"),
+    contaminations: Sequence[float] = (0.005, 0.01, 0.02, 0.04, 0.08),
+    growths: Sequence[int] = (0, 1, 2),
+    peak_radii: Sequence[int] = (1, 2, 3),
+    radii: Sequence[float] = (10.0,),
+    sigma: float = 1.2,
+) -> DataFrame:
+    """Events of every way to use outliers: alone, added to ``base``, or as peaks of ``prob``.
+
+    One row per scene, mode (only / union / peaks), method, contamination, peak radius (0 where none),
+    growth and match radius.  Methods are fitted once; settings are rows of one table of masks.
+    """
+    setting = ["scene_id", "method", "contamination"]
+    found = store(O.outlier_masks(features, methods, contaminations, group_rows=grid.cells))
+    valid = features.where("valid").select(*KEY)
+
+    def grown(mask: DataFrame, n: int, keys: Sequence[str]) -> DataFrame:
+        return N.dilate(mask, n, grid, keys).join(valid, list(KEY), "left_semi") if n else mask.select(*keys, "r", "c")
+
+    pairs = F.explode(
+        F.array(*[F.struct(F.lit(m).alias("method"), F.lit(float(c)).alias("contamination")) for m in methods for c in contaminations])
+    )
+    smooth = N.gaussian_smooth(prob, "prob", "_ps", sigma).select(*KEY, "_ps")
+    dense = smooth.withColumn("_p", pairs).select(*KEY, "_ps", "_p.method", "_p.contamination")
+    score = F.when(F.col("_out"), F.col("_ps")).otherwise(F.lit(0.0))
+    dense = dense.join(found.withColumn("_out", F.lit(True)), [*setting, "r", "c"], "left").withColumn("_score", score)
+    scored = cut(N.settle(dense, grid))
+
+    def as_mode(mask: DataFrame, mode: str, peak: int, growth: int) -> DataFrame:
+        named = {"mode": F.lit(mode), "peak_radius": F.lit(peak), "growth": F.lit(growth)}
+        return mask.select(*setting, "r", "c").withColumns(named)
+
+    parts = []
+    wide = base.select(*KEY).withColumn("_p", pairs).select(*KEY, "_p.method", "_p.contamination")
+    for n in growths:
+        alone = grown(found, n, setting)
+        parts.append(as_mode(alone, "only", 0, n))
+        parts.append(as_mode(alone.select(*setting, "r", "c").unionByName(wide).distinct(), "union", 0, n))
+    for d in peak_radii:
+        top = N.local_maximum(scored, "_score", "_top", d, setting)
+        hit = cut(top.where(F.col("_out") & (F.col("_score") > 0) & (F.col("_score") == F.col("_top"))).select(*setting, "r", "c"))
+        parts += [as_mode(grown(hit, n, setting), "peaks", d, n) for n in growths]
+    masks = store(_union(parts))
+    modes = [("only", 0), ("union", 0), *(("peaks", d) for d in peak_radii)]
+    cases = [F.struct(F.lit(m).alias("mode"), F.lit(d).alias("peak_radius"), F.lit(n).alias("growth")) for m, d in modes for n in growths]
+    every = features.select("scene_id").distinct().withColumn("_p", pairs).withColumn("_m", F.explode(F.array(*cases)))
+    every = every.select("scene_id", "_p.method", "_p.contamination", "_m.mode", "_m.peak_radius", "_m.growth")
+    keys = ["scene_id", "mode", "method", "contamination", "peak_radius", "growth"]
+    return E.event_curve(masks, hotspots, grid, radii, valid=features, scenes=every, keys=keys)
