@@ -2,10 +2,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from firegrid.operators import evaluate as E
 from firegrid.operators import outliers as O
 from firegrid.plans import sweeps as W
 
-from .helpers import dense, grid_of, mask_of, to_array, to_mask
+from .helpers import dense, grid_of, mask_of, points_of, to_array, to_mask
 
 SHAPE = (34, 46)
 PLANTED = ((2, 41), (11, 9), (17, 30), (24, 22), (31, 3), (29, 44))
@@ -122,3 +123,26 @@ def test_combination_modes(spark, table):
     prob = dense(spark, {"prob": np.random.default_rng(2).random(SHAPE)}, valid=np.ones(SHAPE, dtype=bool))
     peaks = to_mask(W.outlier_weighted_peaks(prob, out, 1, 0, g), SHAPE)
     assert not (peaks & ~to_mask(out, SHAPE)).any() and peaks.any()
+
+
+def test_mode_sweep_equals_single_runs(spark, table):
+    df, _ = table
+    g = grid_of(*SHAPE)
+    rng = np.random.default_rng(6)
+    prob = dense(spark, {"prob": rng.random(SHAPE)}, valid=np.ones(SHAPE, dtype=bool)).cache()
+    base = mask_of(spark, rng.random(SHAPE) < 0.01)
+    spots = points_of(spark, [(g.min_lat + g.lat_step * (r + 0.4), g.min_lon + g.lon_step * (c + 0.6)) for r, c in PLANTED])
+    rows = W.outlier_mode_sweep(
+        base, prob, df, spots, g, ("elliptic_envelope",), (0.01, 0.02), growths=(0, 1), peak_radii=(2,), radii=(10.0,)
+    ).collect()
+    assert len(rows) == 2 * 3 * 2
+    got = {(r["mode"], r["contamination"], r["growth"]): (r["n_components"], r["tp_recall"]) for r in rows}
+    out = O.outlier_mask(df, O.OutlierConfig(method="elliptic_envelope", contamination=0.02)).cache()
+    single = {
+        "only": W.only_outliers(out, df, 1, g),
+        "union": W.union_with_outliers(base, out, df, 1, g),
+        "peaks": W.outlier_weighted_peaks(prob, out, 2, 1, g),
+    }
+    for mode, mask in single.items():
+        want = E.event_curve(mask, spots, g, (10.0,), valid=df).first()
+        assert got[mode, 0.02, 1] == (want["n_components"], want["tp_recall"])
