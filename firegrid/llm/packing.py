@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from firegrid.llm.shared import batch_of, store, texts_of, with_rank
+from firegrid.llm.shared import batch_of, in_batches, store, texts_of, with_rank
 from firegrid.llm.tokens import word_encoder
 
 PIECES = pa.schema(
@@ -40,9 +40,10 @@ def cut_documents(
                     for name, value in zip(PIECES.names, (doc_id, k, at // 4, len(part) // 4, part)):
                         rows[name].append(value)
             yield batch_of(PIECES, rows)
+        encode.rest()
 
     schema = "doc_id long, piece int, start long, length long, ids binary"
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(task, schema)
+    return in_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(task, schema)
 
 
 def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:

@@ -28,6 +28,18 @@ def lower_ascii(text: Column) -> Column:
     return F.when(ascii_only, F.lower(text)).otherwise(F.translate(text, upper, upper.lower()))
 
 
+#: Rows of an Arrow batch; Spark bounds its bytes, too, but only at 64 MB.
+BATCH_ROWS = 3000
+
+
+def in_batches(df: DataFrame) -> DataFrame:
+    """``df``, with the session's Arrow batches bounded so that a task holds few texts at once."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+    return df
+
+
 def n_tasks(df: DataFrame, rows_per_task: int, rows: int) -> int:
     """Partitions so that a task holds about ``rows_per_task`` of ``rows``, at least the session's own number."""
     own = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import string
 import uuid
 from collections.abc import Iterator
 
@@ -13,10 +14,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from firegrid.llm.shared import SharedFiles, batch_of, n_tasks, scratch_path, store, texts_of
+from firegrid.llm.shared import SharedFiles, batch_of, in_batches, n_tasks, scratch_path, store, texts_of
 
-#: Words that a worker remembers.
-WORD_CACHE = 400_000
+#: A worker remembers the last two lots of about this many words.
+WORD_CACHE = 150_000
+#: Texts whose words are looked up together.
+LOT = 1000
+TAIL = b".,;:!?"
 _ENCODERS: dict = {}
 
 
@@ -24,7 +28,10 @@ class WordEncoder:
     """Ids of texts by a tokenizer of the tokenizers library that never joins bytes over white space.
 
     Such a tokenizer gives a text the ids of its blank-separated words in turn, so a word is encoded
-    once and remembered. Strings of special tokens are ordinary text.
+    once and remembered. Where the tokenizer also parts closing punctuation from letters and digits,
+    or takes A-Z as a-z (both are tried on every pair of characters at the start), words share the
+    ids of their cores. Where words of a-z reach the merges as they are (tried alike), they go
+    straight to the tokenizer's model. Strings of special tokens are ordinary text.
     """
 
     def __init__(self, path: str, dtype: str):
@@ -33,20 +40,69 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model
         self.dtype = dtype
         self.known: dict[bytes, bytes] = {}
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        split = [t.encode().split() for t in texts]
-        known = self.known
-        new = list({w for words in split for w in words if w not in known})
+        self.older: dict[bytes, bytes] = {}
+        ids = self._ids
+        letters, tails = string.ascii_lowercase, list(TAIL.decode())
+        self.parts_tail = all(
+            ids([c + t for t in tails]) == [ids([c])[0] + x for x in ids(tails)] for c in letters + letters.upper() + string.digits
+        ) and ids(["a.,"])[0] == ids(["a"])[0] + ids([".,"])[0]
+        folded = list(letters) + [a + b for a in letters for b in letters]
+        self.folds = ids(folded) == ids([x.upper() for x in folded])
+        self.plain = self.folds and ids(folded) == [self._plain(x) for x in folded]
+
+    def _plain(self, word: str) -> bytes:
+        return np.array([t.id for t in self.model.tokenize(word)], self.dtype).tobytes()
+
+    def _ids(self, words: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
+        return [np.array(e.ids, self.dtype).tobytes() for e in found]
+
+    def _parts(self, word: bytes) -> tuple[bytes, bytes]:
+        """Core and closing punctuation (or none) of a word."""
+        core = word.rstrip(TAIL) if self.parts_tail else word
+        if not core[-1:].isalnum():  # of bytes: A-Z, a-z and 0-9
+            core = word
+        tail = word[len(core) :]
+        return core.lower() if self.folds and core.isascii() else core, tail
+
+    def _learn(self, words: set[bytes]) -> None:
+        """Make every one of ``words`` known."""
+        known, older, fresh = self.known, self.older, []
+        for word in words - known.keys():
+            ids = older.get(word)
+            if ids is None:
+                fresh.append((word, *self._parts(word)))
+            else:
+                known[word] = ids
+        new = {x for _, core, tail in fresh for x in (core, tail) if x not in known and x not in older}
+        new = list(new - {b""})
+        if self.plain:
+            known.update((x, self._plain(x.decode())) for x in new if x.isalpha())  # of bytes: A-Z and a-z
+            new = [x for x in new if x not in known]
         for at in range(0, len(new), 20_000):
             some = new[at : at + 20_000]
-            found = self.tokenizer.encode_batch([w.decode() for w in some], add_special_tokens=False)
-            known.update((w, np.array(e.ids, self.dtype).tobytes()) for w, e in zip(some, found))
-        out = [b"".join(map(known.__getitem__, words)) for words in split]
-        if len(known) > WORD_CACHE:
-            known.clear()
+            known.update(zip(some, self._ids([x.decode() for x in some])))
+        for word, core, tail in fresh:
+            ids = known[core] if core in known else older[core]
+            if tail:
+                ids += known[tail] if tail in known else older[tail]
+            known[word] = ids
+
+    def rest(self) -> None:
+        """Give up the older words at the end of a task."""
+        self.older = {}
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        out = []
+        for at in range(0, len(texts), LOT):
+            split = [t.encode().split() for t in texts[at : at + LOT]]
+            self._learn(set().union(*split))
+            out += [b"".join(map(self.known.__getitem__, row)) for row in split]
+            if len(self.known) > WORD_CACHE:
+                self.older, self.known = self.known, {}
         return out
 
 
@@ -90,7 +146,7 @@ def write_token_files(
     """
     rows = docs.count() if rows is None else rows
     ranged = (
-        docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+        in_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
         .repartitionByRange(n_tasks(docs, 20_000, rows), "doc_id")
         .sortWithinPartitions("doc_id")
     )
@@ -112,6 +168,7 @@ def write_token_files(
                 lengths.write(sizes.tobytes())
                 ids.write(batch.column(0).fill_null(0).to_numpy(zero_copy_only=False).astype("<i8").tobytes())
                 n_docs, n_null, n_tokens = n_docs + len(encoded), n_null + batch.column(0).null_count, n_tokens + int(sizes.sum())
+        encode.rest()
         yield batch_of(MANIFEST, {"part": [part], "n_docs": [n_docs], "n_null": [n_null], "n_tokens": [n_tokens]})
 
     manifest = store(ranged.mapInArrow(write, "part int, n_docs long, n_null long, n_tokens long"), "manifest")

@@ -1,5 +1,6 @@
 import heapq
 import os
+import random
 import zlib
 from collections import defaultdict
 
@@ -40,6 +41,19 @@ def test_token_files(spark, encode):
     assert sorted(map(tuple, got), key=lambda r: r[1]) == want
 
 
+def test_words_share_their_cores(encode, monkeypatch):
+    monkeypatch.setattr(tokens, "WORD_CACHE", 20)
+    monkeypatch.setattr(tokens, "LOT", 7)
+    own = tokens.WordEncoder(PATH, "<u4")
+    assert own.folds and own.parts_tail and own.plain
+    alphabet = ["a", "B", "é", "İ", "J\u030c", "e\u0301", "7", ".", ",", "!", "'s", "'", "-", " ", "\n", "\u00a0", "\x1c", "Σ", "漢", "<|endoftext|>"]
+    r = random.Random(2)
+    texts = ["".join(r.choice(alphabet) for _ in range(r.randrange(60))) for _ in range(400)]
+    for at in range(0, len(texts), 50):
+        got = own(texts[at : at + 50])
+        assert [np.frombuffer(g, "<u4").tolist() for g in got] == [encode(t) for t in texts[at : at + 50]]
+
+
 def test_token_files_by_part(spark, encode):
     docs, folder = cases.table(spark), scratch_path(spark, "tokens")
     index = tokens.write_token_files(docs, folder, PATH, 2).orderBy("part").collect()
