@@ -27,8 +27,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts lose their repeated byte strings (and what is left of a character that is cut in two); rows stay."""
-    cut = suffix_dedup.kept_texts(suffix_dedup.remove_repeats(docs, carry=("lang", "source")))
-    new = {"doc_id": F.col("doc_id"), "text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    cut = suffix_dedup.remove_repeats(docs, carry=("lang", "source"))
+    new = {"doc_id": F.col("doc_id"), "text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}
     return cut.select(*(new.get(c, F.col(f"row.{c}")).alias(c) for c in DOCUMENT_COLUMNS if c in new or c in docs.columns))
 
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from firegrid.llm.shared import batch_of, safe_pieces, texts_of
+from firegrid.llm.shared import batch_of, in_batches, safe_pieces, texts_of
 
 #: Characters that go to the library at once.
 PIECE = 1 << 18
@@ -47,7 +47,7 @@ def encode(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", te
             ]
             yield batch_of(ENCODED, {"doc_id": batch.column(0), "ids": ids})
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
+    return in_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
         task, "doc_id long, ids binary"
     )
 
@@ -61,7 +61,7 @@ def decode(encoded: DataFrame, ranks: str, pattern: str) -> DataFrame:
             raw = [own.decode_bytes(np.frombuffer(ids, "<u4").tolist()) for ids in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(raw, pa.binary())], names=["doc_id", "ids", "decoded"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(task, "doc_id long, ids binary, decoded binary")
+    return in_batches(encoded).select("doc_id", "ids").mapInArrow(task, "doc_id long, ids binary, decoded binary")
 
 
 def digests(decoded: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from firegrid.llm.shared import batch_of, safe_pieces, texts_of
+from firegrid.llm.shared import batch_of, in_batches, safe_pieces, texts_of
 
 #: n-grams of a profile, of a language as of a document.
 PROFILE = 400
@@ -96,7 +96,7 @@ def learn(rows: DataFrame, size: int = PROFILE) -> Profiles:
                 n = np.bincount(at, np.concatenate([n for _, n in found]), len(grams)).astype(np.int64)
                 yield batch_of(GRAMS, {"lang": [lang] * len(grams), "gram": grams, "n": n})
 
-    counted = rows.mapInArrow(task, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counted = in_batches(rows).mapInArrow(task, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram")) - 1
     top = counted.withColumn("rank", rank).where(F.col("rank") < size).collect()  # ``size`` rows a language
     langs = sorted({r["lang"] for r in top})
@@ -138,6 +138,6 @@ def identify(docs: DataFrame, profiles: Profiles, size: int = PROFILE) -> DataFr
             columns = {"doc_id": batch.column(0), "held_out": batch.column(1)}
             yield batch_of(PREDICTED, columns | {"lang_pred": [x for x, _ in found], "score": [x for _, x in found]})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(
+    return in_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(
         task, "doc_id long, held_out boolean, lang_pred string, score double"
     )

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from firegrid.llm.shared import batch_of, texts_of
+from firegrid.llm.shared import batch_of, in_batches, texts_of
 
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
@@ -68,7 +68,7 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ca
             yield out.append_column("row", batch.column(1)) if carry else out
 
     schema = T.StructType([T.StructField(n, T.LongType()) for n in MEASURES.names] + ([own.schema["row"]] if carry else []))
-    return own.mapInArrow(task, schema)
+    return in_batches(own).mapInArrow(task, schema)
 
 
 def at_most(share: float, part: str, of: str) -> Column:

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from firegrid.llm.graph import components
-from firegrid.llm.shared import batch_of, n_tasks, store, texts_of
+from firegrid.llm.shared import batch_of, in_batches, n_tasks, store, texts_of
 
 BITS = 64
 #: Members of a bucket that one task links; larger buckets are linked as pairs of chunks of this size.
@@ -49,7 +49,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for batch in batches:
             yield batch_of(FINGERPRINTS, {"doc_id": batch.column(0), "fp": [fingerprint(t) for t in texts_of(batch)]})
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
+    return in_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
         task, "doc_id long, fp long"
     )
 

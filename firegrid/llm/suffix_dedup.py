@@ -10,7 +10,7 @@ and neighbours with equal prefixes are repeats. Names are exact, hashes only dea
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,14 +18,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from firegrid.llm.shared import batch_of, store, texts_of
+from firegrid.llm.shared import batch_of, in_batches, store, texts_of
 
 LENGTH = 100
 GRAM = 32
 #: Bytes whose hashes are held at once, windows of one stretch, bytes of stretches that are sorted at once.
-BUFFER, RUN, PIECE = 1 << 21, 256, 1 << 21
+BUFFER, RUN, PIECE = 1 << 19, 256, 1 << 20
 #: Text of a batch within which equal stretches are put together before the shuffle.
-LOCAL = 16 << 20
+LOCAL = 8 << 20
 #: Corpus bytes per bucket of anchors and per partition of texts.
 BUCKET_BYTES, TEXT_BYTES = 16 << 20, 64 << 20
 LAST = (1 << 63) - 1
@@ -43,6 +43,7 @@ CUT = pa.schema(
         ("n_removed", pa.int64()),
         ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
         ("kept", pa.binary()),
+        ("kept_text", pa.string()),
     ]
 )
 
@@ -70,7 +71,7 @@ def sliding(values: np.ndarray, width: int, pick) -> np.ndarray:
     return pick(values[: len(values) - (width - k)], values[width - k :]) if k < width else values
 
 
-def buffers(raws: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def buffers(raws: Iterable[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Texts in buffers of about ``BUFFER`` bytes: (bytes, index of the text, place in it) per byte.
 
     Long texts are cut into segments that overlap so that each window lies whole in just one.
@@ -133,9 +134,9 @@ def repeated_anchors(texts: DataFrame, buckets: int) -> DataFrame:
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raws, ids = [t.encode() for t in texts_of(batch)], batch.column(0).to_numpy()
+            ids = batch.column(0).to_numpy()
             hashes, docs = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-            for buf, text, place in buffers(raws):
+            for buf, text, place in buffers(t.encode() for t in texts_of(batch)):
                 h, anchors = window_anchors(buf, place)
                 at = anchor_positions(h, anchors)
                 hashes.append(h[at])
@@ -357,10 +358,9 @@ def stretches(texts: DataFrame) -> DataFrame:
             doc, tie = column["doc"].to_pylist(), column["tie"].to_pylist()
             order = sorted(range(len(doc)), key=lambda i: (doc[i], tie[i]))
             texts = texts_of(batch)
-            raws = [texts[i].encode() for i in order]
             seen: dict[bytes, tuple] = {}
             done, rows = 0, {n: [] for n in STRETCHES.names}
-            for buf, text, place in buffers(raws):
+            for buf, text, place in buffers(texts[i].encode() for i in order):
                 _, anchors = window_anchors(buf, place)
                 starts, n = runs(anchors)
                 chosen = np.isin(anchors[starts], wanted)
@@ -428,7 +428,7 @@ def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_bytes, n_removed, spans (start, end of removed runs), kept (bytes),
-    row (the columns ``carry``).
+    kept_text (the same without what is left of characters cut in two), row (the columns ``carry``).
 
     A byte goes where a string of ``LENGTH`` bytes covers it that also starts earlier: in a document
     of smaller id, or before in the same one. Strings are judged on the input. Null text counts as
@@ -439,7 +439,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Texts are dealt by document once, for the stretches and again for the removal.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    own = docs.select(
+    own = in_batches(docs).select(
         F.col(id_col).cast("long").alias("doc_id"),
         F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc"),
         F.xxhash64(text).alias("tie"),
@@ -463,7 +463,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 spans = merged([(r["start"], r["n"]) for r in ranges or () if r["tie"] == tie])
                 ends = [0, *(b for _, b in spans)]
                 kept = b"".join(raw[a:b] for a, b in zip(ends, [*(a for a, _ in spans), len(raw)]))
-                values = (doc_id, len(raw), len(raw) - len(kept), [{"start": a, "end": b} for a, b in spans], kept)
+                values = (doc_id, len(raw), len(raw) - len(kept), [{"start": a, "end": b} for a, b in spans], kept, kept.decode("utf-8", "ignore"))
                 for name, value in zip(CUT.names, values):
                     rows[name].append(value)
             row = batch.column(batch.schema.get_field_index("row"))
@@ -471,21 +471,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     spans = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
     schema = T.StructType([T.StructField(n, T.LongType()) for n in CUT.names[:3]])
-    schema = schema.add("spans", spans).add("kept", T.BinaryType()).add(own.schema["row"])
+    schema = schema.add("spans", spans).add("kept", T.BinaryType()).add("kept_text", T.StringType()).add(own.schema["row"])
     return dealt.join(by_doc, "doc", "left").mapInArrow(cut, schema)
 
 
-def kept_texts(cut: DataFrame) -> DataFrame:
-    """``cut`` with ``text``: the kept bytes as a string, without what is left of characters cut in two."""
-
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [k.decode("utf-8", "ignore") for k in batch.column(batch.schema.get_field_index("kept")).to_pylist()]
-            yield batch.append_column("text", pa.array(texts, pa.string()))
-
-    return cut.mapInArrow(task, T.StructType([*cut.schema.fields, T.StructField("text", T.StringType())]))
-
-
 def digests(cut: DataFrame) -> DataFrame:
     return cut.select(
         "doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")

@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from firegrid.llm.shared import SharedFiles, batch_of, scratch_path, store
+from firegrid.llm.shared import SharedFiles, batch_of, in_batches, scratch_path, store
 
 MAGIC = b"\x1f\x8b\x08"
 CHUNK = 1 << 20
@@ -48,7 +48,7 @@ def with_originals(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     payloads below ``least_bytes``; rows that share the smallest id are all originals.
     """
     html = F.coalesce(F.col("html"), F.lit(""))
-    own = pages.select(
+    own = in_batches(pages).select(
         F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"), F.unhex(F.sha2(html, 256)).alias("sha")
     )
     long = own.where(F.octet_length("html") >= least_bytes).select("page_id", "sha")
