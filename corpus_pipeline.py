@@ -16,13 +16,13 @@ def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the one with the largest id stays."""
+    """Of equal texts the one with the largest id stays; ids shared by different texts count with their text."""
     return exact_dedup.drop_copies(docs, exact_dedup.exact_dedup(docs)).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of linked fingerprints the document with the smallest id stays."""
-    return simhash.drop_near_copies(docs, simhash.near_duplicates(docs, radius=3)).select(*docs.columns)
+    """Of linked fingerprints the document with the smallest id stays; without any id, one of them."""
+    return simhash.drop_near_copies(docs, radius=3).select(*docs.columns)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

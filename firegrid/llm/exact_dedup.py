@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from firegrid.llm.shared import lower_ascii, store
+from firegrid.llm.shared import keep_once, lower_ascii, store
 
 
 def content_groups(normal: DataFrame, salts: int) -> DataFrame:
@@ -66,10 +66,15 @@ def exact_dedup(
     )
 
 
-def drop_copies(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose id ``verdicts`` keeps; an id that stays stays once."""
-    stay = verdicts.where("kept").select(F.col("doc_id").alias("_stay")).distinct()
-    return docs.join(stay, docs["doc_id"].eqNullSafe(stay["_stay"]), "left_semi").dropDuplicates(["doc_id"])
+def drop_copies(docs: DataFrame, verdicts: DataFrame, text_col: str = "text") -> DataFrame:
+    """Rows of ``docs`` that ``verdicts`` keeps: of each group of equal texts one row, with the id that stays.
+
+    Verdicts meet rows by id and digest of the normalised text, so rows that share an id, or have none,
+    are told apart by their texts. Rows equal in both stay once, see ``keep_once``.
+    """
+    digest = F.unhex(F.sha2(lower_ascii(F.coalesce(F.col(text_col), F.lit(""))), 256))
+    stay = verdicts.where("kept").select("doc_id", F.unhex("text_sha256").alias("digest"))
+    return keep_once(docs, F.col("doc_id"), digest, stay)
 
 
 ORACLE = """

@@ -67,6 +67,17 @@ def with_rank(df: DataFrame, group: str, order: tuple[str, ...], rows: int, name
     )
 
 
+def keep_once(docs: DataFrame, id_: Column, digest: Column, stay: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose (``id_``, ``digest``) is in ``stay`` (doc_id, digest), one for each pair: the least by its columns.
+
+    A null id is an id like any other. Pairs are one struct, as structs with nulls inside are equal,
+    and rows of one pair are put together within tasks before they are shuffled.
+    """
+    rows = docs.select(F.struct(id_.alias("doc_id"), digest.alias("digest")).alias("_pair"), F.struct("*").alias("_row"))
+    pairs = stay.select(F.struct("doc_id", "digest").alias("_pair")).distinct()
+    return rows.groupBy("_pair").agg(F.min("_row").alias("_row")).join(pairs, "_pair", "left_semi").select("_row.*")
+
+
 # Inside tasks ------------------------------------------------------------------------------------
 
 

@@ -10,11 +10,11 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from firegrid.llm.graph import components
-from firegrid.llm.shared import batch_of, in_batches, n_tasks, store, texts_of
+from firegrid.llm.shared import batch_of, in_batches, keep_once, n_tasks, store, texts_of
 
 BITS = 64
 #: Members of a bucket that one task links; larger buckets are linked as pairs of chunks of this size.
@@ -42,16 +42,23 @@ def fingerprint(text: str, words_per_shingle: int = 3) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big", signed=True)
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp): 64 bits as a signed number, one row per row of ``docs``."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_digest: bool = False) -> DataFrame:
+    """(doc_id, fp): 64 bits as a signed number, one row per row of ``docs``; on demand with ``text_digest``."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch_of(FINGERPRINTS, {"doc_id": batch.column(0), "fp": [fingerprint(t) for t in texts_of(batch)]})
+            out = batch_of(FINGERPRINTS, {"doc_id": batch.column(0), "fp": [fingerprint(t) for t in texts_of(batch)]})
+            yield out.append_column("digest", batch.column(2)) if with_digest else out
 
-    return in_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
-        task, "doc_id long, fp long"
-    )
+    columns = [F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")]
+    if with_digest:
+        columns.append(text_digest(text_col).alias("digest"))
+    schema = "doc_id long, fp long" + (", digest binary" if with_digest else "")
+    return in_batches(docs).select(*columns).mapInArrow(task, schema)
+
+
+def text_digest(text_col: str) -> Column:
+    return F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
 
 
 # Partitions and thresholds --------------------------------------------------------------------------
@@ -272,14 +279,7 @@ def near_duplicates(docs: DataFrame, radius: int = 3, id_col: str = "doc_id", te
     in the search. An empty table gives no rows; rows that repeat each get one.
     """
     fps = store(fingerprints(docs, id_col, text_col), "fingerprints")
-    nodes = store(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "nodes")
-    n = nodes.count()
-    search = plan_search(bit_counts(nodes), n, radius)
-    labels = components(links(nodes, search, radius, n, run))
-    named = nodes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "fp", "first_id", F.coalesce("label", "fp").alias("label")
-    )
-    named = store(named, "named")
+    named = linked(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")), radius, run)
     ids = named.groupBy("label").agg(F.min("first_id").alias("component_id"))
     of_fp = store(named.join(ids, "label").select("fp", "component_id"), "components")
     return fps.join(of_fp, "fp").select(
@@ -287,7 +287,27 @@ def near_duplicates(docs: DataFrame, radius: int = 3, id_col: str = "doc_id", te
     )
 
 
-def drop_near_copies(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """Rows of ``docs`` that stand for their component: one id each."""
-    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_stay")).distinct()
-    return docs.join(stay, docs["doc_id"].eqNullSafe(stay["_stay"]), "left_semi").dropDuplicates(["doc_id"])
+def linked(nodes: DataFrame, radius: int, run: int) -> DataFrame:
+    """``nodes`` (fp and more, stored) with ``label``, the same for all nodes of a component."""
+    nodes = store(nodes, "nodes")
+    n = nodes.count()
+    search = plan_search(bit_counts(nodes), n, radius)
+    labels = components(links(nodes, search, radius, n, run)).withColumnRenamed("node", "fp")
+    named = nodes.join(labels, "fp", "left").select(*nodes.columns, F.coalesce("label", "fp").alias("label"))
+    return store(named, "named")
+
+
+def drop_near_copies(
+    docs: DataFrame, radius: int = 3, id_col: str = "doc_id", text_col: str = "text", run: int = RUN
+) -> DataFrame:
+    """One row of ``docs`` for each component of ``near_duplicates``: the one with the smallest id.
+
+    Rows without an id stand for a component only where it has no other. Among rows that share the id
+    the text with the least digest stands, so different texts of one id, or of none, each stay unless
+    they are linked. Rows equal in id and text stay once, see ``keep_once``.
+    """
+    fps = fingerprints(docs, id_col, text_col, with_digest=True)
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")
+    named = linked(fps.groupBy("fp").agg(F.min(first).alias("first")), radius, run)
+    stay = named.groupBy("label").agg(F.min("first").alias("first")).select("first.doc_id", "first.digest")
+    return keep_once(docs, F.col(id_col).cast("long"), text_digest(text_col), stay)

@@ -79,3 +79,36 @@ def test_empty_table(spark, tmp_path):
         stage(spark, out, "").write.parquet(str(tmp_path / str(k)))
         out = spark.read.parquet(str(tmp_path / str(k)))
     assert out.isEmpty()
+
+
+def test_rows_without_id_and_shared_ids_keep_their_texts(spark, tmp_path):
+    """Verdicts belong to (id, text): clean different texts stay, copies go, one row for each component."""
+    a, b, c, d, f, g = (cases.words(90, 200 + k) for k in range(6))
+    rows = [(None, a), (None, b), (None, b.upper()), (None, c), (7, c), (8, d), (8, a), (9, d), (8, f), (8, g), (8, g)]
+    docs = cases.table(spark, rows).select("doc_id", "text", "lang", "source", "n_chars")
+    exact = corpus_pipeline.drop_exact_copies(spark, docs.repartition(5), "")
+    # a: id 8 over none; b: no id, once (the least of its spellings); c: 7 over none; d: 9 over 8; f and g: both of id 8.
+    want = [(8, a), (None, min(b, b.upper())), (7, c), (9, d), (8, f), (8, g)]
+    assert sorted(((r.doc_id, r.text) for r in exact.collect()), key=str) == sorted(want, key=str)
+
+    path = str(tmp_path / "exact")
+    exact.write.parquet(path)
+    stored = spark.read.parquet(path)
+    apart = corpus_pipeline.drop_near_copies(spark, stored, "")
+    assert sorted(((r.doc_id, r.text) for r in apart.collect()), key=str) == sorted(want, key=str)
+
+
+def test_one_row_for_each_component_whatever_the_ids(spark):
+    fps = {}
+    for k in range(4000):
+        text = cases.words(90, 7000 + k // 40) + f" z{k}"
+        fps[text] = brute_fingerprint(text)
+    base = next(t for t in fps)
+    close = next(t for t in fps if t != base and bin((fps[t] ^ fps[base]) & (1 << 64) - 1).count("1") <= 3)
+    other, third = cases.words(90, 301), cases.words(90, 302)
+    rows = [(None, base), (None, close), (None, other), (None, other), (5, third), (5, cases.words(90, 303))]
+    docs = cases.table(spark, rows).select("doc_id", "text", "lang", "source", "n_chars")
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.drop_near_copies(spark, docs.repartition(3), "").collect()]
+    assert len(got) == 4 and len(set(got)) == 4
+    assert {(None, other), (5, third), (5, cases.words(90, 303))} < set(got)
+    assert sum(t in (base, close) for _, t in got) == 1
