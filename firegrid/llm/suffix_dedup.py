@@ -6,6 +6,10 @@ text around them to tasks. There the suffixes are sorted by difference cover: th
 three positions are sorted and named, the names are tripled in turn until they stand for the whole
 prefix, the remaining positions are merged in by the shift that takes a pair to sampled positions,
 and neighbours with equal prefixes are repeats. Names are exact, hashes only deal out work.
+
+An anchor that occurs more than ``HOT`` times (a frequent phrase, the edge of a passage) would bring all
+the different stretches around it to one task. Its windows are dealt one by one instead, by a hash of
+the whole window, and only those whose hash occurs more than once.
 """
 
 from __future__ import annotations
@@ -28,9 +32,11 @@ BUFFER, RUN, PIECE = 1 << 19, 256, 1 << 20
 LOCAL = 8 << 20
 #: Corpus bytes per bucket of anchors and per partition of texts.
 BUCKET_BYTES, TEXT_BYTES = 16 << 20, 64 << 20
+#: Occurrences from which an anchor's windows are dealt one by one; windows of such anchors a task remembers.
+HOT, WINDOWS = 20_000, 200_000
 LAST = (1 << 63) - 1
 
-SLICES = pa.schema([("bucket", pa.int64()), ("known", pa.bool_()), ("hashes", pa.binary()), ("docs", pa.binary()), ("several", pa.binary())])
+SLICES = pa.schema([("bucket", pa.int64()), ("known", pa.bool_()), ("hashes", pa.binary()), ("docs", pa.binary()), ("counts", pa.binary())])
 REPEATED = pa.schema([("doc", pa.int64()), ("hash", pa.int64())])
 STRETCHES = pa.schema(
     [("anchor", pa.int64()), ("doc", pa.int64()), ("tie", pa.int64()), ("start", pa.int64()), ("n", pa.int64()), ("bytes", pa.binary())]
@@ -113,6 +119,16 @@ def anchor_positions(h: np.ndarray, anchors: np.ndarray) -> np.ndarray:
     return np.flatnonzero(most == h)
 
 
+def window_hashes(h: np.ndarray) -> np.ndarray:
+    """A hash of each whole window, from the hashes of the grams that cover it."""
+    n = len(h) - (LENGTH - GRAM)
+    out = np.zeros(max(n, 0), np.uint64)
+    for at in [*range(0, LENGTH - GRAM, GRAM), LENGTH - GRAM]:
+        out = (out ^ h[at : at + n]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(32)
+    return out
+
+
 def runs(anchors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(start, windows) of the stretches of windows with one anchor, at most ``RUN`` windows each."""
     change = np.concatenate([[True], anchors[1:] != anchors[:-1]])
@@ -125,22 +141,41 @@ def runs(anchors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, np.minimum(np.repeat(first + sizes, pieces) - starts, RUN)
 
 
-def repeated_anchors(texts: DataFrame, buckets: int) -> DataFrame:
-    """(doc, hash) of the anchors that occur more than once in ``texts`` (doc, text).
+def anchors_of(raws: Iterable[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(hashes of the anchors, index of their text) for each buffer."""
+    for buf, text, place in buffers(raws):
+        h, anchors = window_anchors(buf, place)
+        at = anchor_positions(h, anchors)
+        yield h[at], text[at]
+
+
+def windows_of(hot: np.ndarray):
+    """As ``anchors_of``, for the windows of the anchors ``hot``."""
+
+    def pick(raws: Iterable[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for buf, text, place in buffers(raws):
+            h, anchors = window_anchors(buf, place)
+            at = np.flatnonzero(np.isin(anchors, hot))
+            yield window_hashes(h)[at], text[at]
+
+    return pick
+
 
-    Hashes travel packed. Of a hash that a batch has more than once only one goes on, marked so, and
-    its documents are known already; a hash that a third of all texts have thus meets once per batch.
+def repeated_hashes(texts: DataFrame, buckets: int, pick=anchors_of, hot: int = LAST) -> DataFrame:
+    """(doc, hash) of the hashes of ``pick`` that occur more than once in ``texts`` (doc, text).
+
+    A hash that occurs more than ``hot`` times is also put out with a null ``doc``. Hashes travel
+    packed. Of a hash that a batch has more than once only one goes on, with its count, and its
+    documents are known already; a hash that a third of all texts have thus meets once per batch.
     """
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy()
             hashes, docs = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-            for buf, text, place in buffers(t.encode() for t in texts_of(batch)):
-                h, anchors = window_anchors(buf, place)
-                at = anchor_positions(h, anchors)
-                hashes.append(h[at])
-                docs.append(ids[text[at]])
+            for some, text in pick(t.encode() for t in texts_of(batch)):
+                hashes.append(some)
+                docs.append(ids[text])
             hashes, docs = np.concatenate(hashes), np.concatenate(docs)
             order = np.argsort(hashes, kind="stable")
             hashes, docs = hashes[order], docs[order]
@@ -149,39 +184,43 @@ def repeated_anchors(texts: DataFrame, buckets: int) -> DataFrame:
             many = np.repeat(n > 1, n)
             rows = {k: [] for k in SLICES.names}
 
-            def put(bucket, known, some, owners, several):
-                for name, value in zip(SLICES.names, (bucket, known, some.tobytes(), owners.tobytes(), several.tobytes())):
+            def put(bucket, known, some, owners, counts):
+                for name, value in zip(SLICES.names, (bucket, known, some.tobytes(), owners.tobytes(), counts.tobytes())):
                     rows[name].append(value)
 
             if many.any():
-                put(int(hashes[0] % np.uint64(buckets)), True, hashes[many], docs[many], np.zeros(0, bool))
-            one, owner, several = hashes[first], docs[first], n > 1
+                put(int(hashes[0] % np.uint64(buckets)), True, hashes[many], docs[many], np.zeros(0, np.int32))
+            one, owner, n = hashes[first], docs[first], n.astype(np.int32)
             home = (one % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(home, kind="stable")
             for part in np.split(order, np.flatnonzero(np.diff(home[order])) + 1):
                 if len(part):
-                    put(int(home[part[0]]), False, one[part], owner[part], several[part])
+                    put(int(home[part[0]]), False, one[part], owner[part], n[part])
             yield batch_of(SLICES, rows)
 
     def meet(table: pa.Table) -> pa.Table:
         found = [(np.zeros(0, np.int64), np.zeros(0, np.uint64))]
-        met = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, bool))]
+        met = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32))]
         for row in table.to_pylist():
             hashes, docs = np.frombuffer(row["hashes"], np.uint64), np.frombuffer(row["docs"], np.int64)
             if row["known"]:
                 found.append((docs, hashes))
             else:
-                met.append((hashes, docs, np.frombuffer(row["several"], bool)))
-        hashes, docs, several = (np.concatenate(x) for x in zip(*met))
+                met.append((hashes, docs, np.frombuffer(row["counts"], np.int32)))
+        hashes, docs, counts = (np.concatenate(x) for x in zip(*met))
         order = np.argsort(hashes, kind="stable")
-        hashes, docs, several = hashes[order], docs[order], several[order]
+        hashes, docs, counts = hashes[order], docs[order], counts[order]
         same = np.concatenate([hashes[1:] == hashes[:-1], [False]])[: len(hashes)]
-        again = (same | np.concatenate([[False], same[:-1]])[: len(hashes)]) & ~several
+        again = (same | np.concatenate([[False], same[:-1]])[: len(hashes)]) & (counts == 1)
         found.append((docs[again], hashes[again]))
         doc, hash_ = (np.concatenate(x) for x in zip(*found))
-        return pa.table({"doc": doc, "hash": hash_.view(np.int64)}, schema=REPEATED)
+        first = np.flatnonzero(np.concatenate([[True], ~same[:-1]])[: len(hashes)])
+        many = hashes[first][np.add.reduceat(counts.astype(np.int64), first) > hot] if len(first) else hashes
+        out = pa.table({"doc": doc, "hash": hash_.view(np.int64)}, schema=REPEATED)
+        frequent = {"doc": pa.nulls(len(many), pa.int64()), "hash": many.view(np.int64)}
+        return pa.concat_tables([out, pa.table(frequent, schema=REPEATED)])
 
-    slices = texts.select("doc", "text").mapInArrow(find, "bucket long, known boolean, hashes binary, docs binary, several binary")
+    slices = texts.select("doc", "text").mapInArrow(find, "bucket long, known boolean, hashes binary, docs binary, counts binary")
     return slices.groupBy("bucket").applyInArrow(meet, "doc long, hash long").distinct()
 
 
@@ -345,10 +384,12 @@ def resolve_sorted(rows: Iterator[Stretch]) -> Iterator[Stretch]:
 # The jobs -------------------------------------------------------------------------------------------
 
 
-def stretches(texts: DataFrame) -> DataFrame:
-    """Stretches around the repeated anchors of ``texts`` (doc_id, doc, tie, text, hashes).
+def stretches(texts: DataFrame, hot: np.ndarray) -> DataFrame:
+    """Stretches around the repeated anchors of ``texts`` (doc_id, doc, tie, text, hashes, windows).
 
-    A stretch that a batch has had goes on without its bytes: all its windows start earlier.
+    A stretch that a batch has had goes on without its bytes: all its windows start earlier. Other
+    stretches of the anchors ``hot`` go on as single windows, those whose hash is among ``windows``;
+    windows in a row that the batch has had are one stretch without bytes again.
     """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -358,21 +399,57 @@ def stretches(texts: DataFrame) -> DataFrame:
             doc, tie = column["doc"].to_pylist(), column["tie"].to_pylist()
             order = sorted(range(len(doc)), key=lambda i: (doc[i], tie[i]))
             texts = texts_of(batch)
+            repeated = np.unique(column["windows"].flatten().to_numpy().view(np.uint64))
             seen: dict[bytes, tuple] = {}
+            seen_windows: dict[bytes, tuple] = {}
             done, rows = 0, {n: [] for n in STRETCHES.names}
+
+            def put(*row):
+                for name, value in zip(STRETCHES.names, row):
+                    rows[name].append(value)
+
+            def spread(doc, start):
+                return ((doc ^ start) * 0x9E3779B97F4A7C15 + start) % (1 << 63)
+
+            def put_windows(data, hashes, chosen, where):
+                """The ``chosen`` windows of a stretch at ``where`` whose bytes are ``data``."""
+                d, t, p = where
+                known: list[list[int]] = []  # start and number of windows that the batch has had
+                for w in chosen:
+                    own, place = data[w : w + LENGTH], (d, t, p + w)
+                    first = seen_windows.setdefault(own, place)
+                    if first == place:
+                        put(hashes[w], *place, 1, own)
+                    elif known and sum(known[-1]) == p + w:
+                        known[-1][1] += 1
+                    else:
+                        known.append([p + w, 1])
+                for start, n in known:
+                    put(spread(d, start), d, t, start, n, None)
+                if len(seen_windows) > WINDOWS:
+                    seen_windows.clear()
+
             for buf, text, place in buffers(texts[i].encode() for i in order):
-                _, anchors = window_anchors(buf, place)
+                h, anchors = window_anchors(buf, place)
                 starts, n = runs(anchors)
                 chosen = np.isin(anchors[starts], wanted)
                 starts, n = starts[chosen], n[chosen]
                 data, anchor = buf.tobytes(), anchors[starts].view(np.int64).tolist()
-                for a, i, s, p, k in zip(anchor, text[starts].tolist(), starts.tolist(), place[starts].tolist(), n.tolist()):
+                frequent = np.isin(anchors[starts], hot)
+                if frequent.any():
+                    whole = window_hashes(h)
+                    shared = np.isin(whole, repeated)
+                    whole = whole.view(np.int64)
+                places = zip(anchor, text[starts].tolist(), starts.tolist(), place[starts].tolist(), n.tolist(), frequent.tolist())
+                for a, i, s, p, k, one_by_one in places:
                     own, where = data[s : s + k - 1 + LENGTH], (doc[order[i]], tie[order[i]], p)
                     first = seen.setdefault(own, where)
-                    again = first != where
-                    spread = ((where[0] ^ p) * 0x9E3779B97F4A7C15 + p) % (1 << 63) if again else a
-                    for name, value in zip(STRETCHES.names, (spread, *where, k, None if again else own)):
-                        rows[name].append(value)
+                    if first != where:
+                        put(spread(where[0], p), *where, k, None)
+                    elif one_by_one:
+                        put_windows(own, whole[s : s + k].tolist(), np.flatnonzero(shared[s : s + k]).tolist(), where)
+                    else:
+                        put(a, *where, k, own)
                 done += len(buf)
                 if done > LOCAL:
                     seen, done = {}, 0
@@ -426,7 +503,7 @@ def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), hot: int = HOT) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_bytes, n_removed, spans (start, end of removed runs), kept (bytes),
     kept_text (the same without what is left of characters cut in two), row (the columns ``carry``).
 
@@ -436,7 +513,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     their texts' hashes; rows equal in both are one document, each with the same result. An empty
     table gives no rows, further columns are ignored.
 
-    Texts are dealt by document once, for the stretches and again for the removal.
+    Texts are dealt by document once, for the stretches and again for the removal. Anchors that occur
+    more than ``hot`` times cost one more reading of the texts; results do not depend on ``hot``.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     own = in_batches(docs).select(
@@ -449,9 +527,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets, tasks = max(partitions, size // BUCKET_BYTES), max(partitions, size // TEXT_BYTES)
-    again = store(repeated_anchors(own, buckets), "anchors").groupBy("doc").agg(F.collect_list("hash").alias("hashes"))
+    anchors = store(repeated_hashes(own, buckets, hot=hot), "anchors")
+    frequent = np.array([r[0] for r in anchors.where("doc IS NULL").select("hash").collect()], np.int64).view(np.uint64)
+    found = anchors.where("doc IS NOT NULL").select("doc", "hash", F.lit(None).cast("long").alias("window"))
+    if len(frequent):
+        windows = repeated_hashes(own, buckets, windows_of(frequent))
+        found = found.unionByName(windows.select("doc", F.lit(None).cast("long").alias("hash"), F.col("hash").alias("window")))
+    again = found.groupBy("doc").agg(F.collect_list("hash").alias("hashes"), F.collect_list("window").alias("windows"))
     dealt = own.repartition(tasks, "doc")
-    starts = repeated_starts(stretches(dealt.join(again, "doc")), buckets)
+    starts = repeated_starts(stretches(dealt.join(again, "doc"), frequent), buckets)
     by_doc = starts.groupBy("doc").agg(F.collect_list(F.struct("tie", "start", "n")).alias("ranges"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from firegrid.llm import suffix_dedup as sd
 from firegrid.llm.shared import documents
@@ -123,3 +124,27 @@ def test_names_keep_the_order_of_prefixes():
         want |= {p} if text[p : p + sd.LENGTH] in seen else set()
         seen.add(text[p : p + sd.LENGTH])
     assert later == want
+
+
+def hot_rows():
+    """A common line in different surroundings, some of them shared, and a long passage with different edges."""
+    r = random.Random(4)
+    line, passage = "this very common line of more than 32 bytes", cases.words(60, 9)
+    rows = [(i, f"{cases.words(30, 9000 + i)} {line} {cases.words(30, 9500 + i)}") for i in range(120)]
+    rows += [(200 + i, f"{cases.words(20, i % 7)} {line} {cases.words(20, i % 5)}") for i in range(40)]
+    rows += [(300 + i, f"{cases.words(9, 800 + i)} {passage} {cases.words(9, 900 + i)}") for i in range(40)]
+    rows.append((400, " ".join(f"{line} {r.randrange(99)}" for _ in range(60))))
+    return rows
+
+
+def test_hot_anchors_are_split(spark, monkeypatch):
+    rows = hot_rows()
+    met = []
+    dealt = sd.repeated_starts
+    monkeypatch.setattr(sd, "repeated_starts", lambda found, tasks: met.append(found) or dealt(found, tasks))
+    for hot in (sd.HOT, 20):
+        got = sd.digests(sd.remove_repeats(cases.table(spark, rows).repartition(3), hot=hot)).collect()
+        assert sorted(map(tuple, got), key=str) == brute(rows), hot
+    # The largest number of different stretches that have one key, and so meet in one task.
+    most = [f.groupBy("anchor").agg(F.countDistinct("bytes").alias("n")).agg(F.max("n")).first()[0] for f in met]
+    assert most[0] > 30 and most[1] <= 20
