@@ -37,7 +37,7 @@ HOT, WINDOWS = 20_000, 200_000
 LAST = (1 << 63) - 1
 
 SLICES = pa.schema([("bucket", pa.int64()), ("known", pa.bool_()), ("hashes", pa.binary()), ("docs", pa.binary()), ("counts", pa.binary())])
-REPEATED = pa.schema([("doc", pa.int64()), ("hash", pa.int64())])
+REPEATED = pa.schema([("key", pa.int64()), ("hash", pa.int64())])
 STRETCHES = pa.schema(
     [("anchor", pa.int64()), ("doc", pa.int64()), ("tie", pa.int64()), ("start", pa.int64()), ("n", pa.int64()), ("bytes", pa.binary())]
 )
@@ -162,9 +162,9 @@ def windows_of(hot: np.ndarray):
 
 
 def repeated_hashes(texts: DataFrame, buckets: int, pick=anchors_of, hot: int = LAST) -> DataFrame:
-    """(doc, hash) of the hashes of ``pick`` that occur more than once in ``texts`` (doc, text).
+    """(key, hash) of the hashes of ``pick`` that occur more than once in ``texts`` (key, text).
 
-    A hash that occurs more than ``hot`` times is also put out with a null ``doc``. Hashes travel
+    A hash that occurs more than ``hot`` times is also put out with a null ``key``. Hashes travel
     packed. Of a hash that a batch has more than once only one goes on, with its count, and its
     documents are known already; a hash that a third of all texts have thus meets once per batch.
     """
@@ -216,12 +216,12 @@ def repeated_hashes(texts: DataFrame, buckets: int, pick=anchors_of, hot: int =
         doc, hash_ = (np.concatenate(x) for x in zip(*found))
         first = np.flatnonzero(np.concatenate([[True], ~same[:-1]])[: len(hashes)])
         many = hashes[first][np.add.reduceat(counts.astype(np.int64), first) > hot] if len(first) else hashes
-        out = pa.table({"doc": doc, "hash": hash_.view(np.int64)}, schema=REPEATED)
-        frequent = {"doc": pa.nulls(len(many), pa.int64()), "hash": many.view(np.int64)}
+        out = pa.table({"key": doc, "hash": hash_.view(np.int64)}, schema=REPEATED)
+        frequent = {"key": pa.nulls(len(many), pa.int64()), "hash": many.view(np.int64)}
         return pa.concat_tables([out, pa.table(frequent, schema=REPEATED)])
 
-    slices = texts.select("doc", "text").mapInArrow(find, "bucket long, known boolean, hashes binary, docs binary, counts binary")
-    return slices.groupBy("bucket").applyInArrow(meet, "doc long, hash long").distinct()
+    slices = texts.select("key", "text").mapInArrow(find, "bucket long, known boolean, hashes binary, docs binary, counts binary")
+    return slices.groupBy("bucket").applyInArrow(meet, "key long, hash long").distinct()
 
 
 # Suffix sorting -------------------------------------------------------------------------------------
@@ -513,7 +513,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     their texts' hashes; rows equal in both are one document, each with the same result. An empty
     table gives no rows, further columns are ignored.
 
-    Texts are dealt by document once, for the stretches and again for the removal. Anchors that occur
+    Texts are dealt by document once, for the stretches and again for the removal: by a hash of id and
+    text, so that rows without an id, or of one id, spread; ranges are matched by both. Anchors that occur
     more than ``hot`` times cost one more reading of the texts; results do not depend on ``hot``.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -523,28 +524,29 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         F.xxhash64(text).alias("tie"),
         text.alias("text"),
         F.struct(F.lit(0).alias("_"), *(F.col(f"`{c}`") for c in carry)).alias("row"),
-    )
+    ).withColumn("key", F.xxhash64("doc", "tie"))
     size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets, tasks = max(partitions, size // BUCKET_BYTES), max(partitions, size // TEXT_BYTES)
     anchors = store(repeated_hashes(own, buckets, hot=hot), "anchors")
-    frequent = np.array([r[0] for r in anchors.where("doc IS NULL").select("hash").collect()], np.int64).view(np.uint64)
-    found = anchors.where("doc IS NOT NULL").select("doc", "hash", F.lit(None).cast("long").alias("window"))
+    frequent = np.array([r[0] for r in anchors.where("key IS NULL").select("hash").collect()], np.int64).view(np.uint64)
+    found = anchors.where("key IS NOT NULL").select("key", "hash", F.lit(None).cast("long").alias("window"))
     if len(frequent):
         windows = repeated_hashes(own, buckets, windows_of(frequent))
-        found = found.unionByName(windows.select("doc", F.lit(None).cast("long").alias("hash"), F.col("hash").alias("window")))
-    again = found.groupBy("doc").agg(F.collect_list("hash").alias("hashes"), F.collect_list("window").alias("windows"))
-    dealt = own.repartition(tasks, "doc")
-    starts = repeated_starts(stretches(dealt.join(again, "doc"), frequent), buckets)
-    by_doc = starts.groupBy("doc").agg(F.collect_list(F.struct("tie", "start", "n")).alias("ranges"))
+        found = found.unionByName(windows.select("key", F.lit(None).cast("long").alias("hash"), F.col("hash").alias("window")))
+    again = found.groupBy("key").agg(F.collect_list("hash").alias("hashes"), F.collect_list("window").alias("windows"))
+    dealt = own.repartition(tasks, "key")
+    starts = repeated_starts(stretches(dealt.join(again, "key"), frequent), buckets)
+    starts = starts.withColumn("key", F.xxhash64("doc", "tie"))
+    by_key = starts.groupBy("key").agg(F.collect_list(F.struct("doc", "tie", "start", "n")).alias("ranges"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = {n: batch.column(i).to_pylist() for i, n in enumerate(batch.schema.names) if n != "row"}
             rows = {n: [] for n in CUT.names}
-            for doc_id, tie, content, ranges in zip(column["doc_id"], column["tie"], column["text"], column["ranges"]):
+            for doc_id, doc, tie, content, ranges in zip(*(column[n] for n in ("doc_id", "doc", "tie", "text", "ranges"))):
                 raw = content.encode()
-                spans = merged([(r["start"], r["n"]) for r in ranges or () if r["tie"] == tie])
+                spans = merged([(r["start"], r["n"]) for r in ranges or () if (r["doc"], r["tie"]) == (doc, tie)])
                 ends = [0, *(b for _, b in spans)]
                 kept = b"".join(raw[a:b] for a, b in zip(ends, [*(a for a, _ in spans), len(raw)]))
                 values = (doc_id, len(raw), len(raw) - len(kept), [{"start": a, "end": b} for a, b in spans], kept, kept.decode("utf-8", "ignore"))
@@ -556,7 +558,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spans = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
     schema = T.StructType([T.StructField(n, T.LongType()) for n in CUT.names[:3]])
     schema = schema.add("spans", spans).add("kept", T.BinaryType()).add("kept_text", T.StringType()).add(own.schema["row"])
-    return dealt.join(by_doc, "doc", "left").mapInArrow(cut, schema)
+    return dealt.join(by_key, "key", "left").mapInArrow(cut, schema)
 
 
 def digests(cut: DataFrame) -> DataFrame:

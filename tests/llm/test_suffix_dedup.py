@@ -148,3 +148,18 @@ def test_hot_anchors_are_split(spark, monkeypatch):
     # The largest number of different stretches that have one key, and so meet in one task.
     most = [f.groupBy("anchor").agg(F.countDistinct("bytes").alias("n")).agg(F.max("n")).first()[0] for f in met]
     assert most[0] > 30 and most[1] <= 20
+
+
+def test_rows_without_id_are_dealt_by_their_texts(spark, monkeypatch):
+    shared = cases.words(40, 9)
+    docs = cases.table(spark, [(i if i % 3 else None, f"{cases.words(30, 600 + i)} {shared}") for i in range(90)])
+    seen = []
+    real = sd.stretches
+    monkeypatch.setattr(sd, "stretches", lambda texts, *rest: seen.append(texts) or real(texts, *rest))
+    got = sd.remove_repeats(docs).collect()
+    # Of the 30 rows without an id none is first, and each loses the shared passage.
+    assert len(got) == 90 and all(r.n_removed >= len(shared) for r in got if r.doc_id is None)
+    assert sum(r.n_removed < len(shared) for r in got) == 1
+    # What texts are dealt by tells them apart.
+    assert seen[0].where("doc_id IS NULL").select("key").distinct().count() >= 29
+    assert seen[0].groupBy("key").count().where("count > 1").isEmpty()
