@@ -1076,7 +1076,7 @@ def m4(spark, sf):
     return L.predict_probability(L.fit_classifier(table), table).select(*KEY, "prob")
 
 
-BOOSTED = L.multiday_config(rounds=20)
+BOOSTED = L.multiday_config()
 
 
 @register("m5_boosted_trees")
@@ -1240,7 +1240,7 @@ def m11c(spark, sf):
 @register("m12_multiday_training")
 def m12(spark, sf):
     products = DP.day_products(
-        X.cube(spark, sf), X.hotspots(spark, sf), X.detections(spark, sf), GRID, L.multiday_config(kind="logreg"), threshold=0.5
+        X.cube(spark, sf), X.hotspots(spark, sf), X.detections(spark, sf), GRID, BOOSTED, threshold=0.5
     )
     out = None
     for name, rows in DP.score_products(products, X.hotspots(spark, sf), GRID, 20.0).items():
@@ -1254,7 +1254,7 @@ def m13(spark, sf):
     table = cut(labelled(spark, sf))
     ids = [r["scene_id"] for r in table.select("scene_id").distinct().orderBy("scene_id").collect()]
     rows = L.leave_one_scene_out(
-        table, X.hotspots(spark, sf), GRID, ids, L.multiday_config(kind="logreg"), 20.0, 0.5
+        table, X.hotspots(spark, sf), GRID, ids, BOOSTED, 20.0, 0.5
     )
     return L.held_out_summary(rows)
 
