@@ -5,7 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from firegrid.llm import byte_bpe, exact_dedup, language, packing, quality, sharding, simhash, suffix_dedup, tokens, warc
+from firegrid.llm import byte_bpe, exact_dedup, fim, language, packing, quality, sharding, simhash, suffix_dedup, tokens, toxicity, warc
+from firegrid.llm import whitening
 from firegrid.llm.shared import documents
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -58,6 +59,19 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir), radius=3)
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return toxicity.score(docs, toxicity.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digests(fim.transform(documents(spark, sf_dir), seed=42, rate=50, spm_rate=80))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), components=4, scale=256)
+
+
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_quality_rules": op2_quality_rules,
@@ -69,9 +83,13 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_simhash": op10_simhash,
+    "op11_toxicity": op11_toxicity,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_whitening": op13_whitening,
 }
 
 SQL = {
     "op2_quality_rules": quality.ORACLE,
     "op4_exact_dedup": exact_dedup.ORACLE,
+    "op12_fill_in_middle": fim.ORACLE,
 }
