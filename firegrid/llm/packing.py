@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -10,39 +11,45 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from firegrid.llm.shared import batch_of, in_batches, store, texts_of, with_rank
-from firegrid.llm.tokens import word_encoder
+from firegrid.llm.shared import batch_of, in_batches, store, with_rank
+from firegrid.llm.tokens import binary_rows, word_encoder
 
-PIECES = pa.schema(
-    [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary())]
-)
+PIECES = [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]
 #: Ranks below this many per length fit beside the length in one sort key.
 RANKS = 1 << 40
 
 
 def cut_documents(
-    docs: DataFrame, tokenizer: str, end_id: int, capacity: int, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame,
+    tokenizer: str,
+    end_id: int,
+    capacity: int,
+    with_ids: bool = True,
+    id_col: str = "doc_id",
+    text_col: str = "text",
 ) -> DataFrame:
-    """Pieces of at most ``capacity`` ids: doc_id, piece, start, length, ids (little-endian, 32 bits each).
+    """Pieces of at most ``capacity`` ids: doc_id, piece, start, length, ids_crc32, and ids (little-endian, 32 bits each) if asked for.
 
     A document is its ids and ``end_id``; null text gives the end id alone. Only longer documents are
-    cut, into full pieces and a last one that may be shorter.
+    cut, into full pieces and a last one that may be shorter. A text is encoded whole, however long.
     """
+    fields = PIECES + ([("ids", pa.binary())] if with_ids else [])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = word_encoder(tokenizer, "<u4"), np.array([end_id], "<u4").tobytes()
+        encode = word_encoder(tokenizer, "<u4")
         for batch in batches:
-            rows: dict[str, list] = {n: [] for n in PIECES.names}
-            for doc_id, ids in zip(batch.column(0).to_pylist(), encode(texts_of(batch))):
-                ids += end
-                for k, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[at : at + 4 * capacity]
-                    for name, value in zip(PIECES.names, (doc_id, k, at // 4, len(part) // 4, part)):
-                        rows[name].append(value)
-            yield batch_of(PIECES, rows)
-        encode.rest()
-
-    schema = "doc_id long, piece int, start long, length long, ids binary"
+            ids, sizes = encode(batch.column(1), end_id)
+            n = -(-sizes // capacity)
+            doc = np.repeat(np.arange(len(sizes)), n)
+            piece = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
+            length = np.minimum(capacity, sizes[doc] - piece * capacity)
+            ends, data = np.cumsum(length).tolist(), memoryview(ids).cast("B")
+            crc = [zlib.crc32(data[4 * a : 4 * b]) for a, b in zip([0, *ends[:-1]], ends)]
+            columns = {"doc_id": batch.column(0).take(pa.array(doc)), "piece": piece, "start": piece * capacity, "length": length}
+            columns |= {"ids_crc32": crc} | ({"ids": binary_rows(ids, length)} if with_ids else {})
+            yield batch_of(pa.schema(fields), columns)
+
+    schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids binary" if with_ids else "")
     return in_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(task, schema)
 
 
@@ -125,6 +132,5 @@ def pack_documents(
     Columns doc_id, piece, start, length, ids_crc32, sequence_id, offset, and ids where asked for. Each
     sequence is filled from 0 without gaps. An empty table gives no rows; rows that repeat are packed each.
     """
-    cut = cut_documents(docs, tokenizer, end_id, capacity, id_col, text_col).withColumn("ids_crc32", F.crc32("ids"))
-    pieces = store(cut if with_ids else cut.drop("ids"), "pieces")
+    pieces = store(cut_documents(docs, tokenizer, end_id, capacity, with_ids, id_col, text_col), "pieces")
     return pack(pieces, capacity, ("doc_id", "piece", "ids_crc32"), pieces.count())

@@ -5,6 +5,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from hypothesis import given, settings
@@ -21,7 +22,6 @@ PATH = public_tokenizers.path("word_bpe_49k.json")
 @pytest.fixture(scope="module")
 def encode():
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     return lambda text: t.encode(text or "", add_special_tokens=False).ids
 
 
@@ -43,23 +43,29 @@ def test_token_files(spark, encode):
 
 def test_words_share_their_cores(encode, monkeypatch):
     monkeypatch.setattr(tokens, "WORD_CACHE", 20)
-    monkeypatch.setattr(tokens, "LOT", 7)
+    monkeypatch.setattr(tokens, "LOT_BYTES", 200)
     own = tokens.WordEncoder(PATH, "<u4")
-    assert own.folds and own.parts_tail and own.plain
-    alphabet = ["a", "B", "é", "İ", "J\u030c", "e\u0301", "7", ".", ",", "!", "'s", "'", "-", " ", "\n", "\u00a0", "\x1c", "Σ", "漢", "<|endoftext|>"]
+    assert own.folds and {*".,;:!?"} <= {*own.tail} and own.parted and {*"azéößñÉÖ"} <= {*own.letters}
+    alphabet = ["a", "B", "é", "İ", "J\u030c", "e\u0301", "7", ".", ",", "!", "'s", "'", "-", " ", "\n", "\u00a0", "\x1c", "Σ", "漢", "<|endoftext|>", "<|", "<|startoftext|>", "x<y", "|>", "$%", "**", "_"]
     r = random.Random(2)
     texts = ["".join(r.choice(alphabet) for _ in range(r.randrange(60))) for _ in range(400)]
     for at in range(0, len(texts), 50):
-        got = own(texts[at : at + 50])
-        assert [np.frombuffer(g, "<u4").tolist() for g in got] == [encode(t) for t in texts[at : at + 50]]
+        ids, sizes = own(pa.array(texts[at : at + 50] + [None, ""]), 9)
+        want = [encode(t) + [9] for t in texts[at : at + 50] + ["", ""]]
+        assert sizes.tolist() == [len(w) for w in want] and ids.tolist() == sum(want, [])
+    own.parted = own.parter = None  # every word by itself gives the same
+    own._forget()
+    ids, _ = own(pa.array(texts[:100]), 9)
+    assert ids.tolist() == [i for t in texts[:100] for i in [*encode(t), 9]]
+    assert own(pa.array([], pa.string()), 9)[0].tolist() == []
 
 
 def test_token_files_by_part(spark, encode):
     docs, folder = cases.table(spark), scratch_path(spark, "tokens")
     index = tokens.write_token_files(docs, folder, PATH, 2).orderBy("part").collect()
     local = folder.removeprefix("file:")
-    flat = np.concatenate([np.fromfile(f"{local}/tokens-{r.part:06d}.bin", "<u4") for r in index])
-    starts = np.concatenate([np.fromfile(f"{local}/offsets-{r.part:06d}.bin", "<i8") for r in index])
+    flat = np.concatenate([np.fromfile(f"{local}/tokens-{r.part:06d}-{r.attempt}.bin", "<u4") for r in index])
+    starts = np.concatenate([np.fromfile(f"{local}/{r.offsets}", "<i8") for r in index])
     ids = [encode(t) + [2] for _, t in cases.texts()]
     assert sum(ids, []) == flat.tolist()
     assert starts.tolist() == np.cumsum([0] + [len(x) for x in ids[:-1]]).tolist()
@@ -67,6 +73,18 @@ def test_token_files_by_part(spark, encode):
     assert tokens.round_trip(spark, cases.table(spark, []), PATH, 2, "<u2").collect() == []
 
 
+def test_rows_of_one_id_are_spread(spark, encode):
+    rows = [(None, f"text {i % 50} of no id") for i in range(400)] + [(7, f"again {i}") for i in range(100)]
+    docs, folder = cases.table(spark, rows), scratch_path(spark, "tokens")
+    index = tokens.write_token_files(docs, folder, PATH, 2, rows=160_000)  # as of a larger table: more parts
+    assert index.where("n_docs > 0").count() > 2
+    got = tokens.token_digests(tokens.read_token_files(index, folder)).collect()
+    assert sorted((r.doc_id or -1, r.n_tokens, r.ids_crc32) for r in got) == sorted(
+        (i or -1, len(encode(t)) + 1, crc(encode(t) + [2])) for i, t in rows
+    )
+    assert sorted(r.start for r in got) == np.cumsum([0] + [r.n_tokens for r in sorted(got, key=lambda r: r.start)])[:-1].tolist()
+
+
 def plain_best_fit(lengths, capacity):
     room = []
     for n in sorted(lengths, reverse=True):
