@@ -35,7 +35,8 @@ GRAM_SIZES = (4, 5, 6)
 #: Lattice places that are decoded at once; longer tokens go on from the characters decoded last.
 STRETCH = 512
 PIECE = 1 << 20
-MEMORY = 100_000
+#: Tokens that a task remembers.
+MEMORY = 400_000
 
 LETTERS = [c for c in map(chr, [*range(0x61, 0x7B), *range(0xDF, 0x180)]) if c.islower()]
 GAP, OTHER = 0, 1
@@ -46,6 +47,7 @@ _WORD = re.compile(r"[^\W\d_]+")
 _TOKEN = re.compile(r"\S+")
 _SUSPECT = re.compile(r"[^\W\d_][0-9@$€]|[0-9@$€][^\W\d_]|[^\W\d_][!|+](?=[^\W\d_])|([^\W\d_])\1\1")
 _SPACED = re.compile(r"(?<!\S)[\w@$!|+€](?:([ .\-_*])[\w@$!|+€])(?:\1[\w@$!|+€])+(?!\S)")
+_SPACED_PART = re.compile(r"[\w@$!|+€]([ .\-_*])[\w@$!|+€]\1[\w@$!|+€]")
 _RUN = re.compile(r"(.)\1*", re.S)
 
 GRAMS = pa.schema([("gram", pa.int64()), ("n", pa.int64())])
@@ -189,33 +191,43 @@ def decode(places: list[Place], model: CharacterModel) -> str:
 
 
 class Restorer:
-    """Texts in lower case with their disguises undone; remembers the tokens it has decoded."""
+    """Texts in lower case with their disguises undone; remembers the tokens it has looked at."""
 
     def __init__(self, model: CharacterModel):
         self.model = model
         self.known: dict[str, str] = {}
-        self.changed = 0
 
-    def _token(self, token: str) -> str:
-        if token not in self.known:
+    def token(self, token: str) -> str:
+        """``token`` restored; most are looked at once and stay as they are."""
+        found = self.known.get(token)
+        if found is None:
             if len(self.known) >= MEMORY:
                 self.known.clear()
-            self.known[token] = decode(token_lattice(token), self.model) if _SUSPECT.search(token) else token
-        self.changed += self.known[token] != token
-        return self.known[token]
-
-    def _spaced(self, m: re.Match) -> str:
-        found = decode(spaced_lattice(m.group()), self.model)
-        self.changed += found != m.group()
+            found = decode(token_lattice(token), self.model) if _SUSPECT.search(token) else token
+            self.known[token] = found
         return found
 
+    def joined(self, text: str) -> tuple[str, int]:
+        """``text`` in lower case with spaced-out words put together, and how many there were."""
+        text, n = text.lower(), 0
+        if _SPACED_PART.search(text):
+
+            def put(m: re.Match) -> str:
+                nonlocal n
+                found = decode(spaced_lattice(m.group()), self.model)
+                n += found != m.group()
+                return found
+
+            text = _SPACED.sub(put, text)
+        return text, n
+
     def __call__(self, text: str) -> tuple[str, int]:
-        """The restored text and how many stretches of it were changed."""
-        self.changed = 0
-        text = _SPACED.sub(self._spaced, text.lower())
-        if _SUSPECT.search(text):
-            text = _TOKEN.sub(lambda m: self._token(m.group()), text)
-        return text, self.changed
+        """The restored text and how many different stretches of it were changed."""
+        text, n = self.joined(text)
+        changed = {t: r for t in set(text.split()) if (r := self.token(t)) != t}
+        if changed:
+            text = _TOKEN.sub(lambda m: changed.get(m.group(), m.group()), text)
+        return text, n + len(changed)
 
 
 def restore(docs: DataFrame, model: CharacterModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -266,7 +278,7 @@ class ToxicityModel:
 
 
 class Scanner:
-    """Finds which of ``grams`` occur in the words of a text, in one pass over its distinct words."""
+    """Finds which of ``grams`` occur in the words of a text, in one pass."""
 
     def __init__(self, grams: list[str]):
         import ahocorasick
@@ -278,10 +290,38 @@ class Scanner:
             self.automaton.make_automaton()
         self.empty = not grams
 
-    def __call__(self, text: str) -> set[int]:
+    def __call__(self, text: str) -> frozenset[int]:
         if self.empty:
-            return set()
-        return {i for _, i in self.automaton.iter(f" {'  '.join(set(_WORD.findall(text)))} ")}
+            return frozenset()
+        return frozenset(i for _, i in self.automaton.iter(f" {'  '.join(_WORD.findall(text))} "))
+
+
+class Judge:
+    """Scores of texts by what their restored tokens hold; remembers the tokens it has looked at."""
+
+    def __init__(self, model: ToxicityModel):
+        self.model, self.restorer, self.scan = model, Restorer(model.characters), Scanner(model.grams)
+        self.known: dict[str, tuple[bool, frozenset[int]]] = {}
+
+    def _look(self, token: str) -> tuple[bool, frozenset[int]]:
+        restored = decode(token_lattice(token), self.model.characters) if _SUSPECT.search(token) else token
+        found = restored != token, self.scan(restored)
+        if len(self.known) >= MEMORY:
+            self.known.clear()
+        self.known[token] = found
+        return found
+
+    def __call__(self, text: str) -> tuple[float, int]:
+        """The score and how many different stretches were restored for it."""
+        text, n = self.restorer.joined(text)
+        hits: set[int] = set()
+        for token in set(text.split()):
+            changed, found = self.known.get(token) or self._look(token)
+            n += changed
+            if found:
+                hits |= found
+        logit = self.model.intercept + float(self.model.weights[sorted(hits)].sum())
+        return 1 / (1 + math.exp(-min(max(logit, -700.0), 700.0))), n
 
 
 def _word_table(rows: DataFrame) -> DataFrame:
@@ -375,13 +415,12 @@ def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_co
     """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, scan = Restorer(model.characters), Scanner(model.grams)
+        own = Judge(model)
         for batch in batches:
             found = [own(t) for t in texts_of(batch)]
-            logit = [model.intercept + float(model.weights[sorted(scan(t))].sum()) for t, _ in found]
-            p = [1 / (1 + math.exp(-min(max(x, -700.0), 700.0))) for x in logit]
-            columns = {"doc_id": batch.column(0), "held_out": batch.column(1), "score": p, "predicted": [int(x >= 0.5) for x in p]}
-            yield batch_of(SCORED, columns | {"n_restored": [k for _, k in found]})
+            columns = {"doc_id": batch.column(0), "held_out": batch.column(1), "score": [p for p, _ in found]}
+            columns |= {"predicted": [int(p >= 0.5) for p, _ in found], "n_restored": [n for _, n in found]}
+            yield batch_of(SCORED, columns)
 
     chosen = in_batches(docs).select(
         F.col(id_col).cast("long").alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).alias("text")
