@@ -40,6 +40,7 @@ MEMORY = 400_000
 
 LETTERS = [c for c in map(chr, [*range(0x61, 0x7B), *range(0xDF, 0x180)]) if c.islower()]
 GAP, OTHER = 0, 1
+NOTHING: frozenset[int] = frozenset()
 CLASSES = 2 + len(LETTERS)
 _CLASS_OF: list = []
 
@@ -48,6 +49,8 @@ _TOKEN = re.compile(r"\S+")
 _SUSPECT = re.compile(r"[^\W\d_][0-9@$€]|[0-9@$€][^\W\d_]|[^\W\d_][!|+](?=[^\W\d_])|([^\W\d_])\1\1")
 _SPACED = re.compile(r"(?<!\S)[\w@$!|+€](?:([ .\-_*])[\w@$!|+€])(?:\1[\w@$!|+€])+(?!\S)")
 _SPACED_PART = re.compile(r"[\w@$!|+€]([ .\-_*])[\w@$!|+€]\1[\w@$!|+€]")
+_RUN_OF_THREE = re.compile(r"(.)\1\1")
+_EDGES = ".,;:!?\"'()"
 _RUN = re.compile(r"(.)\1*", re.S)
 
 GRAMS = pa.schema([("gram", pa.int64()), ("n", pa.int64())])
@@ -292,8 +295,11 @@ class Scanner:
 
     def __call__(self, text: str) -> frozenset[int]:
         if self.empty:
-            return frozenset()
-        return frozenset(i for _, i in self.automaton.iter(f" {'  '.join(_WORD.findall(text))} "))
+            return NOTHING
+        word = text.strip(_EDGES)
+        if not word.isalpha():
+            word = "  ".join(_WORD.findall(text))
+        return frozenset([i for _, i in self.automaton.iter(f" {word} ")]) or NOTHING
 
 
 class Judge:
@@ -304,7 +310,8 @@ class Judge:
         self.known: dict[str, tuple[bool, frozenset[int]]] = {}
 
     def _look(self, token: str) -> tuple[bool, frozenset[int]]:
-        restored = decode(token_lattice(token), self.model.characters) if _SUSPECT.search(token) else token
+        suspect = _RUN_OF_THREE if token.isalpha() else _SUSPECT
+        restored = decode(token_lattice(token), self.model.characters) if suspect.search(token) else token
         found = restored != token, self.scan(restored)
         if len(self.known) >= MEMORY:
             self.known.clear()
