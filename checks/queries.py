@@ -1085,6 +1085,24 @@ def m5(spark, sf):
     return L.predict_probability(L.fit_classifier(table, BOOSTED), table).select(*KEY, "prob")
 
 
+FEW_ROUNDS = L.multiday_config(rounds=3, bins=64)
+
+
+def few_rounds(prefix: str, models: str) -> str:
+    cfg = FEW_ROUNDS.boosting
+    return S.boosted_cte(prefix, models, M.FEATURES, cfg.rounds, cfg.depth, cfg.rate, cfg.bins, cfg.min_leaf)
+
+
+@register(
+    "m5b_boosted_three_rounds",
+    f"SELECT scene_id, r, c, round(1e0 / (1e0 + exp(-margin)), 6) AS prob FROM {few_rounds('bt', 'SELECT -1 AS model')}",
+)
+def m5b(spark, sf):
+    table = cut(labelled(spark, sf))
+    prob = L.predict_probability(L.fit_classifier(table, FEW_ROUNDS), table.where("valid"))
+    return rounded(prob.select(*KEY, "prob"), "prob")
+
+
 @register("m6_probability_mask")
 def m6(spark, sf):
     table = cut(labelled(spark, sf))
@@ -1259,6 +1277,17 @@ def m13(spark, sf):
     return L.held_out_summary(rows)
 
 
+@register(
+    "m13b_held_out_three_rounds",
+    "SELECT scene_id, r, c, round(1e0 / (1e0 + exp(-margin)), 6) AS prob "
+    f"FROM {few_rounds('lo', 'SELECT DISTINCT scene_id AS model FROM training')} WHERE scene_id = model",
+)
+def m13b(spark, sf):
+    table = cut(labelled(spark, sf))
+    ids = [r["scene_id"] for r in table.where("valid").select("scene_id").distinct().orderBy("scene_id").collect()]
+    return rounded(L.held_out_probability(table.where("valid"), ids, FEW_ROUNDS).select(*KEY, "prob"), "prob")
+
+
 # ================================================================ evaluation
 
 S.units_cte("res_units", "res_hot")

@@ -681,3 +681,61 @@ def gate_steps(km: float) -> int:
     lat = (g.max_lat - g.min_lat) * KM_PER_DEG / g.h
     lon = (g.max_lon - g.min_lon) * KM_PER_DEG * math.cos(mid) / g.w
     return max(1, round(km / ((lat + lon) / 2)))
+
+
+def boosted_cte(p: str, models: str, features: tuple[str, ...], rounds: int, depth: int, rate: float, bins: int, min_leaf: int) -> str:
+    """Boosted trees over ``training`` for every model of the query ``models`` (the scene each leaves out)."""
+    f = range(len(features))
+    levels = "[" + ", ".join(lit(i / bins) for i in range(1, bins)) + "]"
+    define(f"{p}_models", models)
+    define(f"{p}_edges", "SELECT " + ", ".join(f"list_sort(list_distinct(quantile_cont({x}, {levels}))) AS e{i}" for i, x in enumerate(features)) + " FROM training")
+    define(
+        f"{p}_bins",
+        "SELECT scene_id, r, c, label, "
+        + ", ".join(f"len(list_filter(e{i}, lambda v: v < t.{x})) AS b{i}" for i, x in enumerate(features))
+        + f" FROM training t, {p}_edges",
+    )
+    define(
+        f"{p}_weights",
+        f"SELECT model, count(*) / (2e0 * count(*) FILTER (label = 0)) AS w0, count(*) / (2e0 * count(*) FILTER (label = 1)) AS w1 "
+        f"FROM {p}_bins JOIN {p}_models ON scene_id <> model GROUP BY model",
+    )
+    bs = ", ".join(f"b{i}" for i in f)
+    define(
+        f"{p}_s0",
+        f"SELECT model, scene_id, r, c, label, {bs}, scene_id <> model AS train, CASE WHEN label = 1 THEN w1 ELSE w0 END AS w, 0e0 AS margin "
+        f"FROM {p}_bins, {p}_weights",
+    )
+    for t in range(rounds):
+        define(
+            f"{p}_n{t}_0",
+            f"SELECT *, w * (p - label) AS g, w * p * (1e0 - p) AS h, 0 AS node FROM (SELECT *, 1e0 / (1e0 + exp(-margin)) AS p FROM {p}_s{t})",
+        )
+        for level in range(depth):
+            src = f"{p}_n{t}_{level}"
+            long = " UNION ALL ".join(f"SELECT model, node, {i} AS f, b{i} AS b, g, h FROM {src} WHERE train" for i in f)
+            define(f"{p}_h{t}_{level}", f"SELECT model, node, f, b, sum(g) AS g, sum(h) AS h, count(*) AS n FROM ({long}) GROUP BY ALL")
+            define(
+                f"{p}_c{t}_{level}",
+                "SELECT *, sum(g) OVER u AS ga, sum(h) OVER u AS ha, sum(n) OVER u AS na, sum(g) OVER o AS gl, sum(h) OVER o AS hl, sum(n) OVER o AS nl "
+                f"FROM {p}_h{t}_{level} WINDOW u AS (PARTITION BY model, node, f), o AS (PARTITION BY model, node, f ORDER BY b)",
+            )
+            define(
+                f"{p}_b{t}_{level}",
+                f"SELECT model, node, f, b FROM (SELECT *, round(gl * gl / hl + (ga - gl) * (ga - gl) / (ha - hl) - ga * ga / ha, 9) AS gain FROM {p}_c{t}_{level} "
+                f"WHERE nl >= {min_leaf} AND na - nl >= {min_leaf} AND hl >= 1e-3 AND ha - hl >= 1e-3) WHERE gain > 0 "
+                "QUALIFY row_number() OVER (PARTITION BY model, node ORDER BY gain DESC, f, b) = 1",
+            )
+            chosen = "CASE k.f " + " ".join(f"WHEN {i} THEN b{i}" for i in f) + " END"
+            define(
+                f"{p}_n{t}_{level + 1}",
+                f"SELECT s.* REPLACE (2 * s.node + CASE WHEN k.f IS NOT NULL AND {chosen} > k.b THEN 1 ELSE 0 END AS node) "
+                f"FROM {src} s LEFT JOIN {p}_b{t}_{level} k ON s.model = k.model AND s.node = k.node",
+            )
+        define(f"{p}_v{t}", f"SELECT model, node, -{lit(rate)} * sum(g) / sum(h) AS v FROM {p}_n{t}_{depth} WHERE train GROUP BY ALL")
+        define(
+            f"{p}_s{t + 1}",
+            f"SELECT s.model, scene_id, r, c, label, {bs}, train, w, margin + coalesce(v, 0e0) AS margin "
+            f"FROM {p}_n{t}_{depth} s LEFT JOIN {p}_v{t} v ON s.model = v.model AND s.node = v.node",
+        )
+    return f"{p}_s{rounds}"

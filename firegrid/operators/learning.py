@@ -1,17 +1,19 @@
-"""Classifiers over cell features: Spark ML fits, probabilities, peaks, held-out evaluation."""
+"""Classifiers over cell features: fits for all folds at once, probabilities, peaks, held-out evaluation."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.ml import Model
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from firegrid.operators import boosting as B
 from firegrid.operators import evaluate as E
 from firegrid.operators import neighborhood as N
 from firegrid.operators.features import FEATURES, KEY, population_scaling, scaled_columns, training_rows
@@ -31,9 +33,13 @@ class ClassifierConfig:
     sigma: float = 1.0
     nms_radius: int = 2
     nms_threshold: float = 0.5
-    seed: int = 42
+    bins: int = 255
     features: tuple[str, ...] = FEATURES
 
+    @property
+    def boosting(self) -> B.BoostingConfig:
+        return B.BoostingConfig(self.depth, self.rate, self.rounds, self.bins)
+
 
 def multiday_config(**changes) -> ClassifierConfig:
     """Boosted trees with the smoothing and peak radius used across days."""
@@ -43,7 +49,7 @@ def multiday_config(**changes) -> ClassifierConfig:
 @dataclass(frozen=True)
 class FittedClassifier:
     scaling: dict
-    model: Model
+    model: Model | B.Trees
     cfg: ClassifierConfig
 
 
@@ -54,6 +60,10 @@ def fit_classifier(labelled: DataFrame, cfg: ClassifierConfig = ClassifierConfig
     row of moments and two class counts.
     """
     rows = training_rows(labelled if where is None else labelled.where(where))
+    if cfg.kind == "boosted":  # trees need no scaling
+        return FittedClassifier({}, B.fit_trees(rows, cfg.features, cfg.boosting), cfg)
+    if cfg.kind != "logreg":
+        raise ValueError(f"unknown classifier: {cfg.kind}")
     moments = population_scaling(rows, cfg.features).first().asDict()
     counts = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if len(counts) < 2:
@@ -64,18 +74,8 @@ def fit_classifier(labelled: DataFrame, cfg: ClassifierConfig = ClassifierConfig
         rows.withColumns(scaled_columns(moments, cfg.features)).withColumn("w", weight)
     ).select("x", "w", F.col("label").cast("double").alias("label"))
     common = dict(featuresCol="x", labelCol="label", weightCol="w")
-    if cfg.kind == "logreg":
-        # The weights sum to the row count; the penalty is 1/C per unit of total weight.
-        learner = LogisticRegression(
-            maxIter=cfg.max_iter, regParam=1.0 / (cfg.c * total), standardization=False, **common
-        )
-    elif cfg.kind == "boosted":
-        learner = GBTClassifier(
-            maxDepth=cfg.depth, stepSize=cfg.rate, maxIter=cfg.rounds, seed=cfg.seed,
-            cacheNodeIds=True, **common,
-        )
-    else:
-        raise ValueError(f"unknown classifier: {cfg.kind}")
+    # The weights sum to the row count; the penalty is 1/C per unit of total weight.
+    learner = LogisticRegression(maxIter=cfg.max_iter, regParam=1.0 / (cfg.c * total), standardization=False, **common)
     ready = ready.persist()
     try:
         model = learner.fit(ready)
@@ -87,6 +87,8 @@ def fit_classifier(labelled: DataFrame, cfg: ClassifierConfig = ClassifierConfig
 def predict_probability(fitted: FittedClassifier, cells: DataFrame) -> DataFrame:
     """Dense (scene_id, r, c, valid, prob): 0 where invalid."""
     cols = list(fitted.cfg.features)
+    if isinstance(fitted.model, B.Trees):
+        return B.predict_trees(fitted.model, cells, cols)
     kept = [c for c in cells.columns if c not in cols]
     scaled = cells.withColumns(scaled_columns(fitted.scaling, cols))
     rated = fitted.model.transform(VectorAssembler(inputCols=cols, outputCol="x").transform(scaled))
@@ -117,6 +119,21 @@ def grown_peaks(
     return grow(peak_mask(prob, threshold, radius, sigma), prob, rounds, grid)
 
 
+def held_out_probability(table: DataFrame, scenes: Sequence, cfg: ClassifierConfig = multiday_config()) -> DataFrame:
+    """Probabilities of the cells of every scene of ``scenes`` by the model that trained on all other scenes."""
+    ids = list(scenes)
+    number = F.coalesce(*[F.when(F.col("scene_id") == s, i) for i, s in enumerate(ids)], F.lit(-2))
+    wanted = table.where(F.col("scene_id").isin(ids))
+    if len(ids) == 1:
+        return cut(predict_probability(fit_classifier(table, cfg), wanted))
+    if cfg.kind == "boosted":
+        rows = training_rows(table).withColumn("_fold", number)
+        trees = B.fit_trees(rows, cfg.features, cfg.boosting, F.col("_fold"), range(len(ids)))
+        return cut(B.predict_trees(trees, wanted, cfg.features, number))
+    parts = [predict_probability(fit_classifier(table, cfg, F.col("scene_id") != s), table.where(F.col("scene_id") == s)) for s in ids]
+    return cut(reduce(DataFrame.unionByName, parts))
+
+
 def leave_one_scene_out(
     labelled: DataFrame,
     hotspots: DataFrame,
@@ -127,23 +144,18 @@ def leave_one_scene_out(
     threshold: float = 0.7258,
     rounds: int = 2,
 ) -> DataFrame:
-    """Train on the other scenes, predict grown peaks, event metrics for the held-out scene.
+    """Train on the other scenes, predict grown peaks, event metrics for each held-out scene.
 
-    ``scenes`` is the short list of held-out days, one distributed fit each; a single scene is
-    scored in sample.  The feature table is written once to the shared folder.
+    ``scenes`` is the short list of held-out days; a single scene is scored in sample. Boosted models
+    of all days are fitted together, fold by fold as a key; the feature table is written once to the
+    shared folder, and masks of all days are evaluated in one job.
     """
     table = cut(labelled)
-    out = None
-    for scene in scenes:
-        others = F.col("scene_id") != scene if len(scenes) > 1 else None
-        fitted = fit_classifier(table, cfg, others)
-        prob = predict_probability(fitted, table.where(F.col("scene_id") == scene))
-        mask = grown_peaks(prob, grid, threshold, 1, 1.2, rounds)
-        held = hotspots.where(F.col("scene_id") == scene)
-        lone = table.sparkSession.createDataFrame([(scene,)], table.select("scene_id").schema)
-        rows = E.event_metrics(mask, held, grid, radius_km, scenes=lone)
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    ids = list(scenes)
+    prob = held_out_probability(table, ids, cfg)
+    mask = grown_peaks(prob, grid, threshold, 1, 1.2, rounds)
+    held = hotspots.where(F.col("scene_id").isin(ids))
+    return E.event_metrics(mask, held, grid, radius_km, scenes=prob.select("scene_id").distinct())
 
 
 def fold_best_threshold(
