@@ -1147,10 +1147,9 @@ def m8b(spark, sf):
 @register("m8c_fold_best_threshold")
 def m8c(spark, sf):
     table = labelled(spark, sf)
-    fold = M.spatial_fold(GRID, 2, 1)
-    best = L.fold_best_threshold(
-        table, X.hotspots(spark, sf), GRID, fold, [0, 1], [0.3, 0.4, 0.5, 0.6, 0.7], (1, 2), radius_km=20.0
-    )
+    # The published search over 3 x 3 blocks.
+    thresholds = [0.2 + i * (0.95 - 0.2) / 31 for i in range(32)]
+    best = L.fold_best_threshold(table, X.hotspots(spark, sf), GRID, M.spatial_fold(GRID, 3, 3), range(9), thresholds, (1, 2, 3), radius_km=20.0)
     return event_view(best, "scene_id", "fold", "threshold", "nms_radius")
 
 
@@ -1410,34 +1409,44 @@ def e8c(spark, sf):
     return E.classify_predictions(mask, X.hotspots(spark, sf), GRID, 20.0).select("scene_id", "unit", "klass")
 
 
+def values(name: str, items) -> str:
+    return f"(VALUES {', '.join(f'({S.lit(x) if isinstance(x, float) else x})' for x in items)}) v_{name}({name})"
+
+
+# The published peak search.
+PEAK_SPACE = {
+    "thresholds": [0.30 + i * (0.95 - 0.30) / 29 for i in range(30)], "radii": (1, 2, 3, 4), "sigmas": (0.8, 1.2, 1.6, 2.0),
+    "growths": (0, 1, 2), "distances": (3.0, 5.0, 8.0, 10.0),
+}
+
+
 def sweep_sql() -> str:
     """Peak sweep over the risk: sigma x peak radius x threshold x growth x match radius."""
     parts = []
-    for sigma in (0.8, 1.2):
+    for sigma in PEAK_SPACE["sigmas"]:
         tag = str(sigma).replace(".", "")
         S.smooth_cte(f"sw_s{tag}", "risk_prob", "prob", sigma)
-        for rad in (1, 2):
+        for rad in PEAK_SPACE["radii"]:
             S.local_max_cte(f"sw_t{tag}_{rad}", f"sw_s{tag}", "prob", rad)
             parts.append(
                 f"SELECT s.scene_id, {S.lit(sigma)} AS sigma, {rad} AS nms_radius, s.r, s.c, s.prob AS smoothed FROM sw_s{tag} s "
                 f"JOIN sw_t{tag}_{rad} t USING (scene_id, r, c) JOIN day d USING (scene_id, r, c) WHERE d.valid AND s.prob = t.top"
             )
     S.define("sw_found", " UNION ALL ".join(parts))
-    S.define("sw_masks", "SELECT f.*, t.threshold FROM sw_found f JOIN (VALUES (0.2e0), (0.4e0), (0.6e0)) t(threshold) ON f.smoothed >= t.threshold")
-    S.dilate_cte("sw_grown1", "sw_masks", 1, "scene_id, sigma, nms_radius, threshold")
-    S.define(
-        "sw_all",
-        "SELECT g.* FROM (SELECT scene_id, sigma, nms_radius, threshold, 0 AS growth, r, c FROM sw_masks UNION ALL SELECT scene_id, sigma, nms_radius, threshold, 1, r, c "
-        "FROM sw_grown1) g JOIN day d USING (scene_id, r, c) WHERE d.valid",
-    )
+    S.define("sw_masks", f"SELECT f.*, threshold FROM sw_found f JOIN {values('threshold', PEAK_SPACE['thresholds'])} ON f.smoothed >= threshold")
+    grown = ["SELECT scene_id, sigma, nms_radius, threshold, 0 AS growth, r, c FROM sw_masks"]
+    for g in PEAK_SPACE["growths"][1:]:
+        S.dilate_cte(f"sw_grown{g}", "sw_masks", g, "scene_id, sigma, nms_radius, threshold")
+        grown.append(f"SELECT scene_id, sigma, nms_radius, threshold, {g}, r, c FROM sw_grown{g}")
+    S.define("sw_all", f"SELECT g.* FROM ({' UNION ALL '.join(grown)}) g JOIN day d USING (scene_id, r, c) WHERE d.valid")
     keys = "scene_id, sigma, nms_radius, threshold, growth"
     S.units_cte("sw_units", "sw_all", keys)
     S.define(
         "sw_every",
-        "SELECT scene_id, sigma, nms_radius, threshold, growth FROM scenes CROSS JOIN (VALUES (0.8e0), (1.2e0)) a(sigma) CROSS JOIN (VALUES (1), (2)) b(nms_radius) "
-        "CROSS JOIN (VALUES (0.2e0), (0.4e0), (0.6e0)) t(threshold) CROSS JOIN (VALUES (0), (1)) g(growth)",
+        f"SELECT {keys} FROM scenes CROSS JOIN {values('sigma', PEAK_SPACE['sigmas'])} CROSS JOIN {values('nms_radius', PEAK_SPACE['radii'])} "
+        f"CROSS JOIN {values('threshold', PEAK_SPACE['thresholds'])} CROSS JOIN {values('growth', PEAK_SPACE['growths'])}",
     )
-    S.event_cte("sw_events", "sw_units", [10.0, 20.0], "sw_every", keys)
+    S.event_cte("sw_events", "sw_units", list(PEAK_SPACE["distances"]), "sw_every", keys)
     S.define(
         "sw_best",
         "SELECT *, row_number() OVER (PARTITION BY scene_id, radius_km ORDER BY round(f1, 12) DESC, threshold, nms_radius, sigma, growth) AS rn FROM sw_events",
@@ -1447,21 +1456,14 @@ def sweep_sql() -> str:
 
 @register("e9_peak_sweep", sweep_sql())
 def e9(spark, sf):
-    rows = W.peak_sweep(
-        risk_probability(spark, sf), X.hotspots(spark, sf), GRID, [0.2, 0.4, 0.6], (1, 2), (0.8, 1.2), (0, 1), (10.0, 20.0)
-    )
+    rows = W.peak_sweep(risk_probability(spark, sf), X.hotspots(spark, sf), GRID, **PEAK_SPACE)
     best = E.best_row(rows, ["scene_id", "radius_km"], ["f1"], ["threshold", "nms_radius", "sigma", "growth"])
     return event_view(best, "scene_id", "threshold", "nms_radius", "sigma", "growth")
 
 
 @register("e9b_event_detector_sweep")
 def e9b(spark, sf):
-    space = {
-        "median_sizes": ((3, 5), (3, 5, 7)), "btd_low": (25.0, 35.0), "btd_high": (90.0,),
-        "risk_percentile": (90.0, 95.0), "min_active_hours": (1, 2), "weight_anomaly": (0.45, 0.65),
-        "weight_persistence": (0.25,), "max_component": (4, 0),
-    }
-    rows = W.event_sweep(X.cube(spark, sf), X.hotspots(spark, sf), GRID, X.HOURS, space, 20.0)
+    rows = W.event_sweep(X.cube(spark, sf), X.hotspots(spark, sf), GRID, X.HOURS, W.EVENT_SPACE, 20.0)
     return event_view(rows, "scene_id", "sizes", "btd_low", "btd_high", "risk_percentile", "min_active_hours", "weight_anomaly", "weight_persistence", "max_component")
 
 
@@ -1471,7 +1473,7 @@ def e9c(spark, sf):
     wide = T.risk_mask(cube, 0.3, GRID, T.TwinConfig(lof_neighbors=0))
     feats = cut(M.build_features(cube, GRID))
     rows = W.outlier_sweep(
-        cut(wide), feats, X.hotspots(spark, sf), GRID, ("local_outlier_factor",), (0.04, 0.12), (10.0, 20.0)
+        cut(wide), feats, X.hotspots(spark, sf), GRID
     )
     return event_view(rows, "scene_id", "method", "contamination")
 
@@ -1624,7 +1626,6 @@ def f7(spark, sf):
     prob = cut(risk_probability(spark, sf))
     rows = W.fusion_sweep(
         cut(warm(spark, sf)), X.detections(spark, sf), prob, X.hotspots(spark, sf), held_out(spark, sf), GRID,
-        gates=(25.0, 50.0), radii=(10.0, 20.0),
     )
     return rounded(rows, "f1_full", "precision_full", "recall_full", "f1_holdout", "precision_holdout", "recall_holdout")
 

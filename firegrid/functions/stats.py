@@ -44,8 +44,10 @@ def with_quantiles(
     )
 
 
-def quantiles(df: DataFrame, keys: Sequence[str], specs: Specs) -> DataFrame:
-    """One row per group with the exact quantiles."""
+def quantiles(df: DataFrame, keys: Sequence[str], specs: Specs, group_rows: int | None = None) -> DataFrame:
+    """One row per group with the exact quantiles; groups beyond a bound of ``group_rows`` are bracketed first."""
+    if group_rows is not None and group_rows > WINDOW_ROWS:
+        return bracketed_quantiles(df, keys, specs)
     return df.groupBy(*keys).agg(
         *[F.percentile(x, F.lit(float(q))).alias(name) for name, (x, q) in specs.items()]
     )

@@ -290,12 +290,16 @@ def band_score(layers: DataFrame, grid: GridSpec, low: float = 35.0, high: float
     ranked = stats.with_quantiles(
         layers, LAYER, {"_lo": (pool, low / 100.0), "_hi": (pool, high / 100.0)}, grid.cells
     )
-    width = F.greatest(F.col("_hi") - F.col("_lo"), F.lit(1e-6))
-    inside = F.coalesce(pool.between(F.col("_lo"), F.col("_hi")), F.lit(False))
-    score = 1.0 - 2.0 * F.abs(btd - 0.5 * (F.col("_lo") + F.col("_hi"))) / width
-    return ranked.withColumns(
-        {"in_band": inside, "band": F.when(inside, stats.clip(score)).otherwise(F.lit(0.0))}
-    ).drop("_lo", "_hi")
+    inside, score = band_between(pool, F.col("_lo"), F.col("_hi"))
+    return ranked.withColumns({"in_band": inside, "band": score}).drop("_lo", "_hi")
+
+
+def band_between(btd: Column, low: Column, high: Column) -> tuple[Column, Column]:
+    """Whether a difference lies between two limits, and its triangular score there (0 outside)."""
+    width = F.greatest(high - low, F.lit(1e-6))
+    inside = F.coalesce(btd.between(low, high), F.lit(False))
+    score = 1.0 - 2.0 * F.abs(btd - 0.5 * (low + high)) / width
+    return inside, F.when(inside, stats.clip(score)).otherwise(F.lit(0.0))
 
 
 def glint_flag(layers: DataFrame, grid: GridSpec, percentile: float = 99.2) -> DataFrame:
@@ -317,12 +321,12 @@ def event_layers(cube: DataFrame, grid: GridSpec, cfg: EventConfig = EventConfig
 
 
 def event_signals(
-    layers: DataFrame, grid: GridSpec, norm: tuple[float, float] = (5.0, 95.0)
+    layers: DataFrame, grid: GridSpec, norm: tuple[float, float] = (5.0, 95.0), settings: Sequence[str] = ()
 ) -> DataFrame:
     """Per cell: scaled anomaly and band score averaged over active hours, active hour count, and
-    ``alive`` (in band at least once, not glint throughout)."""
+    ``alive`` (in band at least once, not glint throughout); apart for each of the ``settings`` columns."""
     active = (F.col("anomaly") > 0.05) & F.col("in_band") & ~F.col("glint")
-    cells = layers.groupBy(*KEY).agg(
+    cells = layers.groupBy(*KEY, *settings).agg(
         F.count_if(active).alias("active_hours"),
         F.coalesce(F.avg(F.when(active, F.col("anomaly"))), F.lit(0.0)).alias("_a"),
         F.coalesce(F.avg(F.when(active, F.col("band"))), F.lit(0.0)).alias("_b"),
@@ -334,7 +338,7 @@ def event_signals(
         "anomaly_n": (F.col("_a"), F.col("valid"), lo, hi),
         "band_n": (F.col("_b"), F.col("valid"), lo, hi),
     }
-    return stats.with_robust_units(cells, SCENE, units, grid.cells).drop("_a", "_b")
+    return stats.with_robust_units(cells, [*SCENE, *settings], units, grid.cells).drop("_a", "_b")
 
 
 def weighted_risk(

@@ -14,13 +14,15 @@ from firegrid.operators import components as C
 from firegrid.operators import detectors as D
 from firegrid.operators import evaluate as E
 from firegrid.operators import fusion as X
+from firegrid.operators import grid as G
 from firegrid.operators import learning as L
 from firegrid.operators import neighborhood as N
 from firegrid.operators import outliers as O
-from firegrid.schema import GridSpec
+from firegrid.schema import LAYER, GridSpec
 from firegrid.session import cut, store
 
 KEY = ("scene_id", "r", "c")
+EMPTY = "0"
 
 # Parameter space of the detector search.
 EVENT_SPACE = {
@@ -39,6 +41,18 @@ def _union(parts: Sequence[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def distinct_masks(masks: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Masks of many settings without repetition: (keys, mask) for each setting, and (scene_id, mask, r, c) once a mask.
+
+    A mask is named by its size and 128 bits of hashes of its cells. Settings with an empty mask are absent.
+    """
+    own = F.concat_ws("-", F.count("*"), F.bit_xor(F.xxhash64("r", "c")), F.bit_xor(F.xxhash64("c", F.lit("second"), "r")))
+    members = store(masks.groupBy(*keys).agg(own.alias("mask")), "members")
+    settings = [k for k in keys if k != "scene_id"]
+    first = members.groupBy("scene_id", "mask").agg(F.min(F.struct(*settings)).alias("_first")).select("scene_id", "mask", "_first.*")
+    return members, masks.join(first, list(keys)).select("scene_id", "mask", "r", "c")
+
+
 def event_sweep(
     cube: DataFrame,
     hotspots: DataFrame,
@@ -49,63 +63,74 @@ def event_sweep(
 ) -> DataFrame:
     """Event metrics of every detector setting.
 
-    Only the window sizes and band percentiles need their own pass over the layers; the other
-    parameters are generated as rows and evaluated together.
+    Layers are scored once: anomalies once per list of window sizes, band percentiles all at once;
+    settings are then rows. Weights and hour counts share their risk fields, percentiles their
+    thresholds, and size limits the components of one labelling.
     """
-    cube = cut(cube)
-    inner = list(
-        product(
-            space["risk_percentile"], space["min_active_hours"], space["weight_anomaly"],
-            space["weight_persistence"], space["max_component"],
-        )
-    )
-    settings = F.array(
+    sizes = {",".join(map(str, k)): tuple(k) for k in space["median_sizes"]}
+    levels = {f"_q{x}".replace(".", "_"): x for x in (*space["btd_low"], *space["btd_high"])}
+    layers = G.with_valid(cube).withColumn("seen", F.col("bt13").isNotNull() & F.col("valid"))
+    scored = layers
+    for i, k in enumerate(sizes.values()):
+        scored = D.fine_anomaly(scored, grid, k).withColumnRenamed("anomaly", f"_a{i}")
+    btd = F.col("bt7") - F.col("bt14")
+    pool = F.when(F.col("seen"), btd)
+    scored = D.glint_flag(stats.with_quantiles(scored, LAYER, {n: (pool, x / 100.0) for n, x in levels.items()}, grid.cells), grid)
+    at = {x: F.col(n) for n, x in levels.items()}
+    cases = F.array(
         *[
             F.struct(
-                F.lit(float(p)).alias("risk_percentile"), F.lit(int(m)).alias("min_active_hours"),
-                F.lit(float(a)).alias("weight_anomaly"), F.lit(float(w)).alias("weight_persistence"),
-                F.lit(int(x)).alias("max_component"),
+                F.lit(name).alias("sizes"), F.lit(float(low)).alias("btd_low"), F.lit(float(high)).alias("btd_high"),
+                F.col(f"_a{i}").alias("anomaly"), at[low].alias("_lo"), at[high].alias("_hi"),
             )
-            for p, m, a, w, x in inner
+            for i, name in enumerate(sizes)
+            for low, high in product(space["btd_low"], space["btd_high"])
         ]
     )
-    names = ["risk_percentile", "min_active_hours", "weight_anomaly", "weight_persistence", "max_component"]
     outer = ["sizes", "btd_low", "btd_high"]
-    parts = []
-    for sizes, low, high in product(space["median_sizes"], space["btd_low"], space["btd_high"]):
-        cfg = D.EventConfig(median_sizes=tuple(sizes), btd_low=low, btd_high=high)
-        signals = D.event_signals(D.event_layers(cube, grid, cfg), grid, cfg.norm)
-        parts.append(
-            signals.withColumns(
-                {
-                    "sizes": F.lit(",".join(str(k) for k in sizes)),
-                    "btd_low": F.lit(float(low)),
-                    "btd_high": F.lit(float(high)),
-                }
-            )
-        )
-    signals = cut(_union(parts))
-    tried = signals.where("valid").withColumn("s", F.explode(settings)).select(
-        *[c for c in signals.columns if c != "s"], "s.*"
+    rows = cut(scored).withColumn("_s", F.explode(cases)).select(*LAYER, "r", "c", "valid", "glint", pool.alias("_btd"), "_s.*")
+    inside, score = D.band_between(F.col("_btd"), F.col("_lo"), F.col("_hi"))
+    rows = rows.withColumns({"in_band": inside, "band": score})
+    signals = cut(D.event_signals(rows, grid, settings=outer))
+    inner = ["min_active_hours", "weight_anomaly", "weight_persistence"]
+    fields = F.array(
+        *[
+            F.struct(F.lit(int(m)).alias(inner[0]), F.lit(float(a)).alias(inner[1]), F.lit(float(w)).alias(inner[2]))
+            for m, a, w in product(*(space[n] for n in inner))
+        ]
     )
+    tried = signals.where("valid").withColumn("_s", F.explode(fields)).select("*", "_s.*").drop("_s")
     wa, wp = F.col("weight_anomaly"), F.col("weight_persistence")
-    band = F.greatest(F.lit(0.05), 1.0 - wa - wp)
-    tried = tried.withColumn("risk", D.weighted_risk(hours, wa, band, wp, F.col("min_active_hours")))
-    keys = ["scene_id", *outer, *names]
-    pool = F.col("risk") > 0
-    ranked = stats.with_varying_quantile(
-        tried.where(pool), keys, F.col("risk"), pool, F.col("risk_percentile") / 100.0, "_thr"
-    ).withColumn("_n", F.count("*").over(Window.partitionBy(*keys)))
-    hot = ranked.where((F.col("_n") >= 32) & (F.col("risk") >= F.col("_thr"))).select(*keys, "r", "c")
-    labelled = C.label_components(hot, grid, 1, keys)
-    size = F.count("*").over(Window.partitionBy(*keys, "label"))
-    kept = labelled.withColumn("_size", size).where(
-        (F.col("max_component") == 0) | (F.col("_size") <= F.col("max_component"))
-    )
-    every = signals.select("scene_id", *outer).distinct().withColumn("s", F.explode(settings)).select(
-        "scene_id", *outer, "s.*"
-    )
-    return E.event_curve(kept, hotspots, grid, (radius_km,), scenes=every, keys=keys)
+    risk = D.weighted_risk(hours, wa, F.greatest(F.lit(0.05), 1.0 - wa - wp), wp, F.col("min_active_hours"))
+    keys = ["scene_id", *outer, *inner]
+    tried = cut(tried.select(*keys, "r", "c", risk.alias("risk")).where("risk > 0"))
+    ranks = {f"_p{i}": float(x) for i, x in enumerate(space["risk_percentile"])}
+    found = stats.quantiles(tried, keys, {n: (F.col("risk"), x / 100.0) for n, x in ranks.items()}, grid.cells)
+    enough = tried.groupBy(*keys).agg(F.count("*").alias("_n")).where("_n >= 32")
+    steps = F.array(*[F.struct(F.lit(x).alias("risk_percentile"), F.col(n).alias("_thr")) for n, x in ranks.items()])
+    limits = found.join(enough, keys).withColumn("_s", F.explode(steps)).select(*keys, "_s.*")
+    keys = [*keys, "risk_percentile"]
+    hot = tried.join(limits, keys[:-1]).where(F.col("risk") >= F.col("_thr")).select(*keys, "r", "c")
+    members, once = distinct_masks(cut(hot), keys)
+    one = ["scene_id", "mask"]
+    labelled = cut(C.label_components(once, grid, 1, one))
+    sizes_of = labelled.groupBy(*one, "label").agg(F.count("*").alias("_size"))
+    most = F.explode(F.array(*[F.lit(int(x)) for x in space["max_component"]]))
+    kept = labelled.join(sizes_of, [*one, "label"]).withColumn("max_component", most)
+    kept = kept.where((F.col("max_component") == 0) | (F.col("_size") <= F.col("max_component")))
+    limited, last = distinct_masks(kept.select("scene_id", F.col("mask").alias("whole"), "max_component", "r", "c"), ["scene_id", "whole", "max_component"])
+    scored = store(E.event_curve(last, hotspots, grid, (radius_km,), scenes=_with_empty(limited, cube), keys=one), "scored")
+    every = signals.select("scene_id", *outer).distinct().withColumn("_s", F.explode(fields)).select("scene_id", *outer, "_s.*")
+    every = every.withColumn("risk_percentile", F.explode(F.array(*[F.lit(x) for x in ranks.values()]))).withColumn("max_component", most)
+    named = every.join(members.withColumnRenamed("mask", "whole"), keys, "left").join(limited, ["scene_id", "whole", "max_component"], "left")
+    named = named.withColumn("mask", F.coalesce("mask", F.lit(EMPTY))).drop("whole")
+    return named.join(scored, one).drop("mask")
+
+
+def _with_empty(members: DataFrame, cube: DataFrame) -> DataFrame:
+    """Every mask of a scene, and the empty one of every scene."""
+    nothing = cube.select("scene_id").distinct().withColumn("mask", F.lit(EMPTY))
+    return members.select("scene_id", "mask").unionByName(nothing).distinct()
 
 
 def peak_sweep(
