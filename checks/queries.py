@@ -1027,6 +1027,18 @@ def d20b(spark, sf):
     return confusion_view(best, "scene_id", "step", "contamination")
 
 
+@register("d20c_calibration_twin")
+def d20c(spark, sf):
+    best = P.calibrate("digital_twin", X.cube(spark, sf), X.hotspots(spark, sf), GRID)
+    return confusion_view(best, "scene_id", "step", "contamination")
+
+
+@register("d20d_calibration_forest")
+def d20d(spark, sf):
+    best = P.calibrate("isolation_forest", X.cube(spark, sf), X.hotspots(spark, sf), GRID)
+    return confusion_view(best, "scene_id", "step", "contamination")
+
+
 # ================================================================ features and learning
 
 S.feature_ctes()
@@ -1503,9 +1515,13 @@ def e10(spark, sf):
     return rounded(E.distance_summary(near), "km_min", "km_median", "km_max")
 
 
+# The published comparison.
+MATRIX_SHARES, MATRIX_RADII = (0.01, 0.02, 0.04, 0.06), (1.5, 3.0, 5.0, 8.0)
+
+
 def matrix_sql() -> str:
     parts = []
-    for i, c in enumerate((0.04, 0.1)):
+    for i, c in enumerate(MATRIX_SHARES):
         S.quantile_mask_cte(f"mx_r{i}", "res_spectral", "residual", "seen13", stats.pct(c))
         S.quantile_mask_cte(f"mx_t{i}_all", "risk_field", "risk", "valid", stats.clamped_pct(c))
         S.refined_cte(f"mx_t{i}", f"mx_t{i}_all")
@@ -1522,9 +1538,9 @@ def matrix_sql() -> str:
     S.define(
         "mx_every",
         "SELECT scene_id, method, contamination FROM scenes CROSS JOIN (VALUES ('spatial_residual'), ('digital_twin'), ('combined_persistence')) m(method) "
-        "CROSS JOIN (VALUES (0.04e0), (0.1e0)) k(contamination)",
+        f"CROSS JOIN {values('contamination', MATRIX_SHARES)}",
     )
-    S.event_cte("mx_events", "mx_units", [10.0, 30.0], "mx_every", keys)
+    S.event_cte("mx_events", "mx_units", list(MATRIX_RADII), "mx_every", keys)
     S.define(
         "mx_flags",
         "SELECT e.*, d.valid, p.r IS NOT NULL AS pred, t.r IS NOT NULL AS truth FROM mx_every e JOIN day d USING (scene_id) "
@@ -1542,11 +1558,19 @@ def matrix_sql() -> str:
 @register("e11_comparison_matrix", matrix_sql())
 def e11(spark, sf):
     rows = P.comparison_matrix(
-        X.cube(spark, sf), X.hotspots(spark, sf), GRID, (0.04, 0.1), (10.0, 30.0),
+        X.cube(spark, sf), X.hotspots(spark, sf), GRID, MATRIX_SHARES, MATRIX_RADII,
         ("spatial_residual", "digital_twin", "combined_persistence"),
     )
-    keep = event_view(rows.withColumn("grid_f1", F.round("grid_f1", 6)), "scene_id", "method", "contamination", "grid_f1", "pred_cells")
-    return keep
+    return matrix_view(rows)
+
+
+def matrix_view(rows: DataFrame) -> DataFrame:
+    return event_view(rows.withColumn("grid_f1", F.round("grid_f1", 6)), "scene_id", "method", "contamination", "grid_f1", "pred_cells")
+
+
+@register("e11b_comparison_matrix_all")
+def e11b(spark, sf):
+    return matrix_view(P.comparison_matrix(X.cube(spark, sf), X.hotspots(spark, sf), GRID))
 
 
 # Hotspots lying in a cell of the second sensor count as seen.

@@ -2,6 +2,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from firegrid.operators import boosting as B
+from firegrid.operators import detectors as D
+from firegrid.operators import evaluate as E
 from firegrid.operators import features as M
 from firegrid.operators import learning as L
 from firegrid.operators import twin as T
@@ -104,6 +107,85 @@ def test_event_sweep_has_every_setting(scene):
     assert all(loose[(1, h, 0, 90.0)] >= loose[(1, h, 1, 90.0)] for h in (1, 2))
 
 
+def test_event_sweep_equals_single_runs(scene):
+    cube, hotspots, _, _ = scene
+    space = {
+        "median_sizes": ((3,), (3, 5)), "btd_low": (10.0, 30.0), "btd_high": (95.0,), "risk_percentile": (90.0, 97.0),
+        "min_active_hours": (1, 2), "weight_anomaly": (0.45, 0.65), "weight_persistence": (0.25,), "max_component": (3, 0),
+    }
+    rows = cut(W.event_sweep(cube, hotspots, GRID, 3, space, 30.0))
+    assert rows.count() == 2 * 64
+    names = ("n_focos", "n_components", "tp", "fp", "fn")
+    for sizes, low, pct, hours, wa, most in (((3, 5), 30.0, 97.0, 2, 0.65, 3), ((3,), 10.0, 90.0, 1, 0.45, 0)):
+        cfg = D.EventConfig(
+            median_sizes=sizes, btd_low=low, btd_high=95.0, risk_percentile=pct, min_active_hours=hours, weight_anomaly=wa,
+            weight_band=max(0.05, 1 - wa - 0.25), weight_persistence=0.25, min_component=1, max_component=most, opening_rounds=0,
+        )
+        mask = D.event_detector(cube, GRID, 3, cfg)
+        one = E.event_metrics(mask, hotspots, GRID, 30.0, scenes=cube.select("scene_id").distinct()).collect()
+        mine = rows.where(
+            (F.col("sizes") == ",".join(map(str, sizes))) & (F.col("btd_low") == low) & (F.col("risk_percentile") == pct)
+            & (F.col("min_active_hours") == hours) & (F.col("weight_anomaly") == wa) & (F.col("max_component") == most)
+        ).collect()
+        pick = lambda some: sorted((r["scene_id"], *(r[n] for n in names if n in r.asDict())) for r in some)
+        assert pick(mine) == pick(one)
+
+
+def plain_boosting(x, y, left_out, fold, cfg, edges):
+    """One model, row by row in numpy."""
+    mine = fold != left_out
+    b = np.stack([np.searchsorted(e, x[:, f], "left") for f, e in enumerate(edges)], 1)
+    w = np.where(y == 1, mine.sum() / (2 * (y[mine] == 1).sum()), mine.sum() / (2 * (y[mine] == 0).sum()))
+    margin = np.zeros(len(x))
+    for _ in range(cfg.rounds):
+        p = 1 / (1 + np.exp(-margin))
+        g, h = w * (p - y), w * p * (1 - p)
+
+        def grow(rows, depth):
+            inside = rows & mine
+            if depth < cfg.depth:
+                best = (0.0, None)
+                for f in range(x.shape[1]):
+                    for s in range(cfg.bins):
+                        left, right = inside & (b[:, f] <= s), inside & (b[:, f] > s)
+                        if left.sum() < cfg.min_leaf or right.sum() < cfg.min_leaf:
+                            continue
+                        gl, hl, gr, hr = g[left].sum(), h[left].sum(), g[right].sum(), h[right].sum()
+                        gain = round(gl**2 / hl + gr**2 / hr - (gl + gr) ** 2 / (hl + hr), 9)
+                        if gain > best[0]:
+                            best = gain, (f, s)
+                if best[1]:
+                    f, s = best[1]
+                    grow(rows & (b[:, f] <= s), depth + 1)
+                    grow(rows & (b[:, f] > s), depth + 1)
+                    return
+            margin[rows] -= cfg.rate * g[inside].sum() / h[inside].sum()
+
+        grow(np.ones(len(x), bool), 0)
+    return 1 / (1 + np.exp(-margin))
+
+
+def test_boosted_trees_match_a_plain_fit(spark, monkeypatch):
+    monkeypatch.setattr(B, "ROUNDS_PER_CUT", 2)
+    monkeypatch.setattr(B, "DIRECT", 1)
+    monkeypatch.setattr(B, "TASK_ROWS", 50)
+    r = np.random.default_rng(6)
+    x = np.round(r.standard_normal((300, 3)), 2)
+    y = (x[:, 0] + x[:, 1] ** 2 + 0.5 * r.standard_normal(300) > 0.8).astype(int)
+    fold = r.integers(0, 3, 300)
+    rows = [(i, *map(float, x[i]), int(y[i]), int(fold[i]), bool(i % 7)) for i in range(300)]
+    df = spark.createDataFrame(rows, "i int, a double, b double, c double, label int, fold int, valid boolean").repartition(5)
+    cfg = B.BoostingConfig(depth=3, rate=0.3, rounds=5, bins=12, min_leaf=8)
+    trees = B.fit_trees(df, ("a", "b", "c"), cfg, F.col("fold"), [0, 1, 2])
+    got = {q["i"]: q["prob"] for q in B.predict_trees(trees, df, ("a", "b", "c"), F.col("fold")).collect()}
+    for k in range(3):
+        want = plain_boosting(x, y, k, fold, cfg, trees.edges)
+        for i in np.flatnonzero(fold == k):
+            assert got[i] == pytest.approx(want[i] if i % 7 else 0.0, abs=1e-9)
+    with pytest.raises(ValueError):
+        B.fit_trees(df.where("label = 1"), ("a", "b", "c"), cfg)
+
+
 def stream_of(spark, df, name, parts):
     path = scratch_path(spark, name)
     for part in parts:
