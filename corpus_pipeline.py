@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from firegrid.llm import exact_dedup, packing, quality, simhash, suffix_dedup
 from firegrid.llm.queries import WORD_TOKENIZER
-from firegrid.llm.shared import DOCUMENT_COLUMNS, documents, store
+from firegrid.llm.shared import documents, store
 
 
 def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail a rule of the policy go."""
+    """Documents that fail a rule of the policy go; null and empty texts fail, rows that repeat pass or fail alike."""
     return quality.keep_good(docs, "web-1")
 
 
@@ -26,14 +26,17 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts lose their repeated byte strings (and what is left of a character that is cut in two); rows stay."""
-    cut = suffix_dedup.remove_repeats(docs, carry=("lang", "source"))
+    """Texts lose their repeated byte strings (and what is left of a character that is cut in two); rows and columns stay.
+
+    Null text counts as empty and comes out so; n_chars is counted anew where there is such a column.
+    """
+    cut = suffix_dedup.remove_repeats(docs, carry=tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars")))
     new = {"doc_id": F.col("doc_id"), "text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}
-    return cut.select(*(new.get(c, F.col(f"row.{c}")).alias(c) for c in DOCUMENT_COLUMNS if c in new or c in docs.columns))
+    return cut.select(*((new[c] if c in new else F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents with their places in sequences of 2048 tokens."""
+    """Pieces of the documents with their places in sequences of 2048 tokens; null text gives the end id alone."""
     return packing.pack_documents(docs, WORD_TOKENIZER, end_id=0, capacity=2048, with_ids=False)
 
 
