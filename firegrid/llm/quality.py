@@ -177,3 +177,16 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
     OR word_chars < 3 * n_words OR word_chars > 12 * n_words) AS kept
 FROM b
 """
+
+ABLATION_ORACLE = ORACLE[: ORACLE.index("SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,")].rstrip() + r""",
+f AS (
+  SELECT n_words < 10 AS few_words, 100 * n_repeat_words > 20 * n_words AS repeats, 1000 * n_symbols > 100 * n_words AS symbols,
+    1000 * n_dup_lines > 300 * n_lines AS dup_lines, word_chars < 3 * n_words AS short_words, word_chars > 12 * n_words AS long_words FROM b),
+g AS (SELECT *, few_words::INT + repeats::INT + symbols::INT + dup_lines::INT + short_words::INT + long_words::INT AS failed FROM f),
+l AS (
+  SELECT failed, unnest([{'rule': 'few_words', 'fails': few_words}, {'rule': 'repeats', 'fails': repeats}, {'rule': 'symbols', 'fails': symbols},
+    {'rule': 'dup_lines', 'fails': dup_lines}, {'rule': 'short_words', 'fails': short_words}, {'rule': 'long_words', 'fails': long_words}],
+    recursive := true) FROM g)
+SELECT rule, count(*) FILTER (fails)::BIGINT AS fails, count(*) FILTER (fails AND failed = 1)::BIGINT AS fails_alone,
+  count(*) FILTER (NOT fails)::BIGINT AS kept_if_alone FROM l GROUP BY rule
+"""

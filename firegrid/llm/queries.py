@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from firegrid.llm import byte_bpe, exact_dedup, fim, language, packing, quality, sharding, simhash, suffix_dedup, tokens, toxicity, warc
 from firegrid.llm import whitening
-from firegrid.llm.shared import documents
+from firegrid.llm.shared import documents, store
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 BYTE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -25,6 +25,11 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2b_rule_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger is stored once; what each rule of a policy adds is then a count over its bits."""
+    return quality.ablations(store(quality.ledger(documents(spark, sf_dir)), "ledger"), "web-1")
+
+
 def op3_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_bytes(documents(spark, sf_dir), shards=8)
 
@@ -75,6 +80,7 @@ def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_quality_rules": op2_quality_rules,
+    "op2b_rule_ablations": op2b_rule_ablations,
     "op3_shards": op3_shards,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_language_id": op5_language_id,
@@ -90,6 +96,7 @@ QUERIES = {
 
 SQL = {
     "op2_quality_rules": quality.ORACLE,
+    "op2b_rule_ablations": quality.ABLATION_ORACLE,
     "op4_exact_dedup": exact_dedup.ORACLE,
     "op12_fill_in_middle": fim.ORACLE,
 }

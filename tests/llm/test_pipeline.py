@@ -112,3 +112,14 @@ def test_one_row_for_each_component_whatever_the_ids(spark):
     assert len(got) == 4 and len(set(got)) == 4
     assert {(None, other), (5, third), (5, cases.words(90, 303))} < set(got)
     assert sum(t in (base, close) for _, t in got) == 1
+
+
+def test_cutting_keeps_every_column(spark):
+    docs = cases.with_repeats(spark)
+    got = corpus_pipeline.cut_repeats(spark, docs, "")
+    assert got.columns == docs.columns and got.count() == docs.count()
+    assert {(r.digest, r.norm, r.shard, r.kept, r.lang) for r in got.collect()} == {("x", 7, "s", False, "en")}
+    assert all(r.n_chars == len(r.text) for r in got.collect())
+    narrow = corpus_pipeline.cut_repeats(spark, docs.select("text", "doc_id"), "")
+    assert narrow.columns == ["text", "doc_id"]
+    assert sorted(map(tuple, narrow.collect()), key=str) == sorted(((r.text, r.doc_id) for r in got.collect()), key=str)
