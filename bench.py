@@ -17,7 +17,8 @@ HEADLINE = (
     "t8_separability", "d2_residual_multiband", "d5_hourly_score", "d7_assimilated_series",
     "d10b_risk_mask_no_refinement", "d12b_combined_persistence", "d17b_event_detector", "d20_calibration",
     "m1_features", "m9b_local_outlier_factor", "e5_radius_curve", "e6_cell_confusion", "f5_fusion_weighted",
-    "y3_days_by_month", "m9a_isolation_forest", "m9e_lof_on_embeddings", "d13_precision_preset",
+    "y3_days_by_month", "m9a_isolation_forest", "m9e_lof_on_embeddings", "d13_precision_preset", "m5b_boosted_three_rounds",
+    "m13b_held_out_three_rounds", "e11_comparison_matrix",
 )
 
 
