@@ -18,6 +18,7 @@ from firegrid.operators import features as M
 from firegrid.operators import forests as R
 from firegrid.operators import fusion as U
 from firegrid.operators import grid as G
+from firegrid.operators import interval_match as I
 from firegrid.operators import learning as L
 from firegrid.operators import neighborhood as N
 from firegrid.operators import outliers as O
@@ -1324,6 +1325,39 @@ def e2(spark, sf):
     return event_view(E.event_metrics(mask, X.hotspots(spark, sf), GRID, 20.0, scenes=scenes(spark, sf)), "scene_id")
 
 
+S.define(
+    "timed_ref",
+    "SELECT scene_id, 0.5e0 * (avg(lat) FILTER (event_id % 2 = 0) + avg(lat) FILTER (event_id % 2 = 1)) AS lat_ref FROM points GROUP BY scene_id",
+)
+S.define(
+    "timed_pairs",
+    "SELECT scene_id, p.event_id AS pid, u.event_id AS uid, p.ts BETWEEN u.ts - INTERVAL 30 MINUTE AND u.ts + INTERVAL 30 MINUTE AS soon FROM points p JOIN points u USING (scene_id) "
+    "JOIN timed_ref x USING (scene_id) WHERE p.event_id % 2 = 0 AND u.event_id % 2 = 1 "
+    "AND sqrt(((p.lat - u.lat) * 111.32e0) ** 2 + ((p.lon - u.lon) * 111.32e0 * cos(radians(x.lat_ref))) ** 2) <= 12e0",
+)
+S.define(
+    "timed_hits",
+    "SELECT scene_id, minutes, count(DISTINCT pid) AS tp_recall, count(DISTINCT uid) AS tp_precision FROM ("
+    "SELECT scene_id, 30 AS minutes, pid, uid FROM timed_pairs WHERE soon UNION ALL SELECT scene_id, -1, pid, uid FROM timed_pairs) t GROUP BY ALL",
+)
+_TP = "coalesce(tp_recall, 0)", "coalesce(tp_precision, 0)"
+
+
+@register(
+    "e2t_time_matching",
+    f"SELECT scene_id, minutes, n_focos, n_units, {_TP[0]} AS tp_recall, {_TP[1]} AS tp_precision, round({_TP[0]} / n_focos, 6) AS recall, "
+    f"round({_TP[1]} / n_units, 6) AS precision FROM (SELECT scene_id, m.minutes, count(*) FILTER (event_id % 2 = 0) AS n_focos, count(*) FILTER (event_id % 2 = 1) AS n_units "
+    "FROM points CROSS JOIN (VALUES (30), (-1)) m(minutes) GROUP BY ALL) n LEFT JOIN timed_hits USING (scene_id, minutes)",
+)
+def e2t(spark, sf):
+    """All events: even ids as hotspots, odd ones as a second sensor; -1 minutes stands for any time."""
+    at = X.points(spark, sf).select("event_id", "scene_id", "lat", "lon", "ts")
+    even, odd = at.where("event_id % 2 = 0"), at.where("event_id % 2 = 1")
+    parts = [I.interval_metrics(even, odd, 12.0, m).withColumn("minutes", F.lit(-1 if m is None else m)) for m in (30, None)]
+    rows = parts[0].unionByName(parts[1])
+    return rounded(rows.select("scene_id", "minutes", "n_focos", "n_units", "tp_recall", "tp_precision", "recall", "precision"), "recall", "precision")
+
+
 S.centroid_cte("warm_units", "warm", 2)
 S.event_cte("ec_mid", "warm_units", RADII, "scenes")
 
