@@ -683,6 +683,17 @@ def t5(spark, sf):
     return stats.top_k_with_ties(day, SCENE, F.round("bt13", 0), F.lit(20)).select(*KEY)
 
 
+@register(
+    "t5b_top_pixels_by_counting",
+    f"SELECT scene_id, l_orderkey, l_linenumber, round(bt7, 6) AS bt7 FROM (SELECT *, rank() OVER (PARTITION BY scene_id ORDER BY round(bt7, 4) DESC) AS rk "
+    f"FROM ({X.WIDE_PIXELS}) w) t WHERE rk <= 500",
+)
+def t5b(spark, sf):
+    """All pixels of a scene, a group without a bound: ranked by counting, never sorted."""
+    top = stats.top_k_with_ties(X.wide_pixels(spark, sf), SCENE, F.round("bt7", 4), F.lit(500))
+    return rounded(top.select("scene_id", "l_orderkey", "l_linenumber", "bt7"), "bt7")
+
+
 @register(
     "t6_five_numbers",
     "SELECT scene_id, kind, round(min(bt13), 6) AS min_v, round(quantile_cont(bt13, 0.25e0), 6) AS p25, round(quantile_cont(bt13, 0.5e0), 6) AS med, "
@@ -864,6 +875,20 @@ def d11(spark, sf):
     return rounded(marked.select("scene_id", "hour", "hour_threshold").distinct(), "hour_threshold")
 
 
+@register(
+    "d11b_layer_level_by_counting",
+    "SELECT scene_id, hour, round(lo + (hi - lo) * (pos - floor(pos)), 6) AS level FROM (SELECT scene_id, hour, pos, max(x) FILTER (rk = floor(pos)) AS lo, max(x) FILTER (rk = ceil(pos)) AS hi "
+    "FROM (SELECT scene_id, hour, x, row_number() OVER (PARTITION BY scene_id, hour ORDER BY x) - 1 AS rk, "
+    "(count(*) OVER (PARTITION BY scene_id, hour) - 1) * (0.5e0 + 0.05e0 * scene_id + 0.02e0 * (hour - 16)) AS pos "
+    f"FROM (SELECT scene_id, hour, round(bt7, 4) AS x FROM ({X.WIDE_PIXELS}) w) v) t GROUP BY ALL) u",
+)
+def d11b(spark, sf):
+    """A level per scene and hour over all pixels of the layer, ranked by counting."""
+    q = 0.5 + 0.05 * F.col("scene_id") + 0.02 * (F.col("hour") - 16)
+    marked = stats.with_varying_quantile(X.wide_pixels(spark, sf), ["scene_id", "hour"], F.round("bt7", 4), F.lit(True), q, "level")
+    return rounded(marked.select("scene_id", "hour", "level").distinct(), "level")
+
+
 @register(
     "d12_persistence_field",
     f"SELECT scene_id, r, c, eligible, active_hours, {rsql('persist', 'combined')} FROM persist_field",

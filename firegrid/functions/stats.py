@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from firegrid.session import cut, store
+
 # A group up to this many rows is ranked inside one window; a larger grid takes the
 # bracketed route, which never gathers a whole group.
 WINDOW_ROWS = 1 << 20
@@ -136,10 +138,62 @@ def with_robust_units(
     return ranked.withColumns(units).drop(*wanted)
 
 
+def counted_ranks(values: DataFrame, keys: Sequence[str], ranks: DataFrame, bins: int = 1024) -> DataFrame:
+    """The ``rank``-th smallest ``x`` (from 1) of each group for every row (keys, name, rank) of ``ranks``.
+
+    No group is ever sorted: a pass counts values by bin between the bounds still open, with the smallest
+    and largest value of each bin; the bin that holds the rank gives the next bounds, until they are equal.
+    Tasks shuffle at most ``bins`` rows for each group and name.  ``x`` must be finite or null (not
+    counted); ranks outside 1..n give no row; keys must not be named like the columns used here.
+    ``values`` is read once a pass, so store it first.
+    """
+    keys, names = list(keys), [*keys, "name"]
+    pool = values.where(F.col("x").isNotNull()).select(*keys, "x")
+    extent = pool.groupBy(*keys).agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count("*").alias("n"))
+    asked = ranks.join(extent, keys).where(F.col("rank").between(1, F.col("n")))
+    state = store(asked.select(*names, F.col("rank").cast("bigint").alias("rank"), "lo", "hi"), "ranks")
+    done = []
+    lo, hi, x = (F.col(c) / 2.0 for c in ("lo", "hi", "x"))  # halves, as hi - lo may overflow
+    upper = (F.col("x") > F.col("lo")).cast("bigint")  # the smallest doubles are equal once halved
+    spot = F.when(hi > lo, F.least(F.floor((x - lo) / (hi - lo) * bins), F.lit(bins - 1))).otherwise(upper)
+    before = Window.partitionBy(*names).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    while True:
+        done.append(state.where("lo = hi").select(*names, F.col("lo").alias("x")))
+        still = state.where("lo < hi")
+        if still.isEmpty():
+            break
+        met = pool.join(still, keys).where(F.col("x").between(F.col("lo"), F.col("hi")))
+        counted = met.groupBy(*names, "rank", spot.alias("bin")).agg(
+            F.min("x").alias("lo"), F.max("x").alias("hi"), F.count("*").alias("n")
+        )
+        below = counted.withColumn("below", F.coalesce(F.sum("n").over(before), F.lit(0)))
+        held = below.where((F.col("below") < F.col("rank")) & (F.col("rank") <= F.col("below") + F.col("n")))
+        state = store(held.select(*names, (F.col("rank") - F.col("below")).alias("rank"), "lo", "hi"), "ranks")
+    found = done[0]
+    for part in done[1:]:
+        found = found.unionByName(part)
+    return found
+
+
 def with_varying_quantile(
-    df: DataFrame, keys: Sequence[str], x: Column, pool: Column, q: Column, out: str
+    df: DataFrame, keys: Sequence[str], x: Column, pool: Column, q: Column, out: str, group_rows: int | None = None
 ) -> DataFrame:
-    """Quantile whose level differs by group: rank the pool, interpolate between two ranks."""
+    """Quantile whose level differs by group: two ranks of the pool, interpolated.
+
+    ``group_rows`` is the known bound on rows per group; up to ``WINDOW_ROWS`` a window ranks the pool
+    in place, larger or unknown groups are ranked by counting.
+    """
+    if group_rows is None or group_rows > WINDOW_ROWS:
+        keys = list(keys)
+        kept = cut(df.withColumns({"_x": F.when(pool, x).cast("double"), "_q": q}))
+        size = kept.groupBy(*keys).agg(F.count("_x").alias("_n"), F.max("_q").alias("_q"))
+        pos = (F.col("_n") - 1) * F.col("_q")
+        size = store(size.select(*keys, pos.alias("_pos")), "levels")
+        asked = size.select(*keys, F.explode(F.create_map(F.lit("lo"), F.floor("_pos") + 1, F.lit("hi"), F.ceil("_pos") + 1)).alias("name", "rank"))
+        found = counted_ranks(kept.select(*keys, F.col("_x").alias("x")), keys, asked)
+        both = found.groupBy(*keys).agg(*[F.max(F.when(F.col("name") == n, F.col("x"))).alias(f"_{n}") for n in ("lo", "hi")])
+        level = F.col("_lo") + (F.col("_hi") - F.col("_lo")) * (F.col("_pos") - F.floor("_pos"))
+        return kept.drop("_x", "_q").join(size.join(both, keys).select(*keys, level.alias(out)), keys, "left")
     ordered = Window.partitionBy(*keys, "_pool").orderBy("_x")
     whole = Window.partitionBy(*keys)
     pos = (F.col("_n") - 1) * F.col("_q")
@@ -189,10 +243,33 @@ def percentile_rank(
     return probes.join(ranks, [*keys, probe])
 
 
-def top_k_with_ties(df: DataFrame, keys: Sequence[str], score: Column, k: Column) -> DataFrame:
-    """Rows scoring at least the k-th largest score of the group; ties at the cut stay."""
-    w = Window.partitionBy(*keys).orderBy(score.desc())
-    return df.withColumn("_rank", F.rank().over(w)).where(F.col("_rank") <= k).drop("_rank")
+def with_in_top(
+    df: DataFrame, keys: Sequence[str], score: Column, k: Column, out: str, group_rows: int | None = None
+) -> DataFrame:
+    """Marks rows scoring at least the k-th largest score of their group; ties at the cut stay.
+
+    ``k`` is an aggregate over the group.  Null scores come last: they are in only where k exceeds the
+    number of scores.  Routes as in :func:`with_varying_quantile`.
+    """
+    keys = list(keys)
+    if group_rows is not None and group_rows <= WINDOW_ROWS:
+        scene = Window.partitionBy(*keys)
+        ranked = df.withColumns({"_k": k.over(scene), "_rank": F.rank().over(scene.orderBy(score.desc()))})
+        return ranked.withColumn(out, F.col("_rank") <= F.col("_k")).drop("_k", "_rank")
+    kept = cut(df.withColumn("_x", score.cast("double")))
+    size = store(kept.groupBy(*keys).agg(k.cast("bigint").alias("_k"), F.count("_x").alias("_n")), "sizes")
+    asked = size.where("_k >= 1").select(*keys, F.lit("cut").alias("name"), (F.col("_n") - F.col("_k") + 1).alias("rank"))
+    found = counted_ranks(kept.select(*keys, F.col("_x").alias("x")), keys, asked)
+    limits = size.join(found.select(*keys, F.col("x").alias("_cut")), keys, "left")
+    inside = (F.col("_k") > F.col("_n")) | F.coalesce(F.col("_x") >= F.col("_cut"), F.lit(False))
+    return kept.join(limits, keys).withColumn(out, inside).drop("_x", "_k", "_n", "_cut")
+
+
+def top_k_with_ties(
+    df: DataFrame, keys: Sequence[str], score: Column, k: Column, group_rows: int | None = None
+) -> DataFrame:
+    """Rows scoring at least the k-th largest score of the group (``k`` the same for its rows); ties at the cut stay."""
+    return with_in_top(df, keys, score, F.max(k), "_in", group_rows).where("_in").drop("_in")
 
 
 def five_numbers(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:

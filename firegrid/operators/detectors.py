@@ -137,7 +137,7 @@ def with_hour_threshold(
         lifted = stats.clip(base + cfg.adaptive_span * slack, *cfg.adaptive_clip)
         level = F.when(count >= 64, lifted).otherwise(base)
     marked = stats.with_varying_quantile(
-        scored, LAYER, F.col("score"), F.col("usable"), level / 100.0, out
+        scored, LAYER, F.col("score"), F.col("usable"), level / 100.0, out, grid.cells
     )
     return marked.drop("_p10", "_p90")
 

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from firegrid.functions import stats
 from firegrid.operators import grid as G
 from firegrid.operators import neighborhood as N
 from firegrid.operators.evaluate import with_flag
@@ -70,15 +71,13 @@ def fuse(
         prob = F.when(v, F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("prob")))).otherwise(F.lit(0.0))
         support = F.least(F.lit(1.0), g.cast("double") + 0.5 * d.cast("double"))
         total = max(cfg.weight_scene + cfg.weight_detection, 1e-9)
-        scene = Window.partitionBy(*SCENE)
-        flags = flags.withColumns(
-            {
-                "_s": (cfg.weight_scene * prob + cfg.weight_detection * support) / total,
-                "_k": F.count_if(p).over(scene),
-            }
-        ).withColumn("_rank", F.rank().over(scene.orderBy(F.col("_s").desc())))
+        score = (cfg.weight_scene * prob + cfg.weight_detection * support) / total
+        flags = flags.withColumns({"_s": score, "_support": support})
         # As many cells as were predicted over the whole grid; ties at the cut stay.
-        kept = F.when(F.col("_k") > 0, F.col("_rank") <= F.col("_k")).otherwise(support >= 0.5)
+        flags = stats.with_in_top(flags, SCENE, F.col("_s"), F.count_if(p), "_top", grid.cells)
+        some = flags.where(p).select(*SCENE).distinct().withColumn("_some", F.lit(True))
+        flags = flags.join(some, list(SCENE), "left")
+        kept = F.when(F.col("_some"), F.col("_top")).otherwise(F.col("_support") >= 0.5)
         fused = kept & v
     return flags.select(*KEY, fused.alias("fused"), "detected", "gate")
 

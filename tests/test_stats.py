@@ -64,3 +64,33 @@ def test_rank_and_top_k(spark):
     assert len(ranked) == 53
     assert {r["probe"]: r["rank_pct"] for r in ranked} == {0.5: 0.0, 2.0: 75.0, 9.0: 100.0}
     assert stats.top_k_with_ties(groups(spark, {1: pool}), ["k"], F.col("x"), F.lit(2)).count() == 3
+
+
+HOT = {
+    1: np.concatenate([np.full(3000, 0.25), np.random.default_rng(4).normal(size=2000)]),
+    2: np.array([-1.7e308, 1.7e308, 0.0, 5e-324]),
+    3: np.array([2.0]),
+}
+
+
+def test_counted_ranks_are_exact(spark):
+    df = groups(spark, HOT).unionByName(spark.createDataFrame([(1, None), (4, None)], "k int, x double"))
+    asked = [(k, f"r{r}", r) for k, v in HOT.items() for r in {0, 1, 2, len(v) // 2, len(v) - 1, len(v), len(v) + 1}]
+    ranks = spark.createDataFrame(asked + [(4, "r1", 1)], "k int, name string, rank int")
+    found = {(r["k"], r["name"]): r["x"] for r in stats.counted_ranks(df, ["k"], ranks, bins=8).collect()}
+    assert found == {(k, n): np.sort(HOT[k])[r - 1] for k, n, r in asked if 1 <= r <= len(HOT[k])}
+
+
+def test_counting_and_windows_mark_the_same_rows(spark):
+    rows = groups(spark, {1: HOT[1], 2: np.array([3.0, 1.0, 2.0, 2.0])})
+    rows = rows.unionByName(spark.createDataFrame([(2, None), (5, None)], "k int, x double"))
+    for k in (0, 1, 4, 5, 2000):
+        a, b = (stats.top_k_with_ties(rows, ["k"], F.col("x"), F.lit(k), n) for n in (None, 100))
+        count = lambda d: sorted(map(str, d.groupBy("k", "x").count().collect()))
+        assert count(a) == count(b), k
+
+
+def test_counting_never_sorts_a_group(spark):
+    top = stats.top_k_with_ties(groups(spark, {1: HOT[1]}), ["k"], F.col("x"), F.lit(7))
+    assert "Window" not in top._jdf.queryExecution().executedPlan().toString()
+    assert stats.top_k_with_ties(top.limit(0), ["k"], F.col("x"), F.lit(7)).count() == 0
