@@ -1114,6 +1114,34 @@ def m4(spark, sf):
     return L.predict_probability(L.fit_classifier(table), table).select(*KEY, "prob")
 
 
+# Where the gradient is zero, sum of w p z + weight / c equals sum of w y z, which needs no fit; only the optimum does that.
+_W = "CASE WHEN label = 1 THEN n / (2e0 * n1) ELSE n / (2e0 * (n - n1)) END"
+_Z = {c: f"({c} - avg({c}) OVER ()) / CASE WHEN stddev_pop({c}) OVER () > 0 THEN stddev_pop({c}) OVER () ELSE 1e0 END" for c in M.FEATURES}
+
+
+@register(
+    "m4b_logistic_optimum",
+    "SELECT feature, round(sum(v), 4) AS moment FROM (SELECT unnest(['intercept', "
+    + ", ".join(f"'{c}'" for c in M.FEATURES) + f"]) AS feature, unnest([w, {', '.join(f'w * z_{c}' for c in M.FEATURES)}]) AS v FROM (SELECT label, "
+    + f"{_W} AS w, " + ", ".join(f"z_{c}" for c in M.FEATURES) + " FROM (SELECT label, count(*) OVER () AS n, sum(label) OVER () AS n1, "
+    + ", ".join(f"{z} AS z_{c}" for c, z in _Z.items()) + " FROM (SELECT * REPLACE (CAST(label AS INT) AS label) FROM training) r) t) u WHERE label = 1) x GROUP BY ALL",
+)
+def m4b(spark, sf):
+    """Moments of the fitted probabilities; equal to those of the labels at the optimum and nowhere else."""
+    table = cut(labelled(spark, sf))
+    fitted = L.fit_classifier(table)
+    rows = cut(M.training_rows(table, "valid"))
+    known = rows.join(L.predict_probability(fitted, rows).select(*KEY, "prob"), KEY)
+    n, n1 = rows.agg(F.count("*"), F.sum("label")).first()
+    w = F.when(F.col("label") == 1, n / (2.0 * n1)).otherwise(n / (2.0 * (n - n1)))
+    known = known.withColumns(M.scaled_columns(M.population_scaling(rows).first().asDict()))
+    pull = {c: float(b) / fitted.cfg.c for c, b in zip(M.FEATURES, fitted.model.beta[0])}
+    sums = [F.struct(F.lit("intercept").alias("feature"), F.sum(w * F.col("prob")).alias("moment"))] + [
+        F.struct(F.lit(c).alias("feature"), (F.sum(w * F.col("prob") * F.col(c)) + pull[c]).alias("moment")) for c in M.FEATURES
+    ]
+    return known.agg(F.array(*sums).alias("_a")).select(F.explode("_a").alias("_a")).select("_a.feature", F.round("_a.moment", 4).alias("moment"))
+
+
 BOOSTED = L.multiday_config()
 
 

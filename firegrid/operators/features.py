@@ -79,9 +79,9 @@ def with_label(cells: DataFrame, truth: DataFrame) -> DataFrame:
     return cells.join(flagged, list(KEY), "left").withColumn("label", F.coalesce("label", F.lit(False)))
 
 
-def training_rows(cells: DataFrame) -> DataFrame:
+def training_rows(cells: DataFrame, *extra: str) -> DataFrame:
     """Valid labelled cells of every scene: stacking days needs no loop."""
-    return cells.where("valid").select(*KEY, *FEATURES, F.col("label").cast("int").alias("label"))
+    return cells.where("valid").select(*KEY, *FEATURES, F.col("label").cast("int").alias("label"), *extra)
 
 
 def separability(labelled: DataFrame, features: Sequence[str] = DIAGNOSTIC, keys: Sequence[str] = SCENE) -> DataFrame:

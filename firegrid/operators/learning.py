@@ -4,19 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
-from functools import reduce
 
-from pyspark.ml import Model
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from firegrid.operators import boosting as B
 from firegrid.operators import evaluate as E
+from firegrid.operators import logistic as LR
 from firegrid.operators import neighborhood as N
-from firegrid.operators.features import FEATURES, KEY, population_scaling, scaled_columns, training_rows
+from firegrid.operators.features import FEATURES, KEY, training_rows
 from firegrid.schema import GridSpec
 from firegrid.session import cut
 
@@ -48,52 +44,38 @@ def multiday_config(**changes) -> ClassifierConfig:
 
 @dataclass(frozen=True)
 class FittedClassifier:
-    scaling: dict
-    model: Model | B.Trees
+    model: LR.Logits | B.Trees
     cfg: ClassifierConfig
 
 
-def fit_classifier(labelled: DataFrame, cfg: ClassifierConfig = ClassifierConfig(), where: Column | None = None) -> FittedClassifier:
+def fit_classifier(
+    labelled: DataFrame,
+    cfg: ClassifierConfig = ClassifierConfig(),
+    where: Column | None = None,
+    fold: Column | None = None,
+    models: Sequence[int | None] = (None,),
+) -> FittedClassifier:
     """Fit on valid labelled cells (of every scene given), classes balanced by weight.
 
-    ``where`` restricts training, for example to the other spatial blocks.  The driver sees one
-    row of moments and two class counts.
+    ``where`` restricts training.  ``models`` lists folds: one model for each, trained on all rows of other
+    folds, all in the same jobs; None leaves no fold out.  The driver sees sums for each model.
     """
-    rows = training_rows(labelled if where is None else labelled.where(where))
-    if cfg.kind == "boosted":  # trees need no scaling
-        return FittedClassifier({}, B.fit_trees(rows, cfg.features, cfg.boosting), cfg)
+    cells = labelled if where is None else labelled.where(where)
+    rows = training_rows(cells)
+    if fold is not None:
+        rows = training_rows(cells.withColumn("_fold", fold), "_fold")
+        fold = F.col("_fold")
+    if cfg.kind == "boosted":
+        return FittedClassifier(B.fit_trees(rows, cfg.features, cfg.boosting, fold, models), cfg)
     if cfg.kind != "logreg":
         raise ValueError(f"unknown classifier: {cfg.kind}")
-    moments = population_scaling(rows, cfg.features).first().asDict()
-    counts = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    if len(counts) < 2:
-        raise ValueError("training needs cells of both classes")
-    total = sum(counts.values())
-    weight = F.when(F.col("label") == 1, total / (2.0 * counts[1])).otherwise(total / (2.0 * counts[0]))
-    ready = VectorAssembler(inputCols=list(cfg.features), outputCol="x").transform(
-        rows.withColumns(scaled_columns(moments, cfg.features)).withColumn("w", weight)
-    ).select("x", "w", F.col("label").cast("double").alias("label"))
-    common = dict(featuresCol="x", labelCol="label", weightCol="w")
-    # The weights sum to the row count; the penalty is 1/C per unit of total weight.
-    learner = LogisticRegression(maxIter=cfg.max_iter, regParam=1.0 / (cfg.c * total), standardization=False, **common)
-    ready = ready.persist()
-    try:
-        model = learner.fit(ready)
-    finally:
-        ready.unpersist()
-    return FittedClassifier(moments, model, cfg)
-
-
-def predict_probability(fitted: FittedClassifier, cells: DataFrame) -> DataFrame:
-    """Dense (scene_id, r, c, valid, prob): 0 where invalid."""
-    cols = list(fitted.cfg.features)
-    if isinstance(fitted.model, B.Trees):
-        return B.predict_trees(fitted.model, cells, cols)
-    kept = [c for c in cells.columns if c not in cols]
-    scaled = cells.withColumns(scaled_columns(fitted.scaling, cols))
-    rated = fitted.model.transform(VectorAssembler(inputCols=cols, outputCol="x").transform(scaled))
-    p = vector_to_array("probability")[1]
-    return rated.select(*kept, F.when(F.col("valid"), p).otherwise(F.lit(0.0)).alias("prob"))
+    return FittedClassifier(LR.fit_logistic(rows, cfg.features, cfg.c, cfg.max_iter, fold, models), cfg)
+
+
+def predict_probability(fitted: FittedClassifier, cells: DataFrame, model: Column | None = None) -> DataFrame:
+    """Dense (scene_id, r, c, valid, prob): 0 where invalid; ``model`` names the left-out fold of the model to use."""
+    predict = B.predict_trees if isinstance(fitted.model, B.Trees) else LR.predict_logistic
+    return predict(fitted.model, cells, fitted.cfg.features, model)
 
 
 def threshold_mask(prob: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -126,12 +108,8 @@ def held_out_probability(table: DataFrame, scenes: Sequence, cfg: ClassifierConf
     wanted = table.where(F.col("scene_id").isin(ids))
     if len(ids) == 1:
         return cut(predict_probability(fit_classifier(table, cfg), wanted))
-    if cfg.kind == "boosted":
-        rows = training_rows(table).withColumn("_fold", number)
-        trees = B.fit_trees(rows, cfg.features, cfg.boosting, F.col("_fold"), range(len(ids)))
-        return cut(B.predict_trees(trees, wanted, cfg.features, number))
-    parts = [predict_probability(fit_classifier(table, cfg, F.col("scene_id") != s), table.where(F.col("scene_id") == s)) for s in ids]
-    return cut(reduce(DataFrame.unionByName, parts))
+    fitted = fit_classifier(table, cfg, fold=number, models=range(len(ids)))
+    return cut(predict_probability(fitted, wanted, number))
 
 
 def leave_one_scene_out(
@@ -146,7 +124,7 @@ def leave_one_scene_out(
 ) -> DataFrame:
     """Train on the other scenes, predict grown peaks, event metrics for each held-out scene.
 
-    ``scenes`` is the short list of held-out days; a single scene is scored in sample. Boosted models
+    ``scenes`` is the short list of held-out days; a single scene is scored in sample. Models
     of all days are fitted together, fold by fold as a key; the feature table is written once to the
     shared folder, and masks of all days are evaluated in one job.
     """
@@ -170,13 +148,13 @@ def fold_best_threshold(
     radius_km: float = 5.0,
 ) -> DataFrame:
     """Spatial cross-validation: fit on the other blocks, sweep (threshold, peak radius) on the
-    held-out block, keep the best F1 of each fold.  One fit per fold; the sweep is one job."""
+    held-out block, keep the best F1 of each fold.  All folds are fitted in the same jobs."""
     table = cut(labelled.withColumn("fold", fold))
     spots = E.place_points(hotspots, grid, closed_top=False).withColumn("fold", fold)
+    fitted = fit_classifier(table, cfg, fold=F.col("fold"), models=folds)
     parts = []
     for k in folds:
-        fitted = fit_classifier(table, cfg, F.col("fold") != k)
-        prob = cut(predict_probability(fitted, table))
+        prob = cut(predict_probability(fitted, table, F.lit(k)))
         tested = None
         for radius in radii:
             top = N.peaks(prob, "prob", float("-inf"), radius, cfg.sigma)

@@ -7,6 +7,7 @@ from firegrid.operators import detectors as D
 from firegrid.operators import evaluate as E
 from firegrid.operators import features as M
 from firegrid.operators import learning as L
+from firegrid.operators import logistic as LR
 from firegrid.operators import twin as T
 from firegrid.operators.grid import hourly_cube
 from firegrid.plans import day_products as DP
@@ -77,6 +78,23 @@ def test_unknown_classifier_and_one_class(scene):
         L.fit_classifier(table.where("NOT label"))
 
 
+def test_newton_steps_end_at_the_optimum_of_every_fold(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(600, 2)) * [1.0, 50.0] + [3.0, -7.0]
+    y = (x[:, 0] - 3 + rng.normal(size=600) > 0.8).astype(int)
+    fold = rng.integers(0, 2, 600)
+    rows = spark.createDataFrame([(float(a), float(b), 5.0, int(t), int(f)) for (a, b), t, f in zip(x, y, fold)], "a double, b double, k double, label int, f int")
+    got = LR.fit_logistic(rows, ("a", "b", "k"), 0.5, 50, F.col("f"), (0, None))
+    for i, left in enumerate((0, None)):
+        keep = np.ones(600, bool) if left is None else fold != left
+        u, t = x[keep], y[keep]
+        z = np.column_stack([(u - u.mean(0)) / u.std(0), np.zeros(len(u)), np.ones(len(u))])
+        w = np.where(t == 1, len(t) / (2 * t.sum()), len(t) / (2 * (len(t) - t.sum())))
+        p = 1 / (1 + np.exp(-z @ got.beta[i]))
+        gradient = z.T @ (w * (p - t)) + np.append(got.beta[i][:3] / 0.5, 0.0)
+        assert np.abs(gradient).max() < 1e-6 and got.beta[i][2] == 0 and got.beta[i][0] > 1
+
+
 def test_folds_partition_the_grid(scene):
     _, _, truth, table = scene
     fold = to_array(table.where("scene_id = 1").withColumn("fold", M.spatial_fold(GRID)), "fold", truth.shape)
