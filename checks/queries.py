@@ -1871,12 +1871,13 @@ def w2(spark, sf):
 def w3(spark, sf):
     scored = T.hourly_anomaly_score(X.cube(spark, sf), GRID).select("scene_id", "hour_seq", "r", "c", "score", "score_valid")
     path = scratch_path(spark, "scored")
-    scored = cut(scored)
+    # The scenes are replayed side by side, as hours of one day.
+    scored = cut(scored.withColumn("ts", F.timestamp_seconds(F.lit(8.0e8) + F.col("hour_seq") * 3600)))
     for seq in range(X.HOURS):
         scored.where(F.col("hour_seq") == seq).coalesce(1).write.mode("append").parquet(path)
     stream = spark.readStream.schema(scored.schema).option("maxFilesPerTrigger", 1).parquet(path)
     base = scratch_path(spark, "risk")
-    ST.run_to_parquet(ST.risk_states(stream), f"{base}/out", f"{base}/ckpt")
+    ST.run_to_parquet(ST.risk_states(stream, ts="ts"), f"{base}/out", f"{base}/ckpt")
     return rounded(ST.latest_risk(spark.read.parquet(f"{base}/out")), "risk")
 
 

@@ -17,7 +17,7 @@ from firegrid.schema import CHANNELS, GridSpec
 from firegrid.session import cut
 
 RISK_OUTPUT = "scene_id {scene}, r int, c int, hour_seq int, risk double, late int"
-RISK_STATE = "risk double, last_hour int"
+RISK_STATE = "risk double, last_hour int, ends long"
 
 
 def hourly_cells(pixels: DataFrame, grid: GridSpec, delay: str = "1 hour", ts: str = "ts") -> DataFrame:
@@ -65,19 +65,32 @@ def score_closed_hours(
     )
 
 
-def risk_states(scored: DataFrame, persistence: float = 0.5, mode: str = "prob_or") -> DataFrame:
+def risk_states(
+    scored: DataFrame,
+    persistence: float = 0.5,
+    mode: str = "prob_or",
+    ts: str | None = None,
+    delay: str = "1 hour",
+    keep_hours: int = 24,
+) -> DataFrame:
     """Risk per cell kept as keyed state, one output row per observation.
 
     Observations of a micro-batch are applied in ``hour_seq`` order.  One that is not newer than
     the state cannot be applied (assimilation has no inverse): it leaves the risk unchanged and
-    counts as ``late``.
+    counts as ``late``.  With ``ts``, the event time of an observation, a cell's state ends once the
+    watermark has passed its last hour by ``keep_hours``; observations at or behind the watermark
+    (which begins at the epoch) are dropped by the engine.  Without it state is kept for good.
     """
     p = min(max(persistence, 0.0), 1.0)
     if mode not in ("prob_or", "max_persist"):
         raise ValueError(f"unknown fusion mode: {mode}")
+    keep = keep_hours * 3_600_000
 
     def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        risk, last = state.get if state.exists else (0.0, -(2**31))
+        if state.hasTimedOut:
+            state.remove()
+            return
+        risk, last, ends = state.get if state.exists else (0.0, -(2**31), 0)
         rows = pd.concat(list(batches)).sort_values("hour_seq")
         out = []
         for seq, score, valid in zip(rows["hour_seq"], rows["score"], rows["score_valid"]):
@@ -89,12 +102,19 @@ def risk_states(scored: DataFrame, persistence: float = 0.5, mode: str = "prob_o
                     decayed = risk * p
                     risk = max(decayed, s) if mode == "max_persist" else 1.0 - (1.0 - decayed) * (1.0 - s)
             out.append((*key, int(seq), risk, int(late)))
-        state.update((risk, last))
+        if ts is not None:
+            ends = max(ends, int(rows["_at"].max()) + keep)
+            state.setTimeoutTimestamp(max(ends, state.getCurrentWatermarkMs() + 1))
+        state.update((risk, last, ends))
         yield pd.DataFrame(out, columns=["scene_id", "r", "c", "hour_seq", "risk", "late"])
 
+    timeout = GroupStateTimeout.NoTimeout
+    if ts is not None:
+        scored = scored.withWatermark(ts, delay).withColumn("_at", F.unix_millis(F.col(ts)))
+        timeout = GroupStateTimeout.EventTimeTimeout
     scene = scored.schema["scene_id"].dataType.simpleString()
     return scored.groupBy("scene_id", "r", "c").applyInPandasWithState(
-        advance, RISK_OUTPUT.format(scene=scene), RISK_STATE, "append", GroupStateTimeout.NoTimeout
+        advance, RISK_OUTPUT.format(scene=scene), RISK_STATE, "append", timeout
     )
 
 

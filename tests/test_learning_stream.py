@@ -258,3 +258,22 @@ def test_product_run(scene):
     scores = {k: v.collect() for k, v in DP.score_products(out, hotspots, GRID, 30.0).items()}
     assert set(scores) == {"peaks", "precise", "fused"} and all(len(v) == 2 for v in scores.values())
     assert out.precise.join(out.peaks, ["scene_id", "r", "c"], "left_anti").isEmpty()
+
+
+def test_state_of_a_cell_ends_after_its_day(spark):
+    """Cell 0 is seen on the first day only, then again on the third; cell 1 moves the watermark on."""
+    path, base = scratch_path(spark, "obs"), scratch_path(spark, "expiry")
+    schema = "scene_id int, r int, c int, hour_seq int, score double, score_valid boolean, ts timestamp"
+    query = lambda: ST.risk_states(
+        spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path), ts="ts"
+    )
+    risks = {}
+    for step, (cell, hour) in enumerate([(0, 0), (0, 1), (1, 48), (1, 49), (0, 50)]):
+        row = spark.createDataFrame([(1, 0, cell, hour, 0.5, True)], schema.rsplit(",", 1)[0])
+        row.withColumn("ts", F.timestamp_seconds(F.lit(8.0e8) + F.col("hour_seq") * 3600)).coalesce(1).write.mode("append").parquet(path)
+        ST.run_to_parquet(query(), f"{base}/o", f"{base}/c")
+        kept = spark.read.format("statestore").load(f"{base}/c").select("key.*").collect()
+        risks[step] = {r["c"] for r in kept}
+    assert 0 in risks[1] and risks[3] == {1} and risks[4] == {0, 1}
+    out = {(r["c"], r["hour_seq"]): r["risk"] for r in spark.read.parquet(f"{base}/o").collect()}
+    assert out[(0, 1)] == 0.625 and out[(0, 50)] == 0.5 and out[(1, 49)] == 0.625
