@@ -841,6 +841,37 @@ def d8(spark, sf):
     return T.mixture_mask(T.risk_field(X.cube(spark, sf), GRID), 0.05, GRID)
 
 
+MIXTURE_STEPS = 5
+S.define("mix_pool", "SELECT scene_id, r, c, risk AS x FROM risk_field WHERE valid")
+S.define(
+    "mix_g0",
+    "SELECT p.*, CASE WHEN x > mid THEN 1e0 ELSE 0e0 END AS g FROM mix_pool p JOIN (SELECT scene_id, quantile_cont(x, 0.5e0) AS mid FROM mix_pool GROUP BY scene_id) h USING (scene_id)",
+)
+for _t in range(MIXTURE_STEPS + 1):
+    S.define(
+        f"mix_p{_t}",
+        "SELECT scene_id, m0, m1, greatest(q0 / (w0 + 1e-12) - m0 * m0, 0e0) + 1e-4 AS v0, greatest(q1 / (w1 + 1e-12) - m1 * m1, 0e0) + 1e-4 AS v1, w0 / n AS p0, w1 / n AS p1 "
+        "FROM (SELECT *, s0 / (w0 + 1e-12) AS m0, s1 / (w1 + 1e-12) AS m1 FROM (SELECT scene_id, count(*) AS n, sum(1e0 - g) AS w0, sum(g) AS w1, sum((1e0 - g) * x) AS s0, "
+        f"sum(g * x) AS s1, sum((1e0 - g) * x * x) AS q0, sum(g * x * x) AS q1 FROM mix_g{_t} GROUP BY scene_id) a) b",
+    )
+    S.define(
+        f"mix_g{_t + 1}",
+        "SELECT scene_id, r, c, x, 1e0 / (1e0 + exp(least(l0 - l1, 7e2))) AS g FROM (SELECT *, ln(p0 + 1e-300) - 0.5e0 * (ln(v0) + (x - m0) ** 2 / v0) AS l0, "
+        f"ln(p1 + 1e-300) - 0.5e0 * (ln(v1) + (x - m1) ** 2 / v1) AS l1 FROM mix_pool JOIN mix_p{_t} USING (scene_id)) t",
+    )
+
+
+@register(
+    "d8b_mixture_five_steps",
+    f"SELECT scene_id, r, c, round(CASE WHEN m1 >= m0 THEN g ELSE 1e0 - g END, 6) AS p_hot FROM mix_g{MIXTURE_STEPS + 1} JOIN mix_p{MIXTURE_STEPS} USING (scene_id)",
+)
+def d8b(spark, sf):
+    """Posterior of the hotter component after a fixed number of steps, whatever the likelihood does."""
+    field = T.risk_field(X.cube(spark, sf), GRID)
+    rated = T.hot_posterior(field, max_iter=MIXTURE_STEPS, tol=0.0)
+    return rounded(rated.select(*KEY, "p_hot"), "p_hot")
+
+
 S.quantile_mask_cte("risk_hot", "risk_field", "risk", "valid", stats.clamped_pct(0.05))
 S.quantile_mask_cte("risk_wide", "risk_field", "risk", "valid", 0.5)
 S.refined_cte("risk_refined", "risk_hot")
