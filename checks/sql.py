@@ -107,6 +107,7 @@ IN_BOX = (
 
 define("wide_pixels", X.WIDE_PIXELS)
 define("points", X.POINTS)
+define("fires", X.FIRES)
 define("hotspots", X.HOTSPOTS)
 define("detections", X.DETECTIONS)
 define(
