@@ -787,12 +787,31 @@ def d2(spark, sf):
     return D.spatial_residual_multiband(X.day(spark, sf), GRID, 0.15)
 
 
-@register("d3_forest_one_band")
+S.define("forest_pool", "SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY scene_id) AS n_seen FROM residuals WHERE seen13) t WHERE n_seen >= 50")
+S.forest_cte("band_forest", "forest_pool", ["f13", "background", "residual"], 200)
+S.outside_cte("band_outliers", "band_forest", "iso_score", 0.05)
+
+
+@register("d3_forest_one_band", mask_sql("band_outliers"))
 def d3(spark, sf):
     return R.one_band_mask(X.day(spark, sf), GRID, 0.05)
 
 
-@register("d4_forest_multiband")
+S.median_cte("day_med9_14", "day_filled", "f14", 9, ("scene_id",))
+S.define("multi_day", "SELECT scene_id FROM day GROUP BY scene_id HAVING count(bt7) > 0 AND count(bt14) > 0 AND count(*) FILTER (bt13 > 0) >= 80")
+S.define(
+    "multi_pool",
+    "SELECT d.scene_id, d.r, d.c, d.f13, d.background, d.residual, d.f7 - d.f14 AS dbt, d.f14, d.f14 - m.med AS residual14 "
+    "FROM residuals d JOIN multi_day USING (scene_id) JOIN day_med9_14 m USING (scene_id, r, c) WHERE d.seen13",
+)
+S.forest_cte("multi_forest", "multi_pool", ["f13", "background", "residual", "dbt", "f14", "residual14"], 280)
+S.define("narrow_pool", "SELECT * FROM forest_pool ANTI JOIN multi_day USING (scene_id)")
+S.forest_cte("narrow_forest", "narrow_pool", ["f13", "background", "residual"], 200)
+S.define("either_forest", "SELECT * FROM multi_forest UNION ALL SELECT * FROM narrow_forest")
+S.outside_cte("either_outliers", "either_forest", "iso_score", 0.05)
+
+
+@register("d4_forest_multiband", mask_sql("either_outliers"))
 def d4(spark, sf):
     return R.forest_mask(X.day(spark, sf), GRID, 0.05)
 
@@ -1250,12 +1269,6 @@ def m8c(spark, sf):
     return event_view(best, "scene_id", "fold", "threshold", "nms_radius")
 
 
-@register("m9a_isolation_forest")
-def m9a(spark, sf):
-    feats = M.build_features(X.cube(spark, sf), GRID)
-    return O.outlier_mask(feats, O.OutlierConfig(contamination=0.05), GRID.cells)
-
-
 S.define(
     "scaled_features",
     "SELECT scene_id, r, c, " + ", ".join(
@@ -1263,6 +1276,16 @@ S.define(
         f"THEN stddev_pop({c}) OVER (PARTITION BY scene_id) ELSE 1e0 END AS {c}" for c in O.OUTLIER_FEATURES
     ) + " FROM features WHERE valid",
 )
+S.forest_cte("feature_forest", "scaled_features", list(O.OUTLIER_FEATURES), 200)
+S.outside_cte("forest_outliers", "feature_forest", "iso_score", 0.05)
+
+
+@register("m9a_isolation_forest", mask_sql("forest_outliers"))
+def m9a(spark, sf):
+    feats = M.build_features(X.cube(spark, sf), GRID)
+    return O.outlier_mask(feats, O.OutlierConfig(contamination=0.05), GRID.cells)
+
+
 S.lof_cte("feature_lof", "scaled_features", list(O.OUTLIER_FEATURES), 24)
 S.define(
     "lof_mask",

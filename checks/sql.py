@@ -503,6 +503,79 @@ def lof_cte(name: str, src: str, columns: list[str], k: int) -> str:
     )
 
 
+def forest_cte(name: str, src: str, columns: list[str], trees: int, seed: int = 42, depth: int = 8) -> str:
+    """Isolation scores: trees grown and walked by one join a level."""
+    xs = ", ".join(f"x{i}" for i in range(len(columns)))
+
+    def state(h: str, v: str) -> str:
+        t = f"(({h} * 48271 + {v}) % 2147483647)"
+        return f"(({t} * {t} + 12345) % 2147483647)"
+
+    def draw(dest: str, rel: str, x: str, cols: str) -> str:
+        """``rel`` with the draw for (seed, tree, x) as ``dest``, one state a step."""
+        one = f"SELECT *, {state(str(seed), 'tree * 69621 + 1')} AS h1 FROM {rel}"
+        two = f"SELECT *, {state('h1', x)} AS h2 FROM ({one}) d1"
+        return f"SELECT {cols}, {state('h2', '7')} AS {dest} FROM ({two}) d2"
+
+    own = ", ".join(f"CAST({c} AS DOUBLE) AS x{i}" for i, c in enumerate(columns))
+    first = f"SELECT scene_id, r, c, {own}, {state('0', 'CAST(r AS BIGINT) + 1')} AS h, count(*) OVER (PARTITION BY scene_id) AS n FROM {src}"
+    define(f"{name}_pool", f"SELECT scene_id, r, c, {xs}, n, least(n, 256) AS sample, {state('h', 'CAST(c AS BIGINT) + 1')} AS cell FROM ({first}) p")
+    spread = f"(SELECT p.*, CAST(t.tree AS BIGINT) AS tree FROM {name}_pool p CROSS JOIN range({trees}) t(tree))"
+    define(
+        f"{name}_rows0",
+        f"SELECT scene_id, tree, sample, {xs}, CAST(1 AS BIGINT) AS node FROM (SELECT *, row_number() OVER (PARTITION BY scene_id, tree ORDER BY u, r, c) AS k "
+        f"FROM ({draw('u', spread + ' s', 'cell', f'scene_id, r, c, tree, n, sample, {xs}')}) u WHERE u * n < 1099511627264) v WHERE k <= 256",
+    )
+
+    def mean_path(n: str) -> str:
+        return f"(CASE WHEN {n} <= 1 THEN 0e0 WHEN {n} = 2 THEN 1e0 ELSE 2e0 * (ln({n} - 1e0) + 0.5772156649015329e0) - 2e0 * ({n} - 1e0) / {n} END)"
+
+    define(f"{name}_walk0", f"SELECT scene_id, r, c, sample, {xs}, tree, CAST(1 AS BIGINT) AS node FROM {spread} s")
+    for d in range(depth + 1):
+        ends = ", ".join(f"min(x{i}) AS lo{i}, max(x{i}) AS hi{i}" for i in range(len(columns)))
+        define(f"{name}_stat{d}", f"SELECT scene_id, tree, node, sample, count(*) AS n, {ends} FROM {name}_rows{d} GROUP BY ALL")
+        varying = " UNION ALL ".join(
+            f"SELECT scene_id, tree, node, {i} AS f, lo{i} AS lo, hi{i} AS hi FROM {name}_stat{d} WHERE n > 1 AND hi{i} > lo{i} AND sample > {1 << d}"
+            for i in range(len(columns))
+        )
+        counted = (
+            "SELECT *, row_number() OVER (PARTITION BY scene_id, tree, node ORDER BY f) - 1 AS i, count(*) OVER (PARTITION BY scene_id, tree, node) AS k "
+            f"FROM ({varying}) a"
+        )
+        picked = draw("pick", f"({counted}) b", "node * 2", "scene_id, tree, node, f, lo, hi, i, k")
+        shared = draw("share", f"({picked}) e", "node * 2 + 1", "scene_id, tree, node, f, lo, hi, i, k, pick")
+        define(
+            f"{name}_split{d}",
+            "SELECT scene_id, tree, node, f, CASE WHEN lo + share / 2147483647e0 * (hi - lo) < hi THEN lo + share / 2147483647e0 * (hi - lo) ELSE lo END AS at "
+            f"FROM ({shared}) g WHERE i = pick % k",
+        )
+        define(
+            f"{name}_leaf{d}",
+            f"SELECT scene_id, tree, node, {d} * 1048576 + CAST(round({mean_path('n')} * 1048576e0) AS BIGINT) AS units FROM {name}_stat{d} ANTI JOIN {name}_split{d} USING (scene_id, tree, node)",
+        )
+        if d < depth:
+            value = "CASE s.f " + " ".join(f"WHEN {i} THEN x{i}" for i in range(len(columns))) + " END"
+            step = f"node * 2 + CASE WHEN {value} > s.at THEN 1 ELSE 0 END AS node"
+            joined = f"JOIN {name}_split{d} s USING (scene_id, tree, node)"
+            define(f"{name}_rows{d + 1}", f"SELECT scene_id, tree, sample, {xs}, {step} FROM {name}_rows{d} {joined}")
+            define(f"{name}_walk{d + 1}", f"SELECT scene_id, r, c, sample, {xs}, tree, {step} FROM {name}_walk{d} {joined}")
+    ends = " UNION ALL ".join(
+        f"SELECT scene_id, r, c, sample, units FROM {name}_walk{d} JOIN {name}_leaf{d} USING (scene_id, tree, node)" for d in range(depth + 1)
+    )
+    return define(
+        name,
+        f"SELECT scene_id, r, c, pow(2e0, -(sum(units) / 1048576e0) / ({trees} * greatest({mean_path('sample')}, 1e-12))) AS iso_score FROM ({ends}) w GROUP BY scene_id, r, c, sample",
+    )
+
+
+def outside_cte(name: str, src: str, score: str, share: float) -> str:
+    """Rows beyond the percentile of ``score`` that leaves ``share`` outside, per scene."""
+    return define(
+        name,
+        f"SELECT scene_id, r, c FROM (SELECT *, quantile_cont(-{score}, {lit(share)}) OVER (PARTITION BY scene_id) AS cutoff FROM {src}) t WHERE -{score} < cutoff",
+    )
+
+
 def refined_cte(name: str, mask: str) -> str:
     """Mask minus weak inliers of the risk field."""
     field = field_ctes()

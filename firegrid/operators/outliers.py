@@ -1,7 +1,8 @@
 """Outlier detectors over per-cell features, every scene in the same job.
 
-Isolation forest: samples are drawn per (scene, tree), trees grow in blocks of 25; scoring runs
-per chunk of cells.  Local outlier factor: exact neighbours through a nearest-neighbour join pruned by boxes.
+Isolation forest: every draw is a hash of what it is drawn for, so trees grow as windows over
+their nodes, all trees of all scenes level by level, and any attempt grows the same ones; scoring
+runs per chunk of cells.  Local outlier factor: exact neighbours through a nearest-neighbour join pruned by boxes.
 Robust envelope: concentration steps as grouped moments.
 """
 
@@ -29,7 +30,9 @@ MIN_ROWS = 50
 BLOCK_ROWS = 1024
 CHUNK_ROWS = 16384
 TREE_SAMPLE = 256
-TREE_BLOCK = 25
+PRIME = (1 << 31) - 1
+# Path lengths are added up in whole units, so that no order of summing changes a score.
+PATH_UNIT = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -68,77 +71,117 @@ def average_path(n: np.ndarray | float) -> np.ndarray:
     return np.where(n <= 1, 0.0, np.where(n == 2, 1.0, big))
 
 
+def _mixed(h: Column, x: Column) -> Column:
+    """Next state of a hash below 2^31 - 1 after ``x``; products stay within 64 bits."""
+    t = (h * 48271 + F.pmod(x.cast("long"), F.lit(PRIME))) % PRIME
+    return (t * t + 12345) % PRIME
+
+
+def _drawn(seed: int, tree: Column, x: Column) -> Column:
+    """Number from 0 to 2^31 - 2 that belongs to (seed, tree, x)."""
+    start = _mixed(F.lit(seed).cast("long"), tree * 69621 + 1)
+    return _mixed(_mixed(start, x), F.lit(7))
+
+
 def _sample_rows(df: DataFrame, trees: int, seed: int) -> DataFrame:
-    """Up to 256 rows per (scene, tree), without replacement.
+    """Up to 256 rows per (scene, tree), without replacement, and ``sample``, their number.
 
-    A hash threshold thins the copies before anything moves; the exact count comes from ranking
-    the few that remain.
+    A threshold on the draw thins the copies before anything moves; the exact count comes from
+    ranking the few that remain, at most 512 on average.
     """
-    n = F.count("*").over(Window.partitionBy(*SCENE))
+    n = df.groupBy(*SCENE).agg(F.count("*").alias("_n"))
+    cells = df.withColumn("_cell", _mixed(_mixed(F.lit(0).cast("long"), F.col("r") + 1), F.col("c") + 1))
     draws = (
-        df.withColumn("_n", n)
+        cells.join(n, "scene_id")
         .withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-        .withColumn("_u", F.pmod(F.xxhash64(F.lit(seed), "tree", *KEY), F.lit(1 << 31)) / float(1 << 31))
-        .where(F.col("_u") < 2.0 * TREE_SAMPLE / F.col("_n"))
+        .withColumn("_u", _drawn(seed, F.col("tree"), F.col("_cell")))
+        .where(F.col("_u") * F.col("_n") < 2 * TREE_SAMPLE * PRIME)
     )
     order = Window.partitionBy("scene_id", "tree").orderBy("_u", "r", "c")
-    return draws.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= TREE_SAMPLE).drop("_k", "_u", "_n")
+    kept = draws.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= TREE_SAMPLE)
+    return kept.withColumn("sample", F.least(F.col("_n"), F.lit(TREE_SAMPLE)).cast("int")).drop("_k", "_u", "_n", "_cell")
+
 
+def _path_units(n: Column) -> Column:
+    """:func:`average_path` in whole units."""
+    big = 2.0 * (F.log(n - 1.0) + float(np.euler_gamma)) - 2.0 * (n - 1.0) / n
+    mean = F.when(n <= 1, 0.0).when(n == 2, 1.0).otherwise(big)
+    return F.round(mean * float(PATH_UNIT)).cast("long")
 
-def _grow_trees(x: np.ndarray, tree: np.ndarray, limit: int, rng: np.random.Generator) -> pd.DataFrame:
-    """Random axis-parallel splits of several trees at once, level by level.
 
-    ``x`` holds the sampled rows and ``tree`` the tree of each, ascending.  Every level finds the
-    feature ranges of all open nodes together, draws a feature that varies and a cut inside its
-    range, and passes the rows on.  Returns one row per node; a leaf has feature -1 and its path
-    length, corrected for the rows it still holds.
+def isolation_forest(df: DataFrame, columns: Sequence[str], trees: int = 200, seed: int = 42) -> DataFrame:
+    """Nodes of one forest per scene: (scene_id, tree, node, feature, cut, units, sample).
+
+    Node 1 is the root, 2k and 2k + 1 are the children of k; rows above ``cut`` go to the second.
+    A leaf has feature -1 and in ``units`` its depth, corrected for the rows it still holds.  The
+    feature of a split is drawn among those that vary in the node, the cut between their ends.
+    Each level is one window over (scene, tree, node); all levels share the placement by
+    (scene, tree), which holds 256 rows at most.
     """
-    roots, node = np.unique(tree, return_inverse=True)
-    owner = roots.copy()
-    fresh = len(roots)
-    grown = []
-    for depth in range(limit + 1):
-        order = np.argsort(node, kind="stable")
-        x, node = x[order], node[order]
-        open_, start, count = np.unique(node, return_index=True, return_counts=True)
-        low, high = np.minimum.reduceat(x, start), np.maximum.reduceat(x, start)
-        varies = high > low
-        split = (count > 1) & varies.any(axis=1) & (depth < limit)
-        leaf = ~split
-        grown.append(
-            pd.DataFrame(
-                {
-                    "tree": owner[open_[leaf]], "node": open_[leaf], "feature": -1, "cut": 0.0, "lo": -1, "hi": -1,
-                    "path": depth + average_path(count[leaf]),
-                }
-            )
+    levels = math.ceil(math.log2(TREE_SAMPLE))
+    depth_limit = reduce(lambda a, b: a + b, [(F.col("sample") > (1 << i)).cast("int") for i in range(levels)])
+    xs = [f"_x{i}" for i in range(len(columns))]
+    rows = _sample_rows(df.select(*KEY, *columns), trees, seed).select(
+        "scene_id", "tree", "sample", *[F.col(c).cast("double").alias(x) for c, x in zip(columns, xs)],
+        F.lit(1).alias("node"), depth_limit.alias("_limit"), F.lit(None).cast("long").alias("_units"),
+    )
+    w = Window.partitionBy("scene_id", "tree", "node")
+    steps = []
+    for depth in range(levels + 1):
+        rows = rows.withColumns(
+            {"_n": F.count("*").over(w)}
+            | {f"_lo{x}": F.min(x).over(w) for x in xs}
+            | {f"_hi{x}": F.max(x).over(w) for x in xs}
         )
-        if not split.any():
-            break
-        parents, varies, low, high = open_[split], varies[split], low[split], high[split]
-        pick = np.floor(rng.random(len(parents)) * varies.sum(axis=1)).astype(int)
-        feature = np.argmax(np.cumsum(varies, axis=1) > pick[:, None], axis=1)
-        at = np.arange(len(parents))
-        lo, hi = low[at, feature], high[at, feature]
-        cut_at = lo + rng.random(len(parents)) * (hi - lo)
-        cut_at = np.where(cut_at < hi, cut_at, lo)
-        left = fresh + 2 * at
-        grown.append(
-            pd.DataFrame(
-                {
-                    "tree": owner[parents], "node": parents, "feature": feature, "cut": cut_at,
-                    "lo": left, "hi": left + 1, "path": 0.0,
-                }
-            )
+        varies = [(F.col(f"_hi{x}") > F.col(f"_lo{x}")).cast("int") for x in xs]
+        before = [reduce(lambda a, b: a + b, varies[:i], F.lit(0)) for i in range(len(xs) + 1)]
+        rows = rows.withColumn("_k", before[-1]).withColumn(
+            "_which",
+            F.when(
+                (F.col("_n") > 1) & (F.col("_k") > 0) & (F.lit(depth) < F.col("_limit")),
+                _drawn(seed, F.col("tree"), F.col("node") * 2) % F.greatest("_k", F.lit(1)),
+            ),
+        )
+        chosen = [(v == 1) & (b == F.col("_which")) for v, b in zip(varies, before)]
+
+        def of_chosen(values: Sequence[Column]) -> Column:
+            return F.coalesce(*[F.when(c, v) for c, v in zip(chosen, values)])
+
+        rows = rows.withColumns(
+            {
+                f"_f{depth}": of_chosen([F.lit(i) for i in range(len(xs))]),
+                "_lo": of_chosen([F.col(f"_lo{x}") for x in xs]),
+                "_hi": of_chosen([F.col(f"_hi{x}") for x in xs]),
+                "_v": of_chosen([F.col(x) for x in xs]),
+                "_share": _drawn(seed, F.col("tree"), F.col("node") * 2 + 1) / float(PRIME),
+            }
+        )
+        at = F.col("_lo") + F.col("_share") * (F.col("_hi") - F.col("_lo"))
+        rows = rows.withColumn(f"_cut{depth}", F.when(at < F.col("_hi"), at).otherwise(F.col("_lo")))
+        steps += [f"_f{depth}", f"_cut{depth}"]
+        goes_on = F.col(f"_f{depth}").isNotNull()
+        above = (F.col("_v") > F.col(f"_cut{depth}")).cast("int")
+        rows = rows.select(
+            "scene_id", "tree", "sample", "_limit", *xs, *steps,
+            F.when(goes_on, F.col("node") * 2 + above).otherwise(F.col("node")).alias("node"),
+            F.when(~goes_on, F.coalesce("_units", F.lit(depth * PATH_UNIT) + _path_units(F.col("_n")))).alias("_units"),
         )
-        keep = np.repeat(split, count)
-        slot = np.repeat(np.cumsum(split) - 1, count)[keep]
-        x = x[keep]
-        right = x[np.arange(len(x)), feature[slot]] > cut_at[slot]
-        node = left[slot] + right
-        owner = np.concatenate([owner, np.repeat(owner[parents], 2)])
-        fresh += 2 * len(parents)
-    return pd.concat(grown)
+    # A row that went d levels down names the nodes it passed by halving the number of its leaf.
+    reached = reduce(lambda a, b: a + b, [F.col(f"_f{d}").isNotNull().cast("int") for d in range(levels)])
+    passed = [
+        F.struct(
+            F.expr(f"shiftright(node, _reached - {d})").alias("node"), F.col(f"_f{d}").alias("feature"),
+            F.col(f"_cut{d}").alias("cut"), F.lit(0).cast("long").alias("units"),
+        )
+        for d in range(levels)
+    ]
+    leaf = F.struct(F.col("node"), F.lit(-1).alias("feature"), F.lit(0.0).alias("cut"), F.col("_units").alias("units"))
+    nodes = rows.withColumn("_reached", reached).select(
+        "scene_id", "tree", "sample", F.explode(F.array(*passed, leaf)).alias("_p")
+    )
+    return nodes.select("scene_id", "tree", "sample", "_p.*").where("feature IS NOT NULL").groupBy("scene_id", "tree", "node").agg(
+        *[F.first(c).alias(c) for c in ("feature", "cut", "units", "sample")]
+    )
 
 
 def _chunk_counts(df: DataFrame) -> DataFrame:
@@ -153,58 +196,37 @@ def _into_chunks(df: DataFrame, chunks: DataFrame, by: Sequence[str] = ("r", "c"
 
 
 def isolation_scores(df: DataFrame, columns: Sequence[str], trees: int = 200, seed: int = 42) -> DataFrame:
-    """Adds ``iso_score`` in 0..1, higher = more isolated.  Scene ids may be of any type."""
-    columns = list(columns)
-
-    def grow(pdf: pd.DataFrame) -> pd.DataFrame:
-        scene, block = pdf["scene_id"].iloc[0], int(pdf["block"].iloc[0])
-        pdf = pdf.sort_values(["tree", "r", "c"])
-        sample = int(pdf.groupby("tree").size().max())
-        rng = np.random.default_rng([seed, int(pdf["_seed"].iloc[0]), block])
-        limit = math.ceil(math.log2(max(sample, 2)))
-        nodes = _grow_trees(pdf[columns].to_numpy(dtype=np.float64), pdf["tree"].to_numpy(), limit, rng)
-        return nodes.assign(scene_id=scene, block=block, sample=sample)[
-            ["scene_id", "block", "tree", "node", "feature", "cut", "lo", "hi", "path", "sample"]
-        ]
+    """Adds ``iso_score`` in 0..1, higher = more isolated.  Scene ids may be of any type.
 
-    scene_type = df.schema["scene_id"].dataType.simpleString()
-    sampled = _sample_rows(df.select(*KEY, *columns), trees, seed).withColumn(
-        "block", F.floor(F.col("tree") / TREE_BLOCK).cast("int")
-    ).withColumn("_seed", F.pmod(F.xxhash64("scene_id"), F.lit(1 << 31)))
-    forest = sampled.groupBy("scene_id", "block").applyInPandas(
-        grow,
-        f"scene_id {scene_type}, block int, tree int, node int, feature int, cut double, lo int, hi int, "
-        "path double, sample int",
-    )
+    A forest is at most ``trees`` x 511 nodes, copied to each chunk of its scene.
+    """
+    columns = list(columns)
+    forest = isolation_forest(df, columns, trees, seed)
     chunks = _chunk_counts(df)
     chunked = _into_chunks(df, chunks)
     copies = forest.join(chunks, "scene_id").withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)))
-    copies = copies.drop("_chunks")
+    # Both sides stem from ``df``; the copies get a scene column of their own.
+    copies = copies.drop("_chunks").withColumn("scene_id", F.col("scene_id").alias("scene_id"))
     names = df.columns
 
     def score(cells: pd.DataFrame, nodes: pd.DataFrame) -> pd.DataFrame:
+        if nodes.empty or cells.empty:
+            return cells[names].assign(iso_score=0.5)
         x = cells[columns].to_numpy(dtype=np.float64)
         every = np.arange(len(x))
-        total = np.zeros(len(x))
-        grown = 0
-        for _block, b in nodes.groupby("block"):
-            b = b.sort_values("node")
-            feature, split = b["feature"].to_numpy(), b["cut"].to_numpy()
-            lo, hi, path = b["lo"].to_numpy(), b["hi"].to_numpy(), b["path"].to_numpy()
-            for root in range(b["tree"].nunique()):
-                at = np.full(len(x), root)
-                while True:
-                    f = feature[at]
-                    inner = f >= 0
-                    if not inner.any():
-                        break
-                    down = np.where(x[every, np.maximum(f, 0)] <= split[at], lo[at], hi[at])
-                    at = np.where(inner, down, at)
-                total += path[at]
-                grown += 1
-        sample = float(nodes["sample"].max()) if len(nodes) else 1.0
-        norm = max(grown, 1) * max(float(average_path(sample)), 1e-12)
-        return cells[names].assign(iso_score=np.power(2.0, -total / norm))
+        owner, slot = nodes["tree"].to_numpy(), nodes["node"].to_numpy()
+        shape = int(owner.max()) + 1, int(slot.max()) + 1
+        feature, split, units = np.full(shape, -1), np.zeros(shape), np.zeros(shape, dtype=np.int64)
+        feature[owner, slot], split[owner, slot], units[owner, slot] = nodes["feature"], nodes["cut"], nodes["units"]
+        total = np.zeros(len(x), dtype=np.int64)
+        for f_, s_, u_ in zip(feature, split, units):
+            at = np.ones(len(x), dtype=np.int64)
+            while (f_[at] >= 0).any():
+                f = f_[at]
+                at = np.where(f >= 0, 2 * at + (x[every, np.maximum(f, 0)] > s_[at]), at)
+            total += u_[at]
+        norm = len(np.unique(owner)) * max(float(average_path(float(nodes["sample"].iloc[0]))), 1e-12)
+        return cells[names].assign(iso_score=np.power(2.0, -(total / PATH_UNIT) / norm))
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
     return (

@@ -100,15 +100,66 @@ def test_envelope_of_clean_normal_data_is_mahalanobis(spark):
     assert np.corrcoef(got.ravel(), want)[0, 1] > 0.98
 
 
-def test_grown_trees_are_consistent():
+def draw(seed, tree, x):
+    h = seed
+    for v in (tree * 69621 + 1, x, 7):
+        t = (h * 48271 + v) % O.PRIME
+        h = (t * t + 12345) % O.PRIME
+    return h
+
+
+def test_forest_equals_trees_grown_one_by_one(spark):
     rng = np.random.default_rng(1)
-    x = rng.normal(size=(3 * 256, 4))
-    nodes = O._grow_trees(x, np.repeat([4, 5, 6], 256), 8, rng)
-    assert sorted(nodes["node"]) == list(range(len(nodes)))
-    inner, leaves = nodes[nodes["feature"] >= 0], nodes[nodes["feature"] < 0]
-    assert len(leaves) == len(inner) + 3
-    assert sorted(list(inner["lo"]) + list(inner["hi"])) == list(range(3, len(nodes)))
-    assert set(nodes["tree"]) == {4, 5, 6}
+    x = np.round(rng.normal(size=(20, 15, 2)), 2)
+    df = dense(spark, {"a": x[..., 0], "b": x[..., 1], "k": np.ones(x.shape[:2])})
+    seed, n, sample = 9, 300, 256
+    got = {(v["tree"], v["node"]): v for v in O.isolation_forest(df, ["a", "k", "b"], 4, seed).collect()}
+    seen = 0
+
+    def cell(r, c):
+        h = 0
+        for v in (r + 1, c + 1):
+            t = (h * 48271 + v) % O.PRIME
+            h = (t * t + 12345) % O.PRIME
+        return h
+
+    def grow(tree, node, rows, depth):
+        nonlocal seen
+        seen += 1
+        v = got[tree, node]
+        lo, hi = rows.min(axis=0), rows.max(axis=0)
+        vary = [f for f in range(3) if hi[f] > lo[f]]
+        assert v["sample"] == sample
+        if len(rows) == 1 or not vary or depth == 8:
+            assert v["feature"] == -1
+            assert v["units"] == depth * O.PATH_UNIT + round(float(O.average_path(len(rows))) * O.PATH_UNIT)
+            return
+        f = vary[draw(seed, tree, 2 * node) % len(vary)]
+        cut = lo[f] + draw(seed, tree, 2 * node + 1) / O.PRIME * (hi[f] - lo[f])
+        assert v["feature"] == f and abs(v["cut"] - cut) < 1e-12
+        grow(tree, 2 * node, rows[rows[:, f] <= v["cut"]], depth + 1)
+        grow(tree, 2 * node + 1, rows[rows[:, f] > v["cut"]], depth + 1)
+
+    for tree in range(4):
+        order = sorted((draw(seed, tree, cell(r, c)), r, c) for r in range(20) for c in range(15))[:sample]
+        grow(tree, 1, np.array([[x[r, c, 0], 1.0, x[r, c, 1]] for _u, r, c in order]), 0)
+    assert seen == len(got)
+
+
+def test_draws_are_even_and_samples_differ(spark):
+    df = dense(spark, {"a": np.zeros((60, 60))})
+    rows = O._sample_rows(df, 50, 3).groupBy("tree").count().collect()
+    assert {r["count"] for r in rows} == {256} and len(rows) == 50
+    times = O._sample_rows(df, 50, 3).groupBy("r", "c").count().toPandas()["count"].to_numpy()
+    # 50 trees x 256 of 3,600 cells: 3.6 times each, and no cell in most trees.
+    assert len(times) > 3400 and times.max() < 15
+
+
+def test_scores_of_tiny_and_constant_scenes(spark):
+    for shape in ((1, 1), (1, 2), (4, 5)):
+        scores = O.isolation_scores(dense(spark, {"a": np.ones(shape)}), ["a"], 10).collect()
+        assert len(scores) == shape[0] * shape[1] and len({s["iso_score"] for s in scores}) == 1
+    assert O.isolation_scores(dense(spark, {"a": np.ones((2, 2))}).where("r < 0"), ["a"], 10).isEmpty()
 
 
 def test_combination_modes(spark, table):
