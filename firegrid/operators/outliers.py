@@ -1,8 +1,7 @@
 """Outlier detectors over per-cell features, every scene in the same job.
 
-Isolation forest: every draw is a hash of what it is drawn for, so trees grow as windows over
-their nodes, all trees of all scenes level by level, and any attempt grows the same ones; scoring
-runs per chunk of cells.  Local outlier factor: exact neighbours through a nearest-neighbour join pruned by boxes.
+Isolation forest: every draw is a hash of what it is drawn for, so any attempt grows the same
+trees; blocks of 25 trees grow level by level from samples, scoring runs per chunk of cells.  Local outlier factor: exact neighbours through a nearest-neighbour join pruned by boxes.
 Robust envelope: concentration steps as grouped moments.
 """
 
@@ -30,6 +29,7 @@ MIN_ROWS = 50
 BLOCK_ROWS = 1024
 CHUNK_ROWS = 16384
 TREE_SAMPLE = 256
+TREE_BLOCK = 25
 PRIME = (1 << 31) - 1
 # Path lengths are added up in whole units, so that no order of summing changes a score.
 PATH_UNIT = 1 << 20
@@ -96,17 +96,64 @@ def _sample_rows(df: DataFrame, trees: int, seed: int) -> DataFrame:
         .withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
         .withColumn("_u", _drawn(seed, F.col("tree"), F.col("_cell")))
         .where(F.col("_u") * F.col("_n") < 2 * TREE_SAMPLE * PRIME)
+        .withColumn("block", F.floor(F.col("tree") / TREE_BLOCK).cast("int"))
+        .repartition("scene_id", "block")
     )
-    order = Window.partitionBy("scene_id", "tree").orderBy("_u", "r", "c")
+    order = Window.partitionBy("scene_id", "block", "tree").orderBy("_u", "r", "c")
     kept = draws.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= TREE_SAMPLE)
     return kept.withColumn("sample", F.least(F.col("_n"), F.lit(TREE_SAMPLE)).cast("int")).drop("_k", "_u", "_n", "_cell")
 
 
-def _path_units(n: Column) -> Column:
-    """:func:`average_path` in whole units."""
-    big = 2.0 * (F.log(n - 1.0) + float(np.euler_gamma)) - 2.0 * (n - 1.0) / n
-    mean = F.when(n <= 1, 0.0).when(n == 2, 1.0).otherwise(big)
-    return F.round(mean * float(PATH_UNIT)).cast("long")
+def _draws(seed: int, tree: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """:func:`_drawn` for arrays."""
+    h = np.full(len(tree), seed, dtype=np.int64)
+    for v in (tree * 69621 + 1, x, np.int64(7)):
+        t = (h * 48271 + v % PRIME) % PRIME
+        h = (t * t + 12345) % PRIME
+    return h
+
+
+def _grow_trees(x: np.ndarray, tree: np.ndarray, limit: int, seed: int) -> pd.DataFrame:
+    """Random axis-parallel splits of several trees at once, level by level; one row per node.
+
+    ``x`` holds the sampled rows and ``tree`` the tree of each.  Every level finds the ends of all
+    open nodes together, draws a feature that varies and a cut between its ends, and passes the
+    rows on.
+    """
+    tree = tree.astype(np.int64)
+    node = np.ones(len(x), dtype=np.int64)
+    grown = []
+    for depth in range(limit + 1):
+        order = np.lexsort((node, tree))
+        x, tree, node = x[order], tree[order], node[order]
+        start = np.flatnonzero(np.r_[True, (tree[1:] != tree[:-1]) | (node[1:] != node[:-1])])
+        count = np.diff(np.r_[start, len(x)])
+        own, number = tree[start], node[start]
+        low, high = np.minimum.reduceat(x, start), np.maximum.reduceat(x, start)
+        varies = high > low
+        split = (count > 1) & varies.any(axis=1) & (depth < limit)
+        which = _draws(seed, own, 2 * number) % np.maximum(varies.sum(axis=1), 1)
+        feature = np.argmax(np.cumsum(varies, axis=1) > which[:, None], axis=1)
+        at = np.arange(len(start))
+        lo, hi = low[at, feature], high[at, feature]
+        cut_at = lo + _draws(seed, own, 2 * number + 1) / PRIME * (hi - lo)
+        cut_at = np.where(cut_at < hi, cut_at, lo)
+        length = depth * PATH_UNIT + np.round(average_path(count) * PATH_UNIT).astype(np.int64)
+        grown.append(
+            pd.DataFrame(
+                {
+                    "tree": own, "node": number, "feature": np.where(split, feature, -1),
+                    "cut": np.where(split, cut_at, 0.0), "units": np.where(split, 0, length),
+                }
+            )
+        )
+        if not split.any():
+            break
+        keep = np.repeat(split, count)
+        slot = np.repeat(at, count)[keep]
+        x, tree, node = x[keep], tree[keep], node[keep]
+        node = 2 * node + (x[np.arange(len(x)), feature[slot]] > cut_at[slot])
+    return pd.concat(grown)
 
 
 def isolation_forest(df: DataFrame, columns: Sequence[str], trees: int = 200, seed: int = 42) -> DataFrame:
@@ -115,72 +162,21 @@ def isolation_forest(df: DataFrame, columns: Sequence[str], trees: int = 200, se
     Node 1 is the root, 2k and 2k + 1 are the children of k; rows above ``cut`` go to the second.
     A leaf has feature -1 and in ``units`` its depth, corrected for the rows it still holds.  The
     feature of a split is drawn among those that vary in the node, the cut between their ends.
-    Each level is one window over (scene, tree, node); all levels share the placement by
-    (scene, tree), which holds 256 rows at most.
+    A task grows the 25 trees of a block, at most 6,400 sampled rows, whatever the scene's size.
     """
-    levels = math.ceil(math.log2(TREE_SAMPLE))
-    depth_limit = reduce(lambda a, b: a + b, [(F.col("sample") > (1 << i)).cast("int") for i in range(levels)])
-    xs = [f"_x{i}" for i in range(len(columns))]
-    rows = _sample_rows(df.select(*KEY, *columns), trees, seed).select(
-        "scene_id", "tree", "sample", *[F.col(c).cast("double").alias(x) for c, x in zip(columns, xs)],
-        F.lit(1).alias("node"), depth_limit.alias("_limit"), F.lit(None).cast("long").alias("_units"),
-    )
-    w = Window.partitionBy("scene_id", "tree", "node")
-    steps = []
-    for depth in range(levels + 1):
-        rows = rows.withColumns(
-            {"_n": F.count("*").over(w)}
-            | {f"_lo{x}": F.min(x).over(w) for x in xs}
-            | {f"_hi{x}": F.max(x).over(w) for x in xs}
-        )
-        varies = [(F.col(f"_hi{x}") > F.col(f"_lo{x}")).cast("int") for x in xs]
-        before = [reduce(lambda a, b: a + b, varies[:i], F.lit(0)) for i in range(len(xs) + 1)]
-        rows = rows.withColumn("_k", before[-1]).withColumn(
-            "_which",
-            F.when(
-                (F.col("_n") > 1) & (F.col("_k") > 0) & (F.lit(depth) < F.col("_limit")),
-                _drawn(seed, F.col("tree"), F.col("node") * 2) % F.greatest("_k", F.lit(1)),
-            ),
-        )
-        chosen = [(v == 1) & (b == F.col("_which")) for v, b in zip(varies, before)]
-
-        def of_chosen(values: Sequence[Column]) -> Column:
-            return F.coalesce(*[F.when(c, v) for c, v in zip(chosen, values)])
-
-        rows = rows.withColumns(
-            {
-                f"_f{depth}": of_chosen([F.lit(i) for i in range(len(xs))]),
-                "_lo": of_chosen([F.col(f"_lo{x}") for x in xs]),
-                "_hi": of_chosen([F.col(f"_hi{x}") for x in xs]),
-                "_v": of_chosen([F.col(x) for x in xs]),
-                "_share": _drawn(seed, F.col("tree"), F.col("node") * 2 + 1) / float(PRIME),
-            }
-        )
-        at = F.col("_lo") + F.col("_share") * (F.col("_hi") - F.col("_lo"))
-        rows = rows.withColumn(f"_cut{depth}", F.when(at < F.col("_hi"), at).otherwise(F.col("_lo")))
-        steps += [f"_f{depth}", f"_cut{depth}"]
-        goes_on = F.col(f"_f{depth}").isNotNull()
-        above = (F.col("_v") > F.col(f"_cut{depth}")).cast("int")
-        rows = rows.select(
-            "scene_id", "tree", "sample", "_limit", *xs, *steps,
-            F.when(goes_on, F.col("node") * 2 + above).otherwise(F.col("node")).alias("node"),
-            F.when(~goes_on, F.coalesce("_units", F.lit(depth * PATH_UNIT) + _path_units(F.col("_n")))).alias("_units"),
-        )
-    # A row that went d levels down names the nodes it passed by halving the number of its leaf.
-    reached = reduce(lambda a, b: a + b, [F.col(f"_f{d}").isNotNull().cast("int") for d in range(levels)])
-    passed = [
-        F.struct(
-            F.expr(f"shiftright(node, _reached - {d})").alias("node"), F.col(f"_f{d}").alias("feature"),
-            F.col(f"_cut{d}").alias("cut"), F.lit(0).cast("long").alias("units"),
-        )
-        for d in range(levels)
-    ]
-    leaf = F.struct(F.col("node"), F.lit(-1).alias("feature"), F.lit(0.0).alias("cut"), F.col("_units").alias("units"))
-    nodes = rows.withColumn("_reached", reached).select(
-        "scene_id", "tree", "sample", F.explode(F.array(*passed, leaf)).alias("_p")
-    )
-    return nodes.select("scene_id", "tree", "sample", "_p.*").where("feature IS NOT NULL").groupBy("scene_id", "tree", "node").agg(
-        *[F.first(c).alias(c) for c in ("feature", "cut", "units", "sample")]
+    columns = list(columns)
+
+    def grow(pdf: pd.DataFrame) -> pd.DataFrame:
+        sample = int(pdf["sample"].iloc[0])
+        limit = math.ceil(math.log2(max(sample, 1)))
+        nodes = _grow_trees(pdf[columns].to_numpy(dtype=np.float64), pdf["tree"].to_numpy(), limit, seed)
+        return nodes.assign(scene_id=pdf["scene_id"].iloc[0], sample=sample)[
+            ["scene_id", "tree", "node", "feature", "cut", "units", "sample"]
+        ]
+
+    scene_type = df.schema["scene_id"].dataType.simpleString()
+    return _sample_rows(df.select(*KEY, *columns), trees, seed).groupBy("scene_id", "block").applyInPandas(
+        grow, f"scene_id {scene_type}, tree int, node int, feature int, cut double, units bigint, sample int"
     )
 
 
@@ -205,8 +201,7 @@ def isolation_scores(df: DataFrame, columns: Sequence[str], trees: int = 200, se
     chunks = _chunk_counts(df)
     chunked = _into_chunks(df, chunks)
     copies = forest.join(chunks, "scene_id").withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)))
-    # Both sides stem from ``df``; the copies get a scene column of their own.
-    copies = copies.drop("_chunks").withColumn("scene_id", F.col("scene_id").alias("scene_id"))
+    copies = copies.drop("_chunks")
     names = df.columns
 
     def score(cells: pd.DataFrame, nodes: pd.DataFrame) -> pd.DataFrame:
