@@ -1025,12 +1025,13 @@ S.persistence_mask_cte("m_persist", stats.clamped_pct(0.05))
 S.define(
     "method_masks",
     "SELECT 'spatial_residual' AS method, scene_id, r, c FROM m_res_all WHERE dthr IS NULL OR dbt >= dthr UNION ALL "
-    "SELECT 'digital_twin', scene_id, r, c FROM m_risk UNION ALL SELECT 'combined_persistence', scene_id, r, c FROM m_persist",
+    "SELECT 'digital_twin', scene_id, r, c FROM m_risk UNION ALL SELECT 'combined_persistence', scene_id, r, c FROM m_persist "
+    "UNION ALL SELECT 'isolation_forest', scene_id, r, c FROM either_outliers",
 )
 S.define(
     "method_flags",
     "SELECT m.method, d.scene_id, d.valid, p.r IS NOT NULL AS pred, t.r IS NOT NULL AS truth FROM day d "
-    "CROSS JOIN (VALUES ('spatial_residual'), ('digital_twin'), ('combined_persistence')) m(method) "
+    "CROSS JOIN (VALUES ('spatial_residual'), ('digital_twin'), ('combined_persistence'), ('isolation_forest')) m(method) "
     "LEFT JOIN method_masks p ON p.method = m.method AND p.scene_id = d.scene_id AND p.r = d.r AND p.c = d.c "
     "LEFT JOIN truth1 t ON t.scene_id = d.scene_id AND t.r = d.r AND t.c = d.c",
 )
@@ -1042,10 +1043,10 @@ S.define("spot_counts", "SELECT scene_id, count(*) AS n_hotspots FROM hotspots G
     "d19_day_evaluation",
     f"SELECT scene_id, method, {S.CONFUSION_COLUMNS}, coalesce(n_hotspots, 0) AS n_hotspots, "
     "round(CASE WHEN 0.25e0 * precision + recall > 1e-15 THEN 1.25e0 * precision * recall / (0.25e0 * precision + recall) ELSE 0e0 END, 6) AS f_beta "
-    "FROM method_metrics LEFT JOIN spot_counts USING (scene_id)",
+    "FROM method_metrics LEFT JOIN spot_counts USING (scene_id) WHERE method <> 'isolation_forest'",
 )
 def d19(spark, sf):
-    """The three methods SQL can state; the forest is checked by d19b."""
+    """The three methods without the forest, which d19b adds."""
     cube, spots = cut(X.cube(spark, sf)), X.hotspots(spark, sf)
     parts = None
     for method in ("spatial_residual", "digital_twin", "combined_persistence"):
@@ -1056,7 +1057,7 @@ def d19(spark, sf):
     return rounded(keep, "f_beta")
 
 
-@register("d19b_day_evaluation_all")
+@register("d19b_day_evaluation_all", f"SELECT scene_id, method, {S.CONFUSION_COLUMNS} FROM method_metrics")
 def d19b(spark, sf):
     rows = P.evaluate_days(X.cube(spark, sf), X.hotspots(spark, sf), GRID, P.RunConfig(contamination=0.05))
     return confusion_view(rows, "scene_id", "method")
