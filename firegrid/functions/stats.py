@@ -91,6 +91,9 @@ def bracketed_quantiles(
         F.when(lo_at <= 1, F.col("x_min")).otherwise(F.get("p", lo_at - 1)).alias("lo"),
         F.when(hi_at > accuracy, F.col("x_max")).otherwise(F.get("p", hi_at - 1)).alias("hi"),
     )
+    # Stored, so that its measured size lets the values stay where they are: few keys would otherwise
+    # sort them in as few tasks.
+    bounds = store(bounds, "bounds")
     on = [*keys, "name", "q"]
     tagged = long.join(bounds, on)
     counted = (

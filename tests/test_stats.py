@@ -33,6 +33,16 @@ def test_bracketed_route_is_exact_with_hot_values(spark):
         assert np.allclose(got[k], np.percentile(v, [0, 3, 50, 60, 97, 99.6, 100]), atol=1e-12), k
 
 
+def test_bracketed_values_are_not_sorted_by_key(spark):
+    df = spark.range(1_000_000).select((F.col("id") % 3).alias("k"), F.sqrt("id").alias("x"))
+    specs = {"a": (F.col("x"), 0.55), "b": (F.col("x"), 0.98)}
+    found = stats.bracketed_quantiles(df, ["k"], specs)
+    assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString()
+    got = {r["k"]: (r["a"], r["b"]) for r in found.collect()}
+    for k in range(3):
+        assert np.allclose(got[k], np.percentile(np.sqrt(np.arange(k, 1_000_000, 3)), [55, 98]), atol=1e-9)
+
+
 def test_large_groups_take_the_bracketed_route(spark):
     df = groups(spark, {1: np.arange(100.0)})
     a = stats.with_quantiles(df, ["k"], {"t": (F.col("x"), 0.9)}).first()["t"]
