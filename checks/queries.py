@@ -27,7 +27,7 @@ from firegrid.plans import day_products as DP
 from firegrid.plans import evaluate_days as P
 from firegrid.plans import sweeps as W
 from firegrid.schema import LAYER, SCENE
-from firegrid.session import cut, scratch_path
+from firegrid.session import cut, scratch_path, store
 from firegrid.sources import granules as GR
 from firegrid.sources import pixels as PX
 from firegrid.sources import sinks
@@ -213,8 +213,11 @@ S.define(
 
 
 def granule_names(spark: SparkSession, sf: str) -> DataFrame:
-    X.tables(spark, sf, "lineitem")
-    return spark.sql(GRANULE_NAMES)
+    """Lines with equal parts give equal names, so they are told apart before names are built.  The few names
+    are stored: a filter on parsed names would otherwise move below the DISTINCT and parse the name of every line."""
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet")
+    lines.select("l_shipdate", "l_linenumber", "l_returnflag").distinct().createOrReplaceTempView("lineitem")
+    return store(spark.sql(GRANULE_NAMES), "names")
 
 
 S.define(

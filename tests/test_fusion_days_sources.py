@@ -1,9 +1,11 @@
 import datetime as dt
+import os
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from checks.queries import granule_names
 from firegrid.functions import geo
 from firegrid.operators import days as Y
 from firegrid.operators import fusion as U
@@ -189,6 +191,15 @@ def test_granule_of_a_day_without_an_hour(spark):
     assert sorted((r["day"].day, r["name"], r["is_fallback"]) for r in got.collect()) == [(2, names[1], False), (3, None, False)]
 
 
+def test_granule_names_are_parsed_once(spark):
+    """Names of lines are told apart and stored before they are parsed."""
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("tables not present")
+    plan = GR.catalogue(granule_names(spark, sf))._jdf.queryExecution().executedPlan().toString()
+    assert "regexp_extract" in plan and "l_shipdate" not in plan and "lineitem" not in plan
+
+
 def test_map_layers_and_records(spark, tmp_path):
     m = np.zeros((60, 60), dtype=bool)
     m[10, 10] = m[50, 50] = True
