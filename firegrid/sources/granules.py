@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from firegrid.session import store
+
 # Name patterns of the product files.
 PRODUCT = "ABI-L2-CMIPF"
 CHANNEL_PATTERN = r"M\d+C(\d{2})"
@@ -85,8 +87,9 @@ def locate_granules(requests: DataFrame, names: DataFrame, column: str = "name")
         F.regexp_extract(base, r"_s\d{7}(\d{2})", 1).cast("int").alias("hour"),
         F.regexp_extract(base, r"M6C(\d{2})", 1).cast("int").alias("channel"),
     ).where((F.col("_ymd") != "") & F.col("channel").isNotNull())
-    exact = tagged.groupBy("_ymd", "channel", "hour").agg(F.min("name").alias("_exact"))
-    daily = tagged.groupBy("_ymd", "channel").agg(F.min("name").alias("_any"))
+    # One pass over the names; the first of a day is the first of its hours.
+    exact = store(tagged.groupBy("_ymd", "channel", "hour").agg(F.min("name").alias("_exact")), "granules")
+    daily = exact.groupBy("_ymd", "channel").agg(F.min("_exact").alias("_any"))
     asked = requests.withColumn(
         "_ymd", F.concat(F.date_format("day", "yyyy"), F.lpad(F.dayofyear("day").cast("string"), 3, "0"))
     )

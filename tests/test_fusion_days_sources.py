@@ -191,6 +191,14 @@ def test_granule_of_a_day_without_an_hour(spark):
     assert sorted((r["day"].day, r["name"], r["is_fallback"]) for r in got.collect()) == [(2, names[1], False), (3, None, False)]
 
 
+def test_granule_lookup_reads_the_names_once(spark):
+    names = [f"OR_ABI-L2-CMIPF-M6C07_G16_s2024123{h}00204_e0_c0.nc" for h in ("17", "16", "16")]
+    days = spark.createDataFrame([(dt.date(2024, 5, 2), 7, 18), (dt.date(2024, 5, 2), 7, 17)], "day date, channel int, hour int")
+    got = GR.locate_granules(days, spark.createDataFrame([(n,) for n in names], "name string"))
+    assert "regexp_extract" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r["hour"], r["name"], r["is_fallback"]) for r in got.collect()) == [(17, names[0], False), (18, names[1], True)]
+
+
 def test_granule_names_are_parsed_once(spark):
     """Names of lines are told apart and stored before they are parsed."""
     sf = "/root/testdata/sf0.001"
