@@ -29,6 +29,12 @@ def place_points(points: DataFrame, grid: GridSpec, closed_top: bool = True) ->
     return G.assign_cells(G.bbox_filter(points, grid), grid, closed_top)
 
 
+def collapsed(points: DataFrame) -> DataFrame:
+    """Placed points with equal places as one row and its number of ``copies``; collapsed ones may collapse again."""
+    n = F.sum("copies") if "copies" in points.columns else F.count("*")
+    return points.groupBy("scene_id", "r", "c", "lat", "lon").agg(n.alias("copies"))
+
+
 def prediction_units(
     mask: DataFrame,
     grid: GridSpec,
@@ -123,14 +129,14 @@ def event_curve(
 
     ``keys`` starts with ``scene_id`` and may carry parameter columns; ``scenes`` lists the key
     rows that must appear even with an empty side.  Hotspots are restricted to the box, and
-    predictions to ``valid`` when given.
+    predictions to ``valid`` when given.  Hotspots may come :func:`collapsed`.
     """
     keys = list(keys)
     if valid is not None:
         ok = valid.where("valid").select(*KEY)
         mask = mask.join(ok, list(KEY), "left_semi")
-    # Copies of a point collapse before anything is joined.
-    points = place_points(hotspots, grid).groupBy("scene_id", "r", "c", "lat", "lon").agg(F.count("*").alias("copies"))
+    # Copies of a point collapse before anything is joined; the points are read three times below.
+    points = store(collapsed(place_points(hotspots, grid)), "points")
     # The units are read four times below: compute the prediction once.
     units = store(prediction_units(mask, grid, matching, connectivity, keys), "units")
     base = scenes.select(*keys).distinct() if scenes is not None else (

@@ -277,3 +277,25 @@ def test_state_of_a_cell_ends_after_its_day(spark):
     assert 0 in risks[1] and risks[3] == {1} and risks[4] == {0, 1}
     out = {(r["c"], r["hour_seq"]): r["risk"] for r in spark.read.parquet(f"{base}/o").collect()}
     assert out[(0, 1)] == 0.625 and out[(0, 50)] == 0.5 and out[(1, 49)] == 0.625
+
+
+def test_fold_search_reads_the_hotspots_once(spark, scene):
+    _, hotspots, _, table = scene
+    seen = spark.sparkContext.accumulator(0)
+
+    def counting(batches):
+        for pdf in batches:
+            seen.add(len(pdf))
+            yield pdf
+
+    counted = cut(hotspots).mapInPandas(counting, hotspots.schema)
+    fold = (F.col("c") >= GRID.w // 2).cast("int")
+
+    def best(spots):
+        found = L.fold_best_threshold(table, spots, GRID, fold, range(2), [0.3, 0.7], (1,), radius_km=20.0)
+        return {(r["scene_id"], r["fold"]): (r["n_focos"], r["tp_recall"], r["tp_precision"]) for r in found.collect()}
+
+    once = best(counted)
+    assert seen.value == hotspots.count()
+    twice = best(hotspots.unionByName(hotspots))
+    assert twice == {k: (2 * n, 2 * tp, units) for k, (n, tp, units) in once.items()} and any(tp for _, tp, _ in once.values())
