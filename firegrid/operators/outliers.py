@@ -27,6 +27,8 @@ KEY = ("scene_id", "r", "c")
 OUTLIER_FEATURES = ("twin_risk", "bt13_max", "bt7_max", "btd_median", "bt13_anom_21", "persist_h")
 MIN_ROWS = 50
 BLOCK_ROWS = 1024
+# Numbers of 2^4 tree nodes, some 8 blocks, travel together.
+GROUP_BITS = 4
 CHUNK_ROWS = 16384
 TREE_SAMPLE = 256
 TREE_BLOCK = 25
@@ -235,18 +237,40 @@ def isolation_scores(df: DataFrame, columns: Sequence[str], trees: int = 200, se
 
 
 def _nearest(queries: np.ndarray, points: np.ndarray, same: np.ndarray | None, k: int):
-    """Indices and distances of the ``k`` nearest points; equal distances keep point order."""
-    d2 = np.zeros((len(queries), len(points)))
-    for f in range(points.shape[1]):
-        d2 += (queries[:, f, None] - points[None, :, f]) ** 2
+    """Indices and distances of the ``k`` nearest points; equal distances keep point order.
+
+    A matrix product with its rounding bound tells which points can be among them; only those are
+    compared feature by feature, so the distances do not depend on the product.
+    """
+    rough = (queries * queries).sum(axis=1)[:, None] + (points * points).sum(axis=1) - 2.0 * (queries @ points.T)
+    least = min(k, len(points))
+    if not least or not np.isfinite(rough).all():
+        wanted = np.ones(rough.shape, dtype=bool)
+    else:
+        if same is not None:
+            rough[same] = np.inf
+        scale = (queries * queries).sum(axis=1) + (points * points).sum(axis=1).max()
+        error = 8.0 * (points.shape[1] + 4) * np.finfo(np.float64).eps * scale
+        wanted = rough <= (np.partition(rough, least - 1, axis=1)[:, least - 1] + 2.0 * error)[:, None]
     if same is not None:
-        d2[same] = np.inf
-    idx = np.argsort(d2, axis=1, kind="stable")[:, :k]
-    return idx, np.sqrt(np.take_along_axis(d2, idx, axis=1))
+        wanted[same] = False
+    row, col = np.nonzero(wanted)
+    d2 = np.zeros(len(row))
+    for f in range(points.shape[1]):
+        d2 += (queries[row, f] - points[col, f]) ** 2
+    count = wanted.sum(axis=1)
+    at = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+    width = max(int(count.max(initial=0)), least)
+    near, dist = np.zeros((len(queries), width), dtype=np.int64), np.full((len(queries), width), np.inf)
+    near[row, at], dist[row, at] = col, d2
+    idx = np.argsort(dist, axis=1, kind="stable")[:, :least]
+    return np.take_along_axis(near, idx, axis=1), np.sqrt(np.take_along_axis(dist, idx, axis=1))
 
 
-def _pieces(n: int):
-    return [slice(s, min(s + 512, n)) for s in range(0, n, 512)]
+def _pieces(n: int, against: int):
+    """Slices of ``n`` queries whose distances to ``against`` points take some 16 MB."""
+    size = min(max((1 << 21) // max(against, 1), 16), 512)
+    return [slice(s, min(s + size, n)) for s in range(0, n, size)]
 
 
 def _split_space(x: np.ndarray, leaves: int) -> list[tuple[int, int, float, int, int]]:
@@ -324,9 +348,10 @@ def nearest_neighbors(df: DataFrame, columns: Sequence[str], k: int) -> DataFram
 
     ``id`` packs (r, c) into 64 bits.  Rows are cut into blocks by all features.  A first pass inside
     each block bounds the k-th distance; blocks whose boxes lie within a block's largest bound are
-    paired, and of a pair only rows that can reach the other box travel.  So a task holds two blocks,
-    and gives k rows per visit, never all pairs.  A row whose k nearest are its own copies visits
-    no other block.
+    paired, some 8 neighbouring blocks of each side in one visit, and only rows that can reach the boxes
+    of a visit travel.  So a task holds two groups of blocks and gives at most k rows per row and visit,
+    none beyond the row's bound, never all pairs.  A row whose k nearest are its own copies visits no
+    other group.
     """
     columns = list(columns)
     scene_type = df.schema["scene_id"].dataType.simpleString()
@@ -346,7 +371,7 @@ def nearest_neighbors(df: DataFrame, columns: Sequence[str], k: int) -> DataFram
         x = pdf[xs].to_numpy()
         reach = np.full(len(x), np.inf)
         if len(x) > k:
-            for s in _pieces(len(x)):
+            for s in _pieces(len(x), len(x)):
                 rows = np.arange(s.start, s.stop)
                 same = (np.arange(len(rows)), rows)
                 reach[s] = _nearest(x[s], x, same, k)[1][:, -1]
@@ -372,15 +397,19 @@ def nearest_neighbors(df: DataFrame, columns: Sequence[str], k: int) -> DataFram
     gaps = [F.greatest(F.col(f"lo_to_{x}") - F.col(f"hi_{x}"), F.col(f"lo_{x}") - F.col(f"hi_to_{x}"), zero) for x in xs]
     apart = F.sqrt(sum((g * g for g in gaps), zero))
     own = (F.col("block") == F.col("to_block")) & (F.col("part") == F.col("to_part"))
+    group, to_group = F.shiftright("block", GROUP_BITS), F.shiftright("to_block", GROUP_BITS)
     pairs = cut(boxes.join(there, "scene_id").where(own | ((F.col("reach") > 0) & (apart <= slack))).select(
-        *home, "to_block", "to_part", *[f"{e}_to_{x}" for x in xs for e in ("lo", "hi")]
+        *home, "to_block", "to_part", group.alias("group"), to_group.alias("to_group"), own.alias("own"), *[f"{e}_to_{x}" for x in xs for e in ("lo", "hi")]
     ))
+    visit = ["scene_id", "group", "part", "to_group", "to_part"]
+    boxed = pairs.groupBy("block", *visit).agg(
+        F.bool_or("own").alias("own"), *[F.min(f"lo_to_{x}").alias(f"lo_to_{x}") for x in xs], *[F.max(f"hi_to_{x}").alias(f"hi_to_{x}") for x in xs]
+    )
     gaps = [F.greatest(F.col(f"lo_to_{x}") - F.col(x), F.col(x) - F.col(f"hi_to_{x}"), zero) for x in xs]
     apart = F.sqrt(sum((g * g for g in gaps), zero))
-    visit = [*home, "to_block", "to_part"]
-    visits = bounded.join(pairs, home).where(own | ((F.col("reach") > 0) & (apart <= slack))).select(*visit, "id", *xs)
+    visits = bounded.join(boxed, home).where(F.col("own") | ((F.col("reach") > 0) & (apart <= slack))).select(*visit, "id", *xs, "reach")
     hosts = points.withColumnsRenamed({"block": "to_block", "part": "to_part"}).join(
-        pairs.select(*visit), ["scene_id", "to_block", "to_part"]
+        pairs.select(*visit, "to_block").distinct(), ["scene_id", "to_block", "to_part"]
     )
     # Names of their own: both sides come from the same pairs.
     hosts = hosts.select(*[F.col(c).alias(c) for c in (*visit, "id", *xs)])
@@ -388,17 +417,18 @@ def nearest_neighbors(df: DataFrame, columns: Sequence[str], k: int) -> DataFram
     def search(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
         p = p.sort_values("id")
         pid, px = p["id"].to_numpy(), p[xs].to_numpy()
-        qid, qx = q["id"].to_numpy(), q[xs].to_numpy()
+        qid, qx, reach = q["id"].to_numpy(), q[xs].to_numpy(), q["reach"].to_numpy()
         out = []
-        for s in _pieces(len(qid)):
+        for s in _pieces(len(qid), len(pid)):
             here = np.searchsorted(pid, qid[s])
             own = pid[np.minimum(here, len(pid) - 1)] == qid[s] if len(pid) else np.zeros(0, bool)
             same = (np.flatnonzero(own), here[own])
             idx, dist = _nearest(qx[s], px, same, k)
-            out.append(pd.DataFrame({"id": np.repeat(qid[s], idx.shape[1]), "nid": pid[idx].ravel(), "dist": dist.ravel()}))
+            close = (np.isfinite(dist) & (dist <= reach[s][:, None])).ravel()
+            out.append(pd.DataFrame({"id": np.repeat(qid[s], idx.shape[1])[close], "nid": pid[idx].ravel()[close], "dist": dist.ravel()[close]}))
         res = pd.concat(out) if out else pd.DataFrame({"id": [], "nid": [], "dist": []})
         res.insert(0, "scene_id", q["scene_id"].iloc[0] if len(q) else None)
-        return res[np.isfinite(res["dist"])]
+        return res
 
     found = (
         visits.groupBy(*visit)

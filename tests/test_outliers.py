@@ -197,3 +197,19 @@ def test_mode_sweep_equals_single_runs(spark, table):
     for mode, mask in single.items():
         want = E.event_curve(mask, spots, g, (10.0,), valid=df).first()
         assert got[mode, 0.02, 1] == (want["n_components"], want["tp_recall"])
+
+
+def test_nearest_points_by_product_equal_plain_distances():
+    rng = np.random.default_rng(11)
+    for x in (rng.normal(size=(700, 64)), rng.integers(0, 9, (400, 2)).astype(float), rng.normal(size=(300, 6)) + 1e6, rng.normal(size=(4, 3))):
+        rows = np.arange(len(x))
+        d2 = np.zeros((len(x), len(x)))
+        for f in range(x.shape[1]):
+            d2 += (x[:, f, None] - x[None, :, f]) ** 2
+        d2[rows, rows] = np.inf
+        want = np.argsort(d2, axis=1, kind="stable")[:, :10]
+        idx, dist = O._nearest(x, x, (rows, rows), 10)
+        near = np.isfinite(dist)
+        assert (dist == np.sqrt(np.take_along_axis(d2, want, axis=1))).all() and (idx[near] == want[near]).all()
+    # A piece's distances keep their size, however many points a visit holds.
+    assert max(s.stop - s.start for s in O._pieces(4096, 1 << 16)) * (1 << 16) <= 1 << 21
