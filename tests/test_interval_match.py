@@ -77,3 +77,56 @@ def test_any_time_is_matching_by_distance(spark):
     got = I.interval_metrics(E.place_points(spots, g), E.prediction_units(mask, g), 9.0, None).first()
     assert all(got[c] == want[c] for c in ("n_focos", "tp_recall", "tp_precision", "precision", "recall", "f1"))
     assert got["n_units"] == want["n_components"]
+
+
+@pytest.mark.parametrize("minutes", [30, None])
+@pytest.mark.parametrize("limits", [{"TILE_ROWS": 100}, {"TILE_ROWS": 0, "PAIRS_PER_ROW": 4}, {"TILE_PAIRS_PER_ROW": 0, "PAIRS_PER_ROW": 4}], ids=["cut", "crowded", "many pairs"])
+def test_crowded_tiles_match_brute_force(spark, monkeypatch, minutes, limits):
+    rng = np.random.default_rng(6)
+    points, units = strewn(rng, 120, 60), strewn(rng, 100, 50) + [(9, -5.0, -39.0, 5)]
+    # Two crowds that lie in neighbouring bins, just out of reach.
+    points += [(3, -5.0 - i * 1e-5, -39.0, i) for i in range(9)]
+    units += [(3, -5.0 - i * 1e-5, -39.0 + 6.1 / 110.8, i) for i in range(9)]
+    boxed, by_boxes = [], I._by_boxes
+    monkeypatch.setattr(I, "_by_boxes", lambda *a: boxed.append(1) or by_boxes(*a))
+    for name, value in limits.items():
+        monkeypatch.setattr(I, name, value)
+    got = counts(I.interval_metrics(table(spark, points), table(spark, units), 6.0, minutes))
+    assert got == brute(points, units, 6.0, minutes)
+    assert boxed
+
+
+def test_spread_rows_store_no_pairs(spark, monkeypatch):
+    """With a row or two in each bin, pairs of bins would be several times the rows."""
+    rng = np.random.default_rng(7)
+    sides = [[(1, float(a), float(o), int(m)) for a, o, m in zip(rng.uniform(-6, -5, 1500), rng.uniform(-40, -39, 1500), rng.integers(0, 300, 1500))] for _ in "pu"]
+    kept, store = [], I.store
+
+    def counted(df, *name):
+        kept.append((out := store(df, *name)).count())
+        return out
+
+    monkeypatch.setattr(I, "store", counted)
+    got = counts(I.interval_metrics(table(spark, sides[0]), table(spark, sides[1]), 12.0, 30))
+    assert got == brute(*sides, 12.0, 30)
+    assert max(kept) <= 3000
+
+
+def test_radius_zero_matches_equal_places(spark):
+    points, units = [(1, -5.0, -39.0, 0), (1, -5.0, -39.1, 0)], [(1, -5.0, -39.0, 3), (1, -5.0, -39.0 + 1e-9, 0)]
+    assert counts(I.interval_metrics(table(spark, points), table(spark, units), 0.0, 5)) == {1: (2, 2, 1, 1)}
+
+
+def test_comparisons_in_chunks(monkeypatch):
+    rng = np.random.default_rng(9)
+    side = lambda n: {"x": rng.uniform(0, 30, n), "y": rng.uniform(0, 30, n), "t": rng.integers(0, 90, n)}
+    p, u = side(300), side(200)
+    for s in (p, u):
+        s.update(lat=s["y"] / I.KM_PER_DEG, lon=s["x"], per_lon=np.ones(len(s["x"])))
+    monkeypatch.setattr(I, "CHUNK", 7)
+    want = ((np.hypot(p["x"][:, None] - u["x"], p["y"][:, None] - u["y"]) <= 4) & (np.abs(p["t"][:, None] - u["t"]) <= 20)).any(axis=1)
+    hit = np.zeros(300, bool)
+    assert I._found(p, u, np.ones(300, bool), hit, 4.0, 20, 10**6) and (hit == want).all()
+    assert 0 < want.sum() < 300
+    far = u | {"lat": u["lat"] + 1.0}  # in the same bins by x and y, but out of reach
+    assert not I._found(p, far, np.ones(300, bool), np.zeros(300, bool), 4.0, 90, 0)
